@@ -8,18 +8,11 @@ from pyspark.sql import Column, functions as F
 
 # Formats tried, in this order, after the ISO forms that Spark
 # reads by itself. Narrower than a guessing parser, and the same on every run.
+# Each entry is one pattern; its optional sections exclude each other.
 TIMESTAMP_FORMATS = (
-    "yyyyMMdd",
-    "yyyyMMddHHmmss",
-    "yyyy/MM/dd HH:mm:ss",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd/MM/yyyy HH:mm:ss",
-    "dd/MM/yyyy",
-    "dd-MM-yyyy",
-    "dd MMM yyyy",
-    "MMM d, yyyy",
+    "[yyyyMMdd][yyyy/M/d[ H:mm:ss]][M/d/yyyy[ H:mm:ss]][d-M-yyyy[ H:mm:ss]]"
+    "[d MMM yyyy[ H:mm:ss]][MMM d, yyyy[ H:mm:ss]]",
+    "d/M/yyyy[ H:mm:ss]",
 )
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
@@ -27,13 +20,12 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 def parse_timestamp(value: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
     """Lenient text to timestamp, NULL when nothing fits.
 
-    ``coalesce`` stops at the first reading that works, so well-formed rows
-    never reach the format list. All-digit texts skip the built-in reading,
-    which would take ``20240101`` for a year.
+    ``coalesce`` keeps well-formed rows away from the format list. Few patterns
+    with optional sections, not many patterns, keep the generated code small.
     """
-    digits = value.rlike(r"^\s*\d{5,}\s*$")
-    by_format = [F.try_to_timestamp(F.trim(value), F.lit(text)) for text in formats]
-    return F.coalesce(F.when(~digits, F.try_to_timestamp(value)), *by_format)
+    text = F.nullif(F.trim(value), F.lit(""))
+    by_format = [F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats]
+    return F.coalesce(F.try_to_timestamp(value), *by_format)
 
 
 def moment(as_of: str | datetime | Column | None = None) -> Column:

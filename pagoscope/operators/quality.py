@@ -21,9 +21,20 @@ Rules = Sequence[Rule]
 
 
 def with_codes(payments: DataFrame, rules: Rules = RULES, as_of=None) -> DataFrame:
-    """Payments, the parsed helpers and one code column per rule."""
+    """Payments, the parsed helpers, one code column per rule, and two flags."""
     row = Payment(moment(as_of))
-    return with_helpers(payments).withColumns({r.column: r.code(row) for r in rules})
+    return (
+        with_helpers(payments)
+        .withColumns({r.column: r.code(row) for r in rules})
+        .withColumns(
+            {"is_error": _any_code(rules, CRITICAL), "is_warning": _any_code(rules, WARNING)}
+        )
+    )
+
+
+def _any_code(rules: Rules, level: str) -> Column:
+    codes = [F.col(r.column) for r in rules if r.level == level]
+    return F.coalesce(*codes).isNotNull() if codes else F.lit(False)
 
 
 def _texts(rules: Rules, level: str, mark: str = "") -> list[Column]:
@@ -31,12 +42,6 @@ def _texts(rules: Rules, level: str, mark: str = "") -> list[Column]:
     return [F.concat(F.lit(mark), F.col(r.column)) for r in rules if r.level == level]
 
 
-def broken(rules: Rules, level: str) -> Column:
-    """True when any rule of the level is broken."""
-    codes = [F.col(r.column) for r in rules if r.level == level]
-    return F.coalesce(*codes).isNotNull() if codes else F.lit(False)
-
-
 def evaluate(payments: DataFrame, rules: Rules = RULES, as_of=None) -> DataFrame:
     """Payments with ``critical``, ``warning``, ``is_error`` and ``dq_errors``."""
     coded = with_codes(payments, rules, as_of)
@@ -44,9 +49,9 @@ def evaluate(payments: DataFrame, rules: Rules = RULES, as_of=None) -> DataFrame
         *payments.columns,
         join_codes(*_texts(rules, CRITICAL)).alias("critical"),
         join_codes(*_texts(rules, WARNING)).alias("warning"),
-        broken(rules, CRITICAL).alias("is_error"),
+        "is_error",
         F.when(
-            broken(rules, CRITICAL),
+            F.col("is_error"),
             join_codes(*_texts(rules, CRITICAL, "[C]"), *_texts(rules, WARNING, "[W]")),
         ).alias(ERRORS_COLUMN),
     )
@@ -92,14 +97,16 @@ def count_measures(rules: Rules) -> list[Column]:
     """Conditional counts of the quality pass, for use in one ``agg``."""
     measures = [
         F.count(F.lit(1)).alias("total_records"),
-        F.count_if(broken(rules, CRITICAL)).alias("error_records"),
-        F.count_if(broken(rules, WARNING)).alias("warning_records"),
+        F.count_if("is_error").alias("error_records"),
+        F.count_if("is_warning").alias("warning_records"),
     ]
     for rule in rules:
         families = rule.families or ()
         for family in families:
             code = F.col(rule.column)
-            hit = code.isNotNull() if len(families) == 1 else code_family(code) == family
+            hit = code.isNotNull()
+            if len(families) > 1:
+                hit = (code == family) | code.startswith(f"{family}:")
             measures.append(F.count_if(hit).alias(f"n_{family}"))
     return measures
 
