@@ -116,7 +116,7 @@ FINDINGS: tuple[Finding, ...] = (
     RowFinding(
         1, "MISSING_PAYMENT_ID", ("SOX", "PCI-DSS"), "CRITICAL", "traceability",
         when=lambda: is_blank(F.col("payment_id")),
-        record=lambda: F.col(ROW_ID).cast("string"),
+        record=lambda: F.coalesce(F.col(ROW_ID).cast("string"), F.lit("N/A")),
         detail=lambda: F.lit("payment_id nulo — transacción no auditable"),
     ),
     RowFinding(
@@ -248,7 +248,12 @@ def of_kind(rules: Sequence[Finding], kind: type) -> list:
 
 
 def with_amount(payments: DataFrame) -> DataFrame:
-    """Add the coercing number reading of ``amount`` once for all rules."""
+    """Add the coercing number reading of ``amount`` once for all rules.
+
+    Tables without a row key get a NULL one, so that findings still can be told.
+    """
+    if ROW_ID not in payments.columns:
+        payments = payments.withColumn(ROW_ID, F.lit(None).cast("string"))
     return payments.withColumn("_parsed_amount", parse_number(F.col("amount"))).withColumn(
         AMOUNT, nan_to_null(F.col("_parsed_amount"))
     ).drop("_parsed_amount")
