@@ -1,10 +1,10 @@
-"""Number helpers."""
+"""Number helpers (B4, B5, B14-B16, B20); SQL texts unless Columns are named."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from pagoscope.functions.text import strip
+from pagoscope.functions.text import literal, strip
 
 # Fixed value: the number texts accepted in an amount. Type suffixes ("1.0d"),
 # hexadecimal floats and digit separators ("1_000") are not numbers.
@@ -14,44 +14,47 @@ NUMBER_SHAPE = (
 )
 
 
-def parse_number(value: Column) -> Column:
+def parse_number(text: str) -> str:
     """Text to double, NULL when it is not a number; ``nan`` stays NaN."""
-    text = strip(value)
-    return F.when(text.rlike(NUMBER_SHAPE), text.try_cast("double"))
+    tidy = strip(text)
+    return (
+        f"CASE WHEN rlike({tidy}, {literal(NUMBER_SHAPE)})"
+        f" THEN try_cast({tidy} AS DOUBLE) END"
+    )
 
 
-def nan_to_null(number: Column) -> Column:
+def nan_to_null(number: str) -> str:
     """The coercing reading, in which NaN counts as missing."""
-    return F.when(~F.isnan(number), number)
+    return f"nullif({number}, double('NaN'))"
 
 
-def half_even(value: Column, digits: int = 0) -> Column:
-    """banker's rounding."""
-    return F.bround(value, digits)
+def half_even_int(number: str) -> str:
+    """banker's rounding to INT, for scores."""
+    return f"CAST(bround({number}, 0) AS INT)"
 
 
-def half_even_int(value: Column) -> Column:
-    """B14 to INT, for scores."""
-    return F.bround(value, 0).cast("int")
+def clamp(number: str, low: int, high: int) -> str:
+    """Limit to ``low..high``."""
+    return f"greatest({low}, least({high}, {number}))"
 
 
-def clamp(value: Column, low: int, high: int) -> Column:
-    """Limit to ``low..high``."""
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+def ratio(part: str, whole: str) -> str:
+    """``part / whole`` as double, NULL (not an error) for an empty whole."""
+    return f"try_divide(CAST({part} AS DOUBLE), CAST({whole} AS DOUBLE))"
 
 
-def thousands(value: Column, digits: int = 0) -> Column:
-    """Fixed digits with thousands separators; infinities spelled out."""
-    shown = F.format_number(value, digits)
-    infinite = F.lit(float("inf"))
-    return F.when(value == infinite, "inf").when(value == -infinite, "-inf").otherwise(shown)
+def percent(part: str, whole: str) -> str:
+    """Percentage to one digit, 0.0 for an empty whole."""
+    return f"coalesce(bround({ratio(part, whole)} * 100, 1), 0D)"
 
 
-def ratio(part: Column, whole: Column) -> Column:
-    """``part / whole`` as double, NULL (not an error) for an empty whole."""
-    return F.try_divide(part.cast("double"), whole.cast("double"))
+def half_even(value: Column, digits: int = 0) -> Column:
+    """B14 on a Column."""
+    return F.bround(value, digits)
 
 
-def percent(part: Column, whole: Column) -> Column:
-    """Percentage to one digit, 0.0 for an empty whole."""
-    return F.coalesce(F.bround(ratio(part, whole) * 100, 1), F.lit(0.0))
+def thousands(value: Column, digits: int = 0) -> Column:
+    """B16 on a Column: fixed digits with thousands separators."""
+    shown = F.format_number(value, digits)
+    infinite = F.lit(float("inf"))
+    return F.when(value == infinite, "inf").when(value == -infinite, "-inf").otherwise(shown)

@@ -1,9 +1,12 @@
-"""Text helpers (B1-B3, B8, B11-B13, B17-B19) as JVM-side Column expressions."""
+"""Text helpers.
 
-from __future__ import annotations
+The helpers that rules are made of take and return SQL expression text, ready
+for ``where``, ``selectExpr`` or ``F.expr``: one text is parsed in one step,
+where the same expression from Column calls costs a round trip per operator.
+Display helpers take and return Columns.
+"""
 
-from functools import reduce
-from operator import or_
+from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
@@ -14,53 +17,66 @@ ONLY_SPACE = r"(?U)^[\s\x1c-\x1f]*$"
 EMAIL_SHAPE = r"(?U)^[^@\s]+@[^@\s]+\.[^@\s]+$"
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
-_FIRST_VISIBLE, _AFTER_VISIBLE = "!", "\x7f"
+
+def literal(value) -> str:
+    """A Python value as an SQL literal."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def literals(values) -> str:
+    return ", ".join(map(literal, values))
 
 
-def _starts_visible(value: Column) -> Column:
-    """True when the first character is visible ASCII: a byte comparison, no regex."""
-    return (value >= F.lit(_FIRST_VISIBLE)) & (value < F.lit(_AFTER_VISIBLE))
+def _starts_visible(text: str) -> str:
+    """First character is visible ASCII: two byte comparisons, no regex."""
+    return f"({text} >= '!' AND {text} < '\x7f')"
 
 
-def strip(value: Column) -> Column:
+def strip(text: str) -> str:
     """B2: remove Unicode white space at both ends.
 
     Nearly all values start and end with visible ASCII and need no work; only
     the others pay for the regular expression.
     """
-    tidy = _starts_visible(value) & _starts_visible(F.substring(value, -1, 1))
-    return F.when(tidy, value).otherwise(F.regexp_replace(value, EDGE_SPACE, ""))
+    tidy = f"{_starts_visible(text)} AND {_starts_visible(f'substring({text}, -1, 1)')}"
+    edges = f"regexp_replace({text}, {literal(EDGE_SPACE)}, '')"
+    return f"CASE WHEN {tidy} THEN {text} ELSE {edges} END"
 
 
-def upper_strip(value: Column) -> Column:
+def upper_strip(text: str) -> str:
     """Strip and upper-case."""
-    return F.upper(strip(value))
+    return f"upper({strip(text)})"
 
 
-def is_blank(value: Column) -> Column:
+def is_blank(text: str) -> str:
     """B1: null, empty, or nothing but white space; never NULL."""
-    return value.isNull() | (~_starts_visible(value) & value.rlike(ONLY_SPACE))
+    only_space = f"rlike({text}, {literal(ONLY_SPACE)})"
+    return f"({text} IS NULL OR (NOT {_starts_visible(text)} AND {only_space}))"
 
 
-def is_email(value: Column) -> Column:
+def is_email(text: str) -> str:
     """The anchored e-mail shape, on a stripped value."""
-    separator = reduce(or_, [value.contains(F.lit(mark)) for mark in SEPARATORS])
-    return value.rlike(EMAIL_SHAPE) & ~separator
+    marks = " OR ".join(f"contains({text}, {literal(mark)})" for mark in SEPARATORS)
+    return f"(rlike({text}, {literal(EMAIL_SHAPE)}) AND NOT ({marks}))"
 
 
-def member(value: Column, values) -> Column:
-    """Set containment that is False, not NULL, for a null value."""
-    return F.coalesce(value.isin(*values), F.lit(False))
+def member(text: str, values) -> str:
+    """Set containment that is false, not NULL, for a null value."""
+    return f"coalesce({text} IN ({literals(values)}), false)"
 
 
-def code_family(code: Column) -> Column:
+def code_family(text: str) -> str:
     """The code text before its first colon."""
-    return F.substring_index(code, ":", 1)
+    return f"substring_index({text}, ':', 1)"
 
 
-def join_codes(*codes: Column) -> Column:
+def join_codes(*texts: str) -> str:
     """Join code texts with `` | ``; NULL texts (passed rules) vanish."""
-    return F.concat_ws(" | ", *codes)
+    return f"concat_ws(' | ', {', '.join(texts)})" if texts else "''"
 
 
 def ellipsis(value: Column, width: int = 90) -> Column:

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import Column, functions as F
 
+from pagoscope.functions.text import literal
+
 # Formats tried, in this order, after the ISO forms that Spark
 # reads by itself. Narrower than a guessing parser, and the same on every run.
 # Each entry is one pattern; its optional sections exclude each other.
@@ -17,15 +19,16 @@ TIMESTAMP_FORMATS = (
 ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 
 
-def parse_timestamp(value: Column, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> Column:
-    """Lenient text to timestamp, NULL when nothing fits.
+def parse_timestamp(text: str, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> str:
+    """SQL text that reads a timestamp leniently, NULL when nothing fits.
 
     ``coalesce`` keeps well-formed rows away from the format list. Few patterns
     with optional sections, not many patterns, keep the generated code small.
     """
-    text = F.nullif(F.trim(value), F.lit(""))
-    by_format = [F.try_to_timestamp(text, F.lit(pattern)) for pattern in formats]
-    return F.coalesce(F.try_to_timestamp(value), *by_format)
+    tidy = f"nullif(trim({text}), '')"
+    tries = [f"try_to_timestamp({text})"]
+    tries += [f"try_to_timestamp({tidy}, {literal(pattern)})" for pattern in formats]
+    return f"coalesce({', '.join(tries)})"
 
 
 def moment(as_of: str | datetime | Column | None = None) -> Column:

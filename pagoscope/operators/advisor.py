@@ -26,7 +26,7 @@ def assemble(
     totals = tt.run_totals(payments, group_by, as_of=as_of)
     scored = scores.regulatory_scores(quality.readiness(totals, posture))
     return with_defaults(
-        scored.withColumn("findings", tt.total_findings())
+        scored.withColumn("findings", F.expr(tt.total_findings()))
     ).select(
         *group_by, *fv.SCORE_DEFAULTS, "ofac_sanctions_score", "aml_risk_score",
         "dora_resilience_score", "findings",
@@ -44,32 +44,26 @@ def with_defaults(score_rows: DataFrame) -> DataFrame:
     )
 
 
-def _off(name: str) -> Column:
-    return 1 - F.col(name) / F.lit(100)
-
-
-def complexity() -> Column:
-    """Migration complexity, 0..100."""
-    load = F.least(F.col("findings") / F.lit(200), F.lit(1.0))
+def complexity() -> str:
+    """Migration complexity, 0..100, as SQL text."""
     return half_even_int(
-        _off("cloud_readiness_score") * 40
-        + _off("data_quality_score") * 25
-        + F.col("regulatory_risk_score") / F.lit(100) * 20
-        + load * 15
+        "(1 - cloud_readiness_score / 100) * 40"
+        " + (1 - data_quality_score / 100) * 25"
+        " + (regulatory_risk_score / 100) * 20"
+        " + least(findings / 200, 1D) * 15"
     )
 
 
-def chosen_strategy() -> Column:
-    """The first strategy whose conditions hold."""
-    cloud, dq = F.col("cloud_readiness_score"), F.col("data_quality_score")
-    risk, n = F.col("regulatory_risk_score"), F.col("findings")
-    return (
-        F.when((cloud >= 65) & (dq >= 85) & (risk <= 30), "rehost")
-        .when((cloud >= 45) & (dq >= 70) & (risk <= 55), "replatform")
-        .when((cloud >= 30) & (n <= 80), "refactor")
-        .when((risk >= 70) | (n >= 150), "rebuild")
-        .otherwise("hybrid")
-    )
+def chosen_strategy() -> str:
+    """The first strategy whose conditions hold, as SQL text."""
+    return """
+        CASE WHEN cloud_readiness_score >= 65 AND data_quality_score >= 85
+                  AND regulatory_risk_score <= 30 THEN 'rehost'
+             WHEN cloud_readiness_score >= 45 AND data_quality_score >= 70
+                  AND regulatory_risk_score <= 55 THEN 'replatform'
+             WHEN cloud_readiness_score >= 30 AND findings <= 80 THEN 'refactor'
+             WHEN regulatory_risk_score >= 70 OR findings >= 150 THEN 'rebuild'
+             ELSE 'hybrid' END"""
 
 
 def decide(score_rows: DataFrame) -> DataFrame:
@@ -78,7 +72,10 @@ def decide(score_rows: DataFrame) -> DataFrame:
         "strategy", "effort_weeks", "risk_level"
     )
     return score_rows.withColumns(
-        {"migration_complexity_score": complexity(), "strategy": chosen_strategy()}
+        {
+            "migration_complexity_score": F.expr(complexity()),
+            "strategy": F.expr(chosen_strategy()),
+        }
     ).join(F.broadcast(plan), "strategy")
 
 
@@ -124,9 +121,9 @@ def cost_table(spark) -> DataFrame:
             {
                 "payback_months": F.when(
                     saving > 0,
-                    half_even_int(F.try_divide(total.cast("double"), saving / F.lit(12))),
+                    F.expr(half_even_int("total_investment_usd / (annual_savings_usd / 12)")),
                 ).otherwise(fv.PAYBACK_NEVER),
-                "roi_3_years_pct": half_even_int(F.try_divide(net, total) * 100),
+                "roi_3_years_pct": half_even(F.try_divide(net, total) * 100).cast("int"),
                 "cumulative_savings_3y_usd": net,
             }
         )
@@ -141,11 +138,9 @@ def with_costs(decided: DataFrame) -> DataFrame:
 def with_risk_class(score_rows: DataFrame) -> DataFrame:
     """Composite regulatory risk with level, label, outcome and fine range."""
     composite = half_even_int(
-        F.col("regulatory_risk_score") * F.lit(0.30)
-        + (100 - F.col("pci_readiness_score")) * F.lit(0.25)
-        + (100 - F.col("sox_traceability_score")) * F.lit(0.15)
-        + F.col("pii_exposure_score") * F.lit(0.20)
-        + (100 - F.col("encryption_coverage_score")) * F.lit(0.10)
+        "regulatory_risk_score * 0.30D + (100 - pci_readiness_score) * 0.25D"
+        " + (100 - sox_traceability_score) * 0.15D + pii_exposure_score * 0.20D"
+        " + (100 - encryption_coverage_score) * 0.10D"
     )
     names = ("regulatory_risk_level", "risk_label", "audit_outcome", "fine_range")
 
@@ -157,7 +152,7 @@ def with_risk_class(score_rows: DataFrame) -> DataFrame:
         )
         return chosen.otherwise(last[position])
 
-    return score_rows.withColumn("composite_score", composite).withColumns(
+    return score_rows.withColumn("composite_score", F.expr(composite)).withColumns(
         {name: banded(position) for name, position in zip(names, (0, 2, 3, 4))}
     )
 

@@ -5,19 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope import fixed_values as fv
-
-
-def _literal(value) -> str:
-    if value is None:
-        return "NULL"
-    if isinstance(value, str):
-        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{value!r}D" if isinstance(value, float) else str(value)
+from pagoscope.functions import literal
 
 
 def table(spark: SparkSession, rows, *columns: str) -> DataFrame:
     """A local relation, which the optimizer folds or broadcasts, marked as small."""
-    values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    values = ", ".join("(" + ", ".join(map(literal, row)) + ")" for row in rows)
     frame = spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")
     return F.broadcast(frame)
 

@@ -17,11 +17,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
-from pagoscope.functions import is_blank, member, nan_to_null, parse_number, thousands
-from pagoscope.functions import upper_strip
+from pagoscope.functions import literal, literals, member
+from pagoscope.operators.quality_rules import with_helpers
 from pagoscope.sources.layout import ROW_ID
 
 FINDING_SCHEMA = (
@@ -33,7 +33,6 @@ FINDING_COLUMNS = (
     "affected_records",
 )
 TABLE_LEVEL, SYSTEM_LEVEL = "dataset-level", "system-level"
-AMOUNT = "_finding_amount"
 
 
 @dataclass(frozen=True)
@@ -49,11 +48,15 @@ class Finding:
 
 @dataclass(frozen=True)
 class RowFinding(Finding):
-    """One finding per payment that satisfies ``when``."""
+    """One finding per payment that satisfies ``when``.
 
-    when: Callable[[], Column]
-    record: Callable[[], Column]
-    detail: Callable[[], Column]
+    ``when``, ``record`` and ``detail`` are SQL texts over the payment columns
+    and the parsed helpers of the quality rules.
+    """
+
+    when: str
+    record: str
+    detail: str
 
 
 @dataclass(frozen=True)
@@ -61,18 +64,21 @@ class GroupFinding(Finding):
     """One finding per ``key`` with at least ``minimum`` payments that satisfy ``when``."""
 
     key: str
-    when: Callable[[], Column]
+    when: str
     minimum: int
-    detail: Callable[[Column, Column], Column]
+    detail: str
 
 
 @dataclass(frozen=True)
 class TableFinding(Finding):
-    """One finding when any payment satisfies ``when``; ``label`` tells fields apart."""
+    """One finding when any payment satisfies ``when``; ``label`` tells fields apart.
+
+    ``detail`` has a place ``{n}`` for the number of such payments.
+    """
 
     label: str
-    when: Callable[[], Column]
-    detail: Callable[[Column], Column]
+    when: str
+    detail: str
 
 
 @dataclass(frozen=True)
@@ -92,130 +98,119 @@ class CustomFinding(Finding):
     find: Callable[[DataFrame, Sequence[str]], DataFrame]
 
 
-def _amount() -> Column:
-    return F.col(AMOUNT)
-
-
-def _payment() -> Column:
-    return F.coalesce(F.col("payment_id"), F.lit("N/A"))
+PAYMENT = "coalesce(payment_id, 'N/A')"
+NUMBER_TEXT = (
+    "CASE WHEN _number = double('inf') THEN 'inf' ELSE format_number(_number, 2) END"
+)
 
 
-def _text(template: str, **values: Column) -> Column:
-    """Fill ``{name}`` places of a message with columns."""
-    parts: list[Column] = []
+def _text(template: str, **values: str) -> str:
+    """SQL text of a message whose ``{name}`` places are filled by expressions."""
+    parts = []
     for piece in template.replace("{", "\0{").replace("}", "}\0").split("\0"):
         if piece.startswith("{"):
-            parts.append(values[piece[1:-1]].cast("string"))
+            parts.append(f"CAST({values[piece[1:-1]]} AS STRING)")
         elif piece:
-            parts.append(F.lit(piece))
-    return F.concat(*parts)
+            parts.append(literal(piece))
+    return f"concat({', '.join(parts)})"
 
 
 # The rules, their labels and their message texts
 FINDINGS: tuple[Finding, ...] = (
     RowFinding(
         1, "MISSING_PAYMENT_ID", ("SOX", "PCI-DSS"), "CRITICAL", "traceability",
-        when=lambda: is_blank(F.col("payment_id")),
-        record=lambda: F.coalesce(F.col(ROW_ID).cast("string"), F.lit("N/A")),
-        detail=lambda: F.lit("payment_id nulo — transacción no auditable"),
+        when="_no_id",
+        record=f"coalesce(CAST({ROW_ID} AS STRING), 'N/A')",
+        detail=_text("payment_id nulo — transacción no auditable"),
     ),
     RowFinding(
         2, "INVALID_AMOUNT", ("SOX", "PCI-DSS"), "CRITICAL", "financial_integrity",
-        when=lambda: _amount().isNull() | (_amount() < 0),
-        record=_payment,
-        detail=lambda: _text(
+        when="_number IS NULL OR isnan(_number) OR _number < 0",
+        record=PAYMENT,
+        detail=_text(
             "amount='{amount}' — integridad financiera comprometida",
-            amount=F.coalesce(F.col("amount"), F.lit("null")),
+            amount="coalesce(amount, 'null')",
         ),
     ),
     GroupFinding(
         3, "DUPLICATE_PAYMENT_ID", ("PCI-DSS", "SOX", "Basel III"), "CRITICAL",
         "financial_integrity",
         key="payment_id",
-        when=lambda: F.col("payment_id").isNotNull(),
+        when="payment_id IS NOT NULL",
         minimum=2,
-        detail=lambda key, n: _text(
-            "payment_id '{key}' aparece {n} veces — riesgo de doble cargo", key=key, n=n
+        detail=_text(
+            "payment_id '{key}' aparece {n} veces — riesgo de doble cargo",
+            key="payment_id", n="affected_records",
         ),
     ),
     RowFinding(
         4, "OFAC_SANCTIONED_COUNTRY", ("OFAC", "AML", "PCI-DSS"), "CRITICAL",
         "sanctions_compliance",
-        when=lambda: member(F.col("country_code"), fv.SANCTIONED_COUNTRIES),
-        record=_payment,
-        detail=lambda: _text(
+        when=member("country_code", fv.SANCTIONED_COUNTRIES),
+        record=PAYMENT,
+        detail=_text(
             "Transacción con país sancionado '{country}' — violación OFAC",
-            country=F.col("country_code"),
+            country="country_code",
         ),
     ),
     RowFinding(
         5, "OFAC_SANCTIONED_CURRENCY", ("OFAC", "AML"), "CRITICAL", "sanctions_compliance",
-        when=lambda: member(F.col("currency_code"), fv.SANCTIONED_CURRENCIES),
-        record=_payment,
-        detail=lambda: _text(
-            "Moneda sancionada '{currency}' — violación OFAC", currency=F.col("currency_code")
+        when=member("currency_code", fv.SANCTIONED_CURRENCIES),
+        record=PAYMENT,
+        detail=_text(
+            "Moneda sancionada '{currency}' — violación OFAC", currency="currency_code"
         ),
     ),
     GroupFinding(
         6, "AML_STRUCTURING_PATTERN", ("AML", "FinCEN", "Basel III"), "CRITICAL",
         "aml_compliance",
         key="customer_name",
-        when=lambda: F.col("customer_name").isNotNull()
-        & _amount().between(fv.STRUCTURING_LOW, fv.STRUCTURING_HIGH),
+        when="customer_name IS NOT NULL AND"
+        f" _number BETWEEN {fv.STRUCTURING_LOW} AND {fv.STRUCTURING_HIGH}",
         minimum=fv.STRUCTURING_MIN_PAYMENTS,
-        detail=lambda key, n: _text(
-            "'{key}' tiene {n} transacciones entre ${low}–${high} — patrón de structuring AML",
-            key=key, n=n, low=thousands(F.lit(fv.STRUCTURING_LOW)),
-            high=thousands(F.lit(fv.STRUCTURING_HIGH)),
+        detail=_text(
+            f"'{{key}}' tiene {{n}} transacciones entre ${fv.STRUCTURING_LOW:,}–"
+            f"${fv.STRUCTURING_HIGH:,} — patrón de structuring AML",
+            key="customer_name", n="affected_records",
         ),
     ),
     *(
         TableFinding(
             7, "PLAINTEXT_PII_FIELD", ("GDPR", "PCI-DSS", "DORA"), "HIGH", "encryption",
             label=field,
-            when=lambda field=field: ~is_blank(F.col(field)),
-            detail=lambda n, field=field: _text(
-                f"Campo '{field}' contiene {{n}} valores PII en texto plano"
-                " — cifrado requerido", n=n,
-            ),
+            when=f"NOT {blank}",
+            detail=f"Campo '{field}' contiene {{n}} valores PII en texto plano"
+            " — cifrado requerido",
         )
-        for field in fv.PII_FIELDS
+        for field, blank in zip(fv.PII_FIELDS, ("_no_name", "_no_email"))
     ),
     RowFinding(
         8, "MISSING_CUSTOMER_IDENTITY", ("GDPR", "PCI-DSS"), "HIGH", "audit",
-        when=lambda: is_blank(F.col("customer_name")) & is_blank(F.col("customer_email")),
-        record=_payment,
-        detail=lambda: F.lit(
-            "customer_name y customer_email nulos — cliente no identificable"
-        ),
+        when="_no_name AND _no_email",
+        record=PAYMENT,
+        detail=_text("customer_name y customer_email nulos — cliente no identificable"),
     ),
     *(
         TableFinding(
             9, "NULL_TIMESTAMP", ("SOX", "Basel III", "DORA"), "MEDIUM", "audit_trail",
             label=field,
-            when=lambda field=field: is_blank(F.col(field)),
-            detail=lambda n, field=field: _text(
-                f"'{field}' nulo en {{n}} registros — audit trail incompleto", n=n
-            ),
+            when=blank,
+            detail=f"'{field}' nulo en {{n}} registros — audit trail incompleto",
         )
-        for field in fv.TIMESTAMP_FIELDS
+        for field, blank in zip(fv.TIMESTAMP_FIELDS, ("_no_created", "_no_updated"))
     ),
     TableFinding(
         10, "MISSING_SOURCE_SYSTEM", ("SOX", "Basel III", "DORA"), "MEDIUM", "audit_trail",
         label="source_system",
-        when=lambda: is_blank(F.col("source_system")),
-        detail=lambda n: _text(
-            "source_system nulo en {n} registros — linaje de datos no trazable", n=n
-        ),
+        when="_no_source",
+        detail="source_system nulo en {n} registros — linaje de datos no trazable",
     ),
     TableFinding(
         11, "INVALID_TRANSACTION_STATUS", ("PCI-DSS", "SOX"), "HIGH", "financial_integrity",
         label="status",
-        when=lambda: ~member(upper_strip(F.col("status")), fv.STATUSES),
-        detail=lambda n: _text(
-            "{n} registros con status nulo o no reconocido — integridad del ciclo de vida"
-            " comprometida", n=n,
-        ),
+        when=f"NOT {member('_status', fv.STATUSES)}",
+        detail="{n} registros con status nulo o no reconocido — integridad del ciclo de vida"
+        " comprometida",
     ),
     SystemFinding(
         12, "DORA_NO_AUDIT_LOG", ("DORA", "NIST_CSF"), "HIGH", "operational_resilience",
@@ -228,11 +223,10 @@ FINDINGS: tuple[Finding, ...] = (
     ),
     RowFinding(
         14, "EXTREME_AMOUNT", ("AML", "PCI-DSS", "Basel III"), "HIGH", "aml_compliance",
-        when=lambda: _amount() > fv.EXTREME_AMOUNT,
-        record=_payment,
-        detail=lambda: _text(
-            "Monto extremo USD {amount} — requiere revisión manual AML",
-            amount=thousands(_amount(), 2),
+        when=f"_number > {fv.EXTREME_AMOUNT} AND NOT isnan(_number)",
+        record=PAYMENT,
+        detail=_text(
+            "Monto extremo USD {amount} — requiere revisión manual AML", amount=NUMBER_TEXT
         ),
     ),
 )
@@ -247,22 +241,20 @@ def of_kind(rules: Sequence[Finding], kind: type) -> list:
     return [rule for rule in rules if isinstance(rule, kind)]
 
 
-def with_amount(payments: DataFrame) -> DataFrame:
-    """Add the coercing number reading of ``amount`` once for all rules.
+def parsed(payments: DataFrame) -> DataFrame:
+    """Payments with the parsed helpers that the rules read.
 
     Tables without a row key get a NULL one, so that findings still can be told.
     """
     if ROW_ID not in payments.columns:
         payments = payments.withColumn(ROW_ID, F.lit(None).cast("string"))
-    return payments.withColumn("_parsed_amount", parse_number(F.col("amount"))).withColumn(
-        AMOUNT, nan_to_null(F.col("_parsed_amount"))
-    ).drop("_parsed_amount")
+    return with_helpers(payments, F.lit(None).cast("timestamp"))
 
 
-def group_counts(payments: DataFrame, rule: GroupFinding, group_by: Sequence[str]) -> DataFrame:
-    """Keys of a group rule with their payment counts."""
+def group_counts(rows: DataFrame, rule: GroupFinding, group_by: Sequence[str]) -> DataFrame:
+    """Keys of a group rule with their payment counts, on parsed payments."""
     return (
-        payments.where(rule.when())
+        rows.where(rule.when)
         .groupBy(*group_by, rule.key)
         .agg(F.count(F.lit(1)).alias("affected_records"))
         .where(F.col("affected_records") >= rule.minimum)
@@ -274,51 +266,50 @@ def union_zones(clean: DataFrame, errors: DataFrame) -> DataFrame:
     return clean.unionByName(errors, allowMissingColumns=True)
 
 
-def _finding_struct(rule: Finding, record: Column, detail: Column, affected: Column) -> Column:
-    return F.struct(
-        F.lit(rule.seq).alias("rule_seq"),
-        F.lit(rule.rule).alias("rule"),
-        F.array(*[F.lit(name) for name in rule.frameworks]).alias("framework"),
-        F.lit(rule.severity).alias("severity"),
-        record.alias("record"),
-        detail.alias("detail"),
-        F.lit(rule.risk_area).alias("risk_area"),
-        affected.cast("bigint").alias("affected_records"),
+def _finding(rule: Finding, record: str, detail: str, affected: str) -> str:
+    """SQL text of one finding as a struct."""
+    return (
+        f"named_struct('rule_seq', {rule.seq}, 'rule', {literal(rule.rule)},"
+        f" 'framework', array({literals(rule.frameworks)}),"
+        f" 'severity', {literal(rule.severity)}, 'record', {record}, 'detail', {detail},"
+        f" 'risk_area', {literal(rule.risk_area)},"
+        f" 'affected_records', CAST({affected} AS BIGINT))"
     )
 
 
-def _row_findings(payments, rules, group_by) -> DataFrame:
+def _unnested(rows: DataFrame, finding: str, group_by: Sequence[str]) -> DataFrame:
+    return rows.select(*group_by, F.expr(finding).alias("_f")).select(*group_by, "_f.*")
+
+
+def _row_findings(rows, rules, group_by) -> DataFrame:
     # Only the rule number is unpivoted; texts are built for the rows that stay.
-    hits = F.array(*[F.when(r.when(), F.lit(i)) for i, r in enumerate(rules)])
-    found = payments.withColumn("_hit", F.explode(hits)).where(F.col("_hit").isNotNull())
-    finding = reduce(
-        lambda chosen, pair: chosen.when(F.col("_hit") == pair[0], pair[1]),
-        [
-            (i, _finding_struct(r, r.record(), r.detail(), F.lit(None)))
-            for i, r in enumerate(rules)
-        ],
-        F,
+    hits = ", ".join(f"CASE WHEN {r.when} THEN {i} END" for i, r in enumerate(rules))
+    found = rows.withColumn("_hit", F.expr(f"explode(array({hits}))")).where(
+        "_hit IS NOT NULL"
+    )
+    cases = " ".join(
+        f"WHEN {i} THEN {_finding(r, r.record, r.detail, 'NULL')}" for i, r in enumerate(rules)
     )
-    return found.select(*group_by, finding.alias("_f")).select(*group_by, "_f.*")
+    return _unnested(found, f"CASE _hit {cases} END", group_by)
 
 
-def _table_findings(payments, rules, group_by) -> DataFrame:
+def _table_findings(rows, rules, group_by) -> DataFrame:
     """Table and system rules from one aggregate (one row per group)."""
     tables = of_kind(rules, TableFinding)
-    counts = payments.groupBy(*group_by).agg(
+    counts = rows.groupBy(*group_by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(r.when()).alias(f"_n{i}") for i, r in enumerate(tables)],
+        *[F.expr(f"count_if({r.when}) AS _n{i}") for i, r in enumerate(tables)],
+    )
+    found = [
+        _finding(r, literal(TABLE_LEVEL), _text(r.detail, n=f"_n{i}"), f"_n{i}")
+        for i, r in enumerate(tables)
+    ] + [
+        _finding(r, literal(SYSTEM_LEVEL), literal(r.detail), "NULL")
+        for r in of_kind(rules, SystemFinding)
+    ]
+    return counts.selectExpr(*group_by, f"inline(array({', '.join(found)}))").where(
+        "affected_records IS NULL OR affected_records > 0"
     )
-    rows = []
-    for i, rule in enumerate(tables):
-        n = F.col(f"_n{i}")
-        rows.append(_finding_struct(rule, F.lit(TABLE_LEVEL), rule.detail(n), n))
-    for rule in of_kind(rules, SystemFinding):
-        rows.append(
-            _finding_struct(rule, F.lit(SYSTEM_LEVEL), F.lit(rule.detail), F.lit(None))
-        )
-    found = F.col("affected_records").isNull() | (F.col("affected_records") > 0)
-    return counts.select(*group_by, F.inline(F.array(*rows))).where(found)
 
 
 def findings(
@@ -330,33 +321,21 @@ def findings(
 
     With ``group_by`` each group is judged as a table of its own.
     """
-    parsed = with_amount(payments)
+    rows = parsed(payments)
     parts: list[DataFrame] = []
-    if rows := of_kind(rules, RowFinding):
-        parts.append(_row_findings(parsed, rows, group_by))
+    if row_rules := of_kind(rules, RowFinding):
+        parts.append(_row_findings(rows, row_rules, group_by))
     for rule in of_kind(rules, GroupFinding):
-        n, key = F.col("affected_records"), F.col(rule.key)
-        finding = _finding_struct(rule, key, rule.detail(key, n), n)
-        parts.append(
-            group_counts(parsed, rule, group_by)
-            .select(*group_by, finding.alias("_f"))
-            .select(*group_by, "_f.*")
-        )
+        finding = _finding(rule, rule.key, rule.detail, "affected_records")
+        parts.append(_unnested(group_counts(rows, rule, group_by), finding, group_by))
     if of_kind(rules, TableFinding) or of_kind(rules, SystemFinding):
-        parts.append(_table_findings(parsed, rules, group_by))
+        parts.append(_table_findings(rows, rules, group_by))
     for rule in of_kind(rules, CustomFinding):
-        parts.append(_custom(payments, rule, group_by))
+        finding = _finding(rule, "record", "detail", "affected_records")
+        parts.append(_unnested(rule.find(payments, group_by), finding, group_by))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _custom(payments, rule: CustomFinding, group_by) -> DataFrame:
-    found = rule.find(payments, group_by)
-    finding = _finding_struct(
-        rule, F.col("record"), F.col("detail"), F.col("affected_records")
-    )
-    return found.select(*group_by, finding.alias("_f")).select(*group_by, "_f.*")
-
-
 def duplicate_rows(payments: DataFrame, hot_ids: int = 1000) -> DataFrame:
     """E3 at row level: every payment whose non-null id occurs more than once.
 

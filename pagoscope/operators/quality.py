@@ -3,17 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
 from pagoscope.functions import (
-    clamp, code_family, half_even, half_even_int, join_codes, moment, percent, ratio,
+    clamp, code_family, half_even_int, join_codes, literal, moment, percent, ratio,
 )
 from pagoscope.operators.quality_rules import (
-    CRITICAL, RULES, WARNING, Payment, Rule, with_helpers,
+    CRITICAL, RULES, WARNING, Rule, with_helpers,
 )
 from pagoscope.sources.layout import ERRORS_COLUMN, ROW_ID
 
@@ -22,38 +20,37 @@ Rules = Sequence[Rule]
 
 def with_codes(payments: DataFrame, rules: Rules = RULES, as_of=None) -> DataFrame:
     """Payments, the parsed helpers, one code column per rule, and two flags."""
-    row = Payment(moment(as_of))
-    return (
-        with_helpers(payments)
-        .withColumns({r.column: r.code(row) for r in rules})
-        .withColumns(
-            {"is_error": _any_code(rules, CRITICAL), "is_warning": _any_code(rules, WARNING)}
-        )
+    coded = with_helpers(payments, moment(as_of)).withColumns(
+        {r.column: r.expression() for r in rules}
+    )
+    return coded.withColumns(
+        {
+            "is_error": F.expr(_any_code(rules, CRITICAL)),
+            "is_warning": F.expr(_any_code(rules, WARNING)),
+        }
     )
 
 
-def _any_code(rules: Rules, level: str) -> Column:
-    codes = [F.col(r.column) for r in rules if r.level == level]
-    return F.coalesce(*codes).isNotNull() if codes else F.lit(False)
+def _any_code(rules: Rules, level: str) -> str:
+    codes = [r.column for r in rules if r.level == level]
+    return f"coalesce({', '.join(codes)}) IS NOT NULL" if codes else "false"
 
 
-def _texts(rules: Rules, level: str, mark: str = "") -> list[Column]:
+def _texts(rules: Rules, level: str, mark: str = "") -> list[str]:
     # concat of a NULL code is NULL, which concat_ws then skips
-    return [F.concat(F.lit(mark), F.col(r.column)) for r in rules if r.level == level]
+    return [f"concat('{mark}', {r.column})" for r in rules if r.level == level]
 
 
 def evaluate(payments: DataFrame, rules: Rules = RULES, as_of=None) -> DataFrame:
     """Payments with ``critical``, ``warning``, ``is_error`` and ``dq_errors``."""
     coded = with_codes(payments, rules, as_of)
+    marked = join_codes(*_texts(rules, CRITICAL, "[C]"), *_texts(rules, WARNING, "[W]"))
     return coded.select(
         *payments.columns,
-        join_codes(*_texts(rules, CRITICAL)).alias("critical"),
-        join_codes(*_texts(rules, WARNING)).alias("warning"),
+        F.expr(join_codes(*_texts(rules, CRITICAL))).alias("critical"),
+        F.expr(join_codes(*_texts(rules, WARNING))).alias("warning"),
         "is_error",
-        F.when(
-            F.col("is_error"),
-            join_codes(*_texts(rules, CRITICAL, "[C]"), *_texts(rules, WARNING, "[W]")),
-        ).alias(ERRORS_COLUMN),
+        F.when(F.col("is_error"), F.expr(marked)).alias(ERRORS_COLUMN),
     )
 
 
@@ -93,41 +90,41 @@ def _open_columns(rules: Rules) -> list[str]:
     return [r.column for r in rules if r.families is None]
 
 
-def count_measures(rules: Rules) -> list[Column]:
-    """Conditional counts of the quality pass, for use in one ``agg``."""
-    measures = [
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if("is_error").alias("error_records"),
-        F.count_if("is_warning").alias("warning_records"),
-    ]
+def count_measures(rules: Rules) -> dict[str, str]:
+    """Conditional counts of the quality pass: name -> SQL condition."""
+    measures = {"total_records": "true", "error_records": "is_error",
+                "warning_records": "is_warning"}
     for rule in rules:
         families = rule.families or ()
         for family in families:
-            code = F.col(rule.column)
-            hit = code.isNotNull()
+            hit = f"{rule.column} IS NOT NULL"
             if len(families) > 1:
-                hit = (code == family) | code.startswith(f"{family}:")
-            measures.append(F.count_if(hit).alias(f"n_{family}"))
+                hit = (
+                    f"{rule.column} = {literal(family)}"
+                    f" OR startswith({rule.column}, {literal(family + ':')})"
+                )
+            measures[f"n_{family}"] = hit
     return measures
 
 
-def counted(coded: DataFrame, rules: Rules, group_by: Sequence[str], *more: Column) -> DataFrame:
+def counted(
+    coded: DataFrame, rules: Rules, group_by: Sequence[str], more: dict[str, str] | None = None
+) -> DataFrame:
     """The single pass: one row per group and open code family."""
-    keys = [code_family(F.col(c)).alias(c) for c in _open_columns(rules)]
-    return coded.groupBy(*group_by, *keys).agg(*count_measures(rules), *more)
+    keys = [F.expr(code_family(c)).alias(c) for c in _open_columns(rules)]
+    conditions = {**count_measures(rules), **(more or {})}
+    return coded.groupBy(*group_by, *keys).agg(
+        *[F.expr(f"count_if({when}) AS `{name}`") for name, when in conditions.items()]
+    )
 
 
 def _long_counts(counts: DataFrame, rules: Rules, group_by: Sequence[str]) -> DataFrame:
-    pairs = [
-        F.struct(F.lit(family).alias("rule_name"), F.col(f"n_{family}").alias("n"))
-        for _, family in _fixed_families(rules)
-    ] + [
-        F.struct(F.col(c).alias("rule_name"), F.col("total_records").alias("n"))
-        for c in _open_columns(rules)
-    ]
+    pairs = [f"{literal(family)}, `n_{family}`" for _, family in _fixed_families(rules)]
+    pairs += [f"{c}, total_records" for c in _open_columns(rules)]
+    unpivot = f"stack({len(pairs)}, {', '.join(pairs)}) AS (rule_name, n)"
     return (
-        counts.select(*group_by, F.inline(F.array(*pairs)))
-        .where(F.col("rule_name").isNotNull() & (F.col("n") > 0))
+        counts.selectExpr(*group_by, unpivot)
+        .where("rule_name IS NOT NULL AND n > 0")
         .groupBy(*group_by, "rule_name")
         .agg(F.sum("n").alias("failed_records"))
     )
@@ -167,36 +164,32 @@ def rule_detail(
     )
 
 
-def rolled_up(counts: DataFrame, rules: Rules, group_by: Sequence[str], *more: Column) -> DataFrame:
+def rolled_up(
+    counts: DataFrame, rules: Rules, group_by: Sequence[str], more: Sequence[str] = ()
+) -> DataFrame:
     """Fold the open families of :func:`counted` into one row per group."""
-    fixed = [family for _, family in _fixed_families(rules)]
-    sums = [
-        F.coalesce(F.sum(c), F.lit(0)).alias(c)
-        for c in ("total_records", "error_records", "warning_records")
-        + tuple(f"n_{family}" for family in fixed)
+    fixed = [f"n_{family}" for _, family in _fixed_families(rules)]
+    opens = _open_columns(rules)
+    sums = ["total_records", "error_records", "warning_records", *fixed, *more]
+    folds = [f"coalesce(sum(`{name}`), 0) AS `{name}`" for name in sums]
+    folds += [f"count(DISTINCT {c}) AS families{c}" for c in opens]
+    folds += [
+        f"coalesce(sum(CASE WHEN {c} IS NOT NULL THEN total_records END), 0) AS issues{c}"
+        for c in opens
     ]
-    opens = []
-    for c in _open_columns(rules):
-        opens.append(F.count_distinct(F.col(c)).alias(f"families{c}"))
-        hits = F.sum(F.when(F.col(c).isNotNull(), F.col("total_records")))
-        opens.append(F.coalesce(hits, F.lit(0)).alias(f"issues{c}"))
-    folded = counts.groupBy(*group_by).agg(*sums, *opens, *more)
-    failed = [(F.col(f"n_{family}") > 0).cast("bigint") for family in fixed] + [
-        F.col(f"families{c}") for c in _open_columns(rules)
-    ]
-    issues = [F.col(f"n_{family}") for family in fixed] + [
-        F.col(f"issues{c}") for c in _open_columns(rules)
-    ]
-    spent = [f"n_{family}" for family in fixed]
-    spent += [f"{kind}{c}" for c in _open_columns(rules) for kind in ("families", "issues")]
-    return folded.withColumns(
-        {
-            "total_rules": F.lit(len(rules)).cast("bigint"),
-            "failed_rules": reduce(add, failed, F.lit(0).cast("bigint")),
-            "total_issues": reduce(add, issues, F.lit(0).cast("bigint")),
-            "clean_records": F.col("total_records") - F.col("error_records"),
-        }
-    ).drop(*spent)
+    failed = [f"CAST(`{n}` > 0 AS BIGINT)" for n in fixed] + [f"families{c}" for c in opens]
+    issues = [f"`{n}`" for n in fixed] + [f"issues{c}" for c in opens]
+    return counts.groupBy(*group_by).agg(*map(F.expr, folds)).selectExpr(
+        *group_by,
+        "total_records",
+        f"CAST({len(rules)} AS BIGINT) AS total_rules",
+        f"{' + '.join(failed) or '0L'} AS failed_rules",
+        f"{' + '.join(issues) or '0L'} AS total_issues",
+        "total_records - error_records AS clean_records",
+        "error_records",
+        "warning_records",
+        *[f"`{name}`" for name in more],
+    )
 
 
 SUMMARY_COLUMNS = (
@@ -215,8 +208,8 @@ def summary(
 
 def data_quality_score() -> Column:
     """Clean percentage minus 0.3 per failed family, rounded, 0..100."""
-    share = F.coalesce(ratio(F.col("clean_records"), F.col("total_records")), F.lit(1.0))
-    return clamp(half_even_int(share * 100 - F.col("failed_rules") * F.lit(0.3)), 0, 100)
+    share = f"coalesce({ratio('clean_records', 'total_records')}, 1D)"
+    return F.expr(clamp(half_even_int(f"{share} * 100 - failed_rules * 0.3D"), 0, 100))
 
 
 def readiness(summary_rows: DataFrame, posture: dict[str, int | Column] | None = None) -> DataFrame:
@@ -232,12 +225,10 @@ def readiness(summary_rows: DataFrame, posture: dict[str, int | Column] | None =
     }
     scored = summary_rows.withColumns({"data_quality_score": data_quality_score(), **as_int})
     general = (
-        F.col("data_quality_score")
-        + F.col("cloud_readiness_score")
-        + (100 - F.col("security_risk_score"))
-        + (100 - F.col("compliance_risk_score"))
-    ) / 4
-    return scored.withColumn("readiness_general", half_even_int(general))
+        "(data_quality_score + cloud_readiness_score + (100 - security_risk_score)"
+        " + (100 - compliance_risk_score)) / 4"
+    )
+    return scored.withColumn("readiness_general", F.expr(half_even_int(general)))
 
 
 def readiness_texts(scored: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
@@ -249,18 +240,16 @@ def texts_by_threshold(scored: DataFrame, table, group_by: Sequence[str]) -> Dat
     """Unpivot scores to (dimension, score, interpretation) by a threshold table."""
     rows = []
     for dimension, column, comparison, threshold, text, otherwise in table:
-        score = F.lit(None).cast("int") if column is None else F.col(column)
-        shown = F.lit(text)
+        shown = literal(text)
         if column is not None:
-            shown = F.when(holds(score, comparison, threshold), text).otherwise(otherwise)
-        rows.append(
-            F.struct(
-                F.lit(dimension).alias("dimension"),
-                score.alias("score"),
-                shown.alias("interpretation"),
+            shown = (
+                f"CASE WHEN {column} {comparison} {threshold} THEN {literal(text)}"
+                f" ELSE {literal(otherwise)} END"
             )
-        )
-    return scored.select(*group_by, F.inline(F.array(*rows)))
+        rows.append(f"{literal(dimension)}, CAST({column or 'NULL'} AS INT), {shown}")
+    return scored.selectExpr(
+        *group_by, f"stack({len(rows)}, {', '.join(rows)}) AS (dimension, score, interpretation)"
+    )
 
 
 def holds(value: Column, comparison: str, threshold: int) -> Column:
@@ -273,10 +262,9 @@ def holds(value: Column, comparison: str, threshold: int) -> Column:
 
 def zone_percentages(summary_rows: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """Share of each zone to one digit."""
-    total = F.col("total_records")
-    return summary_rows.select(
+    return summary_rows.selectExpr(
         *group_by,
         "total_records",
-        percent(F.col("clean_records"), total).alias("pct_clean"),
-        percent(F.col("error_records"), total).alias("pct_error"),
+        f"{percent('clean_records', 'total_records')} AS pct_clean",
+        f"{percent('error_records', 'total_records')} AS pct_error",
     )

@@ -1,6 +1,6 @@
 """Row quality rules (C1-C14) and their registry (K1).
 
-A rule is a Column: the code text when a row breaks it, NULL when it passes.
+A rule is an expression: the code text when a row breaks it, NULL when it passes.
 Rules are ordered, and the order is kept in every text built from the codes.
 """
 
@@ -12,183 +12,139 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
-from pagoscope.functions import is_blank, is_email, member, parse_number, parse_timestamp
-from pagoscope.functions import strip, upper_strip
+from pagoscope.functions import (
+    is_blank, is_email, literal, literals, member, parse_number, parse_timestamp, strip,
+    upper_strip,
+)
 
 CRITICAL, WARNING = "CRITICAL", "WARNING"
 
-_HELPERS = {
-    "amount_number": lambda: parse_number(F.col("amount")),
-    "created_time": lambda: parse_timestamp(F.col("created_at")),
-    "updated_time": lambda: parse_timestamp(F.col("updated_at")),
-    "status_key": lambda: upper_strip(F.col("status")),
-    "currency_key": lambda: upper_strip(F.col("currency_code")),
-    "country_text": lambda: strip(F.col("country_code")),
-    "email_text": lambda: strip(F.col("customer_email")),
+AS_OF = "_as_of"
+
+# Parsed once per payment and shared by rules and findings: name -> SQL text.
+HELPERS = {
+    "_no_id": is_blank("payment_id"),
+    "_no_name": is_blank("customer_name"),
+    "_no_email": is_blank("customer_email"),
+    "_no_amount": is_blank("amount"),
+    "_no_currency": is_blank("currency_code"),
+    "_no_status": is_blank("status"),
+    "_no_country": is_blank("country_code"),
+    "_no_created": is_blank("created_at"),
+    "_no_updated": is_blank("updated_at"),
+    "_no_source": is_blank("source_system"),
+    "_number": parse_number("amount"),
+    "_created": parse_timestamp("created_at"),
+    "_updated": parse_timestamp("updated_at"),
+    "_status": upper_strip("status"),
+    "_currency": upper_strip("currency_code"),
+    "_country": strip("country_code"),
+    "_email": strip("customer_email"),
 }
 
 
-class Payment:
-    """Columns a rule may read: raw ones by item, parsed ones by attribute."""
-
-    def __init__(self, as_of: Column):
-        self.as_of = as_of
-
-    def __getitem__(self, name: str) -> Column:
-        return F.col(name)
-
-    def __getattr__(self, name: str) -> Column:
-        if name in _HELPERS:
-            return F.col(helper_name(name))
-        raise AttributeError(name)
-
-
 @dataclass(frozen=True)
 class Rule:
     """One quality rule.
 
-    ``families`` lists the code families the rule can emit; ``None`` says the
-    family itself depends on the data (one code per currency and country).
+    ``code`` is SQL text over the payment columns, the ``HELPERS`` and
+    ``_as_of`` (or a callable that returns a Column). ``families`` lists the
+    code families the rule can emit; ``None`` says the family itself depends on
+    the data (one code per currency and country).
     """
 
     name: str
     level: str
-    code: Callable[[Payment], Column]
+    code: str | Callable[[], Column]
     families: tuple[str, ...] | None
 
     @property
     def column(self) -> str:
         return f"_code_{self.name}"
 
+    def expression(self) -> Column:
+        return F.expr(self.code) if isinstance(self.code, str) else self.code()
 
-def helper_name(name: str) -> str:
-    return f"_{name}"
-
-
-def with_helpers(payments: DataFrame) -> DataFrame:
-    """Parse each text once; rules and findings share the parsed columns."""
-    return payments.withColumns({helper_name(n): make() for n, make in _HELPERS.items()})
-
-
-def _payment_id(p: Payment) -> Column:
-    return F.when(is_blank(p["payment_id"]), F.lit("payment_id_nulo"))
-
-
-def _amount_missing(p: Payment) -> Column:
-    return F.when(is_blank(p["amount"]), F.lit("amount_nulo"))
-
-
-def _amount_sign(p: Payment) -> Column:
-    return F.when(
-        p["amount"].isNotNull() & p.amount_number.isNull(), F.lit("amount_no_numerico")
-    ).when(p.amount_number < 0, F.lit("amount_negativo"))
-
-
-def _amount_limit(p: Payment) -> Column:
-    # NaN sorts above every number in Spark, so it is excluded explicitly.
-    over = (p.amount_number > fv.AMOUNT_LIMIT) & ~F.isnan(p.amount_number)
-    return F.when(over, F.lit("amount_supera_limite"))
 
+def with_helpers(payments: DataFrame, as_of: Column) -> DataFrame:
+    """Parse each text once; columns that nothing reads are pruned away."""
+    parsed = {name: F.expr(text) for name, text in HELPERS.items()}
+    return payments.withColumns({**parsed, AS_OF: as_of})
 
-def _completed_without_amount(p: Payment) -> Column:
-    return F.when(
-        (p.status_key == "COMPLETED") & is_blank(p["amount"]), F.lit("completado_sin_monto")
-    )
 
+def _cases(*pairs: tuple[str, str]) -> str:
+    """``CASE`` over (condition, code text expression), first match wins."""
+    return "CASE " + " ".join(f"WHEN {when} THEN {code}" for when, code in pairs) + " END"
 
-def _status(p: Payment) -> Column:
-    return (
-        F.when(is_blank(p["status"]), F.lit("status_nulo_legacy"))
-        .when(p.status_key == "UNKNOWN", F.lit("status_unknown_legacy"))
-        .when(
-            ~p.status_key.isin(*fv.STATUSES),
-            F.concat(F.lit("status_no_reconocido:"), p.status_key),
-        )
-    )
 
-
-def _currency(p: Payment) -> Column:
-    return (
-        F.when(is_blank(p["currency_code"]), F.lit("currency_nulo_legacy"))
-        .when(
-            p.currency_key.isin(*fv.CURRENCIES_WITHOUT_VALUE), F.lit("currency_sin_valor_iso")
-        )
-        .when(
-            ~p.currency_key.isin(*fv.CURRENCIES),
-            F.concat(F.lit("currency_no_habilitada:"), p.currency_key),
-        )
-    )
-
-
-def _country(p: Payment) -> Column:
-    return F.when(is_blank(p["country_code"]), F.lit("country_nulo")).when(
-        ~F.upper(p.country_text).isin(*fv.COUNTRIES),
-        F.concat(F.lit("country_desconocido:"), p.country_text),
-    )
-
-
-def _email_missing(p: Payment) -> Column:
-    return F.when(is_blank(p["customer_email"]), F.lit("customer_email_nulo"))
-
-
-def _email_shape(p: Payment) -> Column:
-    return F.when(
-        ~is_blank(p["customer_email"]) & ~is_email(p.email_text),
-        F.lit("email_formato_invalido"),
-    )
-
-
-def _created(p: Payment) -> Column:
-    return (
-        F.when(is_blank(p["created_at"]), F.lit("created_at_nulo"))
-        .when(p.created_time.isNull(), F.lit("created_at_formato_invalido"))
-        .when(p.created_time > p.as_of, F.lit("created_at_futura"))
-    )
-
-
-def _updated(p: Payment) -> Column:
-    return F.when(
-        p.updated_time < p.created_time, F.lit("updated_at_menor_que_created_at")
-    )
-
-
-def _country_currency(p: Payment) -> Column:
-    """A null currency takes part as the text ``NAN``; a blank one does not."""
-    country = F.upper(p.country_text)
-    currency = F.coalesce(p.currency_key, F.lit("NAN"))
-    expected = F.lit(False)
-    for code, allowed in fv.COUNTRY_CURRENCIES.items():
-        expected = expected | ((country == code) & currency.isin(*allowed))
-    judged = member(country, fv.COUNTRY_CURRENCIES) & ~currency.isin("", "USD")
-    return F.when(
-        judged & ~expected,
-        F.concat(F.lit("moneda_"), currency, F.lit("_no_esperada_para_"), country),
-    )
-
-
-def _source_system(p: Payment) -> Column:
-    return F.when(is_blank(p["source_system"]), F.lit("source_system_nulo"))
+def _expected_pair() -> str:
+    """The currency is one of those the country allows."""
+    pairs = [
+        f"(upper(_country) = {literal(country)}"
+        f" AND coalesce(_currency, 'NAN') IN ({literals(allowed)}))"
+        for country, allowed in fv.COUNTRY_CURRENCIES.items()
+    ]
+    return "(" + " OR ".join(pairs) + ")"
 
 
 RULES: tuple[Rule, ...] = (
-    Rule("payment_id", CRITICAL, _payment_id, ("payment_id_nulo",)),
-    Rule("amount_missing", CRITICAL, _amount_missing, ("amount_nulo",)),
-    Rule("amount_sign", CRITICAL, _amount_sign, ("amount_no_numerico", "amount_negativo")),
-    Rule("amount_limit", CRITICAL, _amount_limit, ("amount_supera_limite",)),
-    Rule("completed_without_amount", WARNING, _completed_without_amount,
+    Rule("payment_id", CRITICAL, _cases(("_no_id", "'payment_id_nulo'")),
+         ("payment_id_nulo",)),
+    Rule("amount_missing", CRITICAL, _cases(("_no_amount", "'amount_nulo'")),
+         ("amount_nulo",)),
+    Rule("amount_sign", CRITICAL,
+         _cases(("amount IS NOT NULL AND _number IS NULL", "'amount_no_numerico'"),
+                ("_number < 0", "'amount_negativo'")),
+         ("amount_no_numerico", "amount_negativo")),
+    # NaN sorts above every number in Spark, so it is excluded explicitly.
+    Rule("amount_limit", CRITICAL,
+         _cases((f"_number > {literal(fv.AMOUNT_LIMIT)} AND NOT isnan(_number)",
+                 "'amount_supera_limite'")),
+         ("amount_supera_limite",)),
+    Rule("completed_without_amount", WARNING,
+         _cases(("_status = 'COMPLETED' AND _no_amount", "'completado_sin_monto'")),
          ("completado_sin_monto",)),
-    Rule("status", WARNING, _status,
+    Rule("status", WARNING,
+         _cases(("_no_status", "'status_nulo_legacy'"),
+                ("_status = 'UNKNOWN'", "'status_unknown_legacy'"),
+                (f"_status NOT IN ({literals(fv.STATUSES)})",
+                 "concat('status_no_reconocido:', _status)")),
          ("status_nulo_legacy", "status_unknown_legacy", "status_no_reconocido")),
-    Rule("currency", WARNING, _currency,
+    Rule("currency", WARNING,
+         _cases(("_no_currency", "'currency_nulo_legacy'"),
+                (f"_currency IN ({literals(fv.CURRENCIES_WITHOUT_VALUE)})",
+                 "'currency_sin_valor_iso'"),
+                (f"_currency NOT IN ({literals(fv.CURRENCIES)})",
+                 "concat('currency_no_habilitada:', _currency)")),
          ("currency_nulo_legacy", "currency_sin_valor_iso", "currency_no_habilitada")),
-    Rule("country", WARNING, _country, ("country_nulo", "country_desconocido")),
-    Rule("email_missing", WARNING, _email_missing, ("customer_email_nulo",)),
-    Rule("email_shape", WARNING, _email_shape, ("email_formato_invalido",)),
-    Rule("created_at", WARNING, _created,
+    Rule("country", WARNING,
+         _cases(("_no_country", "'country_nulo'"),
+                (f"upper(_country) NOT IN ({literals(fv.COUNTRIES)})",
+                 "concat('country_desconocido:', _country)")),
+         ("country_nulo", "country_desconocido")),
+    Rule("email_missing", WARNING, _cases(("_no_email", "'customer_email_nulo'")),
+         ("customer_email_nulo",)),
+    Rule("email_shape", WARNING,
+         _cases((f"NOT _no_email AND NOT {is_email('_email')}", "'email_formato_invalido'")),
+         ("email_formato_invalido",)),
+    Rule("created_at", WARNING,
+         _cases(("_no_created", "'created_at_nulo'"),
+                ("_created IS NULL", "'created_at_formato_invalido'"),
+                (f"_created > {AS_OF}", "'created_at_futura'")),
          ("created_at_nulo", "created_at_formato_invalido", "created_at_futura")),
-    Rule("updated_at", WARNING, _updated, ("updated_at_menor_que_created_at",)),
-    Rule("country_currency", WARNING, _country_currency, None),
-    Rule("source_system", WARNING, _source_system, ("source_system_nulo",)),
+    Rule("updated_at", WARNING,
+         _cases(("_updated < _created", "'updated_at_menor_que_created_at'")),
+         ("updated_at_menor_que_created_at",)),
+    # A null currency takes part as the text NAN; a blank one does not.
+    Rule("country_currency", WARNING,
+         _cases((f"{member('upper(_country)', fv.COUNTRY_CURRENCIES)}"
+                 f" AND coalesce(_currency, 'NAN') NOT IN ('', 'USD')"
+                 f" AND NOT {_expected_pair()}",
+                 "concat('moneda_', coalesce(_currency, 'NAN'),"
+                 " '_no_esperada_para_', upper(_country))")),
+         None),
+    Rule("source_system", WARNING, _cases(("_no_source", "'source_system_nulo'")),
+         ("source_system_nulo",)),
 )
 RULES_BY_NAME = {rule.name: rule for rule in RULES}
 

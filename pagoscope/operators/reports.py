@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
 from pagoscope.functions import (
-    comma_text, ellipsis, half_even, member, nan_to_null, parse_number, strip,
+    comma_text, ellipsis, half_even, literal, member, nan_to_null, parse_number, strip,
 )
 from pagoscope.operators import advisor, dimensions as dim
 from pagoscope.operators import findings as fd
@@ -20,14 +20,14 @@ def findings_by_severity(
 ) -> DataFrame:
     """H1: findings per severity in fixed order, only those present."""
     rows = [
-        F.struct(
-            F.lit(i).alias("severity_order"),
-            F.lit(level).alias("severity"),
-            tt.count_where(lambda r, level=level: r.severity == level, rules).alias("findings"),
-        )
+        f"{i}, {literal(level)},"
+        f" {tt.count_where(lambda r, level=level: r.severity == level, rules)}"
         for i, level in enumerate(fv.SEVERITIES, 1)
     ]
-    return totals.select(*group_by, F.inline(F.array(*rows))).where(F.col("findings") > 0)
+    return totals.selectExpr(
+        *group_by,
+        f"stack({len(rows)}, {', '.join(rows)}) AS (severity_order, severity, findings)",
+    ).where("findings > 0")
 
 
 def frameworks_with_findings(by_framework: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
@@ -53,23 +53,18 @@ def top_findings(found: DataFrame, limit: int = 50) -> DataFrame:
 
 def score_bands(scored: DataFrame, dimensions, group_by: Sequence[str] = ()) -> DataFrame:
     """H4: each score with its band; scores where more is better are inverted."""
+    high, moderate, fine = map(literal, fv.BAND_LABELS)
     rows = []
     for position, (name, column, higher_is_better) in enumerate(dimensions, 1):
-        score = F.col(column)
-        risk = (100 - score) if higher_is_better else score
-        high, moderate, fine = fv.BAND_LABELS
+        risk = f"100 - {column}" if higher_is_better else column
         band = (
-            F.when(risk >= fv.BAND_HIGH, high)
-            .when(risk >= fv.BAND_MODERATE, moderate)
-            .otherwise(fine)
+            f"CASE WHEN {risk} >= {fv.BAND_HIGH} THEN {high}"
+            f" WHEN {risk} >= {fv.BAND_MODERATE} THEN {moderate} ELSE {fine} END"
         )
-        rows.append(
-            F.struct(
-                F.lit(position).alias("position"), F.lit(name).alias("dimension"),
-                score.cast("int").alias("score"), band.alias("band"),
-            )
-        )
-    return scored.select(*group_by, F.inline(F.array(*rows)))
+        rows.append(f"{position}, {literal(name)}, CAST({column} AS INT), {band}")
+    return scored.selectExpr(
+        *group_by, f"stack({len(rows)}, {', '.join(rows)}) AS (position, dimension, score, band)"
+    )
 
 
 def counts_by(payments: DataFrame, column: str) -> DataFrame:
@@ -84,10 +79,10 @@ def sanctions_table(payments: DataFrame, sanctioned_only: bool = False) -> DataF
     """
     if sanctioned_only:
         payments = payments.where(
-            member(F.col("country_code"), fv.SANCTIONED_COUNTRIES)
-            | member(F.col("currency_code"), fv.SANCTIONED_CURRENCIES)
+            f"{member('country_code', fv.SANCTIONED_COUNTRIES)}"
+            f" OR {member('currency_code', fv.SANCTIONED_CURRENCIES)}"
         )
-    amount = strip(F.col("amount")).try_cast("decimal(18,2)")
+    amount = F.expr(strip("amount")).try_cast("decimal(18,2)")
     return payments.groupBy(
         "payment_id", "country_code", "sanction_flag_expected", "source_system"
     ).agg(F.sum(amount).alias("total_amount"))
@@ -205,13 +200,18 @@ def batch_profile(payments: DataFrame) -> DataFrame:
     Payments are counted per id first, null ids forming one group, so no window
     gathers the rows of an id; every other figure rides along as a sum.
     """
-    amount = nan_to_null(parse_number(F.col("amount")))
-    per_id = payments.withColumn("_amount", amount).groupBy("payment_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(member(F.col("country_code"), fv.SANCTIONED_COUNTRIES)).alias("sanctioned"),
-        F.count_if((F.col("_amount") >= 9000) & (F.col("_amount") < 10000)).alias("near_limit"),
-        F.count_if(F.col("_amount") < 0).alias("negative"),
-        F.count_if(F.col("source_system") == "LEGACY_COBOL").alias("legacy"),
+    measures = {
+        "n": "true",
+        "sanctioned": member("country_code", fv.SANCTIONED_COUNTRIES),
+        "near_limit": "_amount >= 9000 AND _amount < 10000",
+        "negative": "_amount < 0",
+        "legacy": "source_system = 'LEGACY_COBOL'",
+    }
+    per_id = (
+        payments.withColumn("_number", F.expr(parse_number("amount")))
+        .withColumn("_amount", F.expr(nan_to_null("_number")))
+        .groupBy("payment_id")
+        .agg(*[F.expr(f"count_if({when}) AS {name}") for name, when in measures.items()])
     )
     n = F.col("n")
 

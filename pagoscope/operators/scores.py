@@ -3,14 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
 from pagoscope.functions import (
-    clamp, half_even_int, iso_text, moment, percent, ratio,
+    clamp, half_even_int, iso_text, literal, moment, percent, ratio,
 )
 from pagoscope.operators import findings as fd
 from pagoscope.operators import totals as tt
@@ -40,38 +38,35 @@ def risk_areas(rules: Sequence[fd.Finding] = fd.FINDINGS) -> list[str]:
 def area_totals(totals: DataFrame, group_by: Sequence[str] = (), rules=fd.FINDINGS) -> DataFrame:
     """F3 on run totals: (risk_area, affected) for areas that have findings."""
     rows = [
-        F.struct(F.lit(a).alias("risk_area"), tt.area_weight(a, rules).alias("affected"))
-        for a in risk_areas(rules)
+        f"{literal(area)}, {tt.area_weight(area, finding_rules=rules)}"
+        for area in risk_areas(rules)
     ]
-    return totals.select(*group_by, F.inline(F.array(*rows))).where(F.col("affected") > 0)
+    return totals.selectExpr(
+        *group_by, f"stack({len(rows)}, {', '.join(rows)}) AS (risk_area, affected)"
+    ).where("affected > 0")
 
 
 def area_pivot(totals: DataFrame, rules: Sequence[fd.Finding] = fd.FINDINGS) -> DataFrame:
     """one column per risk total; every input column is kept."""
-    return totals.withColumns(
-        {
-            name: reduce(add, [tt.area_weight(area, rules) for area in areas])
-            for name, areas in AREA_TOTALS.items()
-        }
+    return totals.selectExpr(
+        "*",
+        *[f"{tt.area_weight(*areas, finding_rules=rules)} AS {name}"
+          for name, areas in AREA_TOTALS.items()],
     )
 
 
-def _share(issues: str, points: int) -> Column:
+def _penalty(issues: str, points: int, limit: int) -> str:
     """Rounded points for a share of affected records, 0 for an empty table."""
-    part = half_even_int(ratio(F.col(issues), F.col("total_records")) * points)
-    return F.coalesce(part, F.lit(0))
+    share = half_even_int(f"{ratio(issues, 'total_records')} * {points}")
+    return f"least({limit}, coalesce({share}, 0))"
 
 
-def _penalty(issues: str, points: int, limit: int) -> Column:
-    return F.least(F.lit(limit), _share(issues, points))
+def _any(issues: str, points: int, otherwise: int = 0) -> str:
+    return f"CASE WHEN {issues} > 0 THEN {points} ELSE {otherwise} END"
 
 
-def _any(issues: str, points: int, otherwise: int = 0) -> Column:
-    return F.when(F.col(issues) > 0, F.lit(points)).otherwise(F.lit(otherwise))
-
-
-def _per_issue(issues: str, points: int) -> Column:
-    return F.least(F.lit(100), F.col(issues) * points).cast("int")
+def _per_issue(issues: str, points: int) -> str:
+    return f"CAST(least(100, {issues} * {points}) AS INT)"
 
 
 def regulatory_scores(
@@ -79,46 +74,43 @@ def regulatory_scores(
 ) -> DataFrame:
     """Nine scores next to the totals."""
     pci = (
-        100
-        - _penalty("financial_issues", 60, 25)
-        - _any("encryption_issues", 25)
-        - _penalty("traceability_issues", 30, 10)
-        - _any("sanctions_issues", 15)
+        f"100 - {_penalty('financial_issues', 60, 25)}"
+        f" - {_any('encryption_issues', 25)}"
+        f" - {_penalty('traceability_issues', 30, 10)}"
+        f" - {_any('sanctions_issues', 15)}"
+    )
+    sox = (
+        f"100 - {_penalty('traceability_issues', 60, 20)}"
+        f" - {_penalty('audit_issues', 40, 15)}"
     )
-    sox = 100 - _penalty("traceability_issues", 60, 20) - _penalty("audit_issues", 40, 15)
-    audit = 100 - _penalty("audit_issues", 50, 25) - _penalty("traceability_issues", 30, 15)
-    scored = area_pivot(totals, rules).withColumns(
-        {
-            "pci_readiness_score": clamp(pci, 25, 100),
-            "sox_traceability_score": clamp(sox, 40, 100),
-            "pii_exposure_score": _any("encryption_issues", 75, 18),
-            "encryption_coverage_score": _any("encryption_issues", 30, 80),
-            "auditability_score": clamp(audit, 35, 100),
-            "ofac_sanctions_score": _per_issue("sanctions_issues", 8),
-            "aml_risk_score": _per_issue("aml_issues", 15),
-            "dora_resilience_score": _any("resilience_issues", 85, 20),
-        }
+    audit = (
+        f"100 - {_penalty('audit_issues', 50, 25)}"
+        f" - {_penalty('traceability_issues', 30, 15)}"
     )
-    return scored.withColumn("regulatory_risk_score", regulatory_risk())
+    scored = area_pivot(totals, rules).selectExpr(
+        "*",
+        f"{clamp(pci, 25, 100)} AS pci_readiness_score",
+        f"{clamp(sox, 40, 100)} AS sox_traceability_score",
+        f"{_any('encryption_issues', 75, 18)} AS pii_exposure_score",
+        f"{_any('encryption_issues', 30, 80)} AS encryption_coverage_score",
+        f"{clamp(audit, 35, 100)} AS auditability_score",
+        f"{_per_issue('sanctions_issues', 8)} AS ofac_sanctions_score",
+        f"{_per_issue('aml_issues', 15)} AS aml_risk_score",
+        f"{_any('resilience_issues', 85, 20)} AS dora_resilience_score",
+    )
+    return scored.selectExpr("*", f"{regulatory_risk()} AS regulatory_risk_score")
 
 
-def regulatory_risk() -> Column:
+def regulatory_risk() -> str:
     """weighted mean of seven scores; the sum keeps the order of its terms."""
-
-    def good(name: str) -> Column:
-        return 1 - F.col(name) / F.lit(100)
-
-    def bad(name: str) -> Column:
-        return F.col(name) / F.lit(100)
-
     risk = (
-        good("pci_readiness_score") * 25
-        + good("sox_traceability_score") * 15
-        + bad("pii_exposure_score") * 20
-        + good("encryption_coverage_score") * 15
-        + good("auditability_score") * 10
-        + bad("ofac_sanctions_score") * 10
-        + bad("aml_risk_score") * 5
+        "(1 - pci_readiness_score / 100) * 25"
+        " + (1 - sox_traceability_score / 100) * 15"
+        " + (pii_exposure_score / 100) * 20"
+        " + (1 - encryption_coverage_score / 100) * 15"
+        " + (1 - auditability_score / 100) * 10"
+        " + (ofac_sanctions_score / 100) * 10"
+        " + (aml_risk_score / 100) * 5"
     )
     return clamp(half_even_int(risk), 0, 100)
 
@@ -127,21 +119,18 @@ def run_metadata(
     totals: DataFrame, group_by: Sequence[str] = (), rules: Sequence[fd.Finding] = fd.FINDINGS
 ) -> DataFrame:
     """record totals, error share, number of findings, findings by area as text."""
-    shown = [
-        F.when(
-            tt.area_weight(area, rules) > 0,
-            F.concat(F.lit(f"{area}="), tt.area_weight(area, rules).cast("string")),
-        )
-        for area in sorted(risk_areas(rules))
-    ]
-    return totals.select(
+    shown = []
+    for area in sorted(risk_areas(rules)):
+        n = tt.area_weight(area, finding_rules=rules)
+        shown.append(f"CASE WHEN {n} > 0 THEN concat({literal(area + '=')}, {n}) END")
+    return totals.selectExpr(
         *group_by,
         "total_records",
         "clean_records",
         "error_records",
-        percent(F.col("error_records"), F.col("total_records")).alias("pct_error"),
-        tt.total_findings(rules).alias("total_findings"),
-        F.concat_ws(", ", *shown).alias("findings_by_area"),
+        f"{percent('error_records', 'total_records')} AS pct_error",
+        f"{tt.total_findings(rules)} AS total_findings",
+        f"concat_ws(', ', {', '.join(shown)}) AS findings_by_area",
     )
 
 
@@ -154,14 +143,14 @@ def findings_by_framework(
     than the number of findings. Frameworks outside the list are not shown.
     """
     rows = [
-        F.struct(
-            F.lit(i).alias("framework_order"),
-            F.lit(name).alias("framework"),
-            tt.count_where(lambda r, name=name: name in r.frameworks, rules).alias("findings"),
-        )
+        f"{i}, {literal(name)},"
+        f" {tt.count_where(lambda r, name=name: name in r.frameworks, rules)}"
         for i, name in enumerate(fv.FRAMEWORKS, 1)
     ]
-    return totals.select(*group_by, F.inline(F.array(*rows)))
+    return totals.selectExpr(
+        *group_by,
+        f"stack({len(rows)}, {', '.join(rows)}) AS (framework_order, framework, findings)",
+    )
 
 
 def score_texts(scored: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
@@ -185,12 +174,15 @@ def score_document(
         ]
     )
     areas = F.struct(
-        *[tt.area_weight(area, rules).alias(area) for area in risk_areas(rules)]
+        *[
+            F.expr(tt.area_weight(area, finding_rules=rules)).alias(area)
+            for area in risk_areas(rules)
+        ]
     )
     metadata = F.struct(
         "total_records", "clean_records", "error_records",
-        percent(F.col("error_records"), F.col("total_records")).alias("pct_error"),
-        tt.total_findings(rules).alias("total_findings"),
+        F.expr(percent("error_records", "total_records")).alias("pct_error"),
+        F.expr(tt.total_findings(rules)).alias("total_findings"),
         areas.alias("findings_by_area"),
     )
     return scored.select(

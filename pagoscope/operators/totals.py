@@ -10,9 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from pagoscope.operators import findings as fd
 from pagoscope.operators import quality
@@ -34,49 +33,40 @@ def rule_names(rules: Sequence[fd.Finding]) -> list[str]:
 
 
 def _main_pass(payments, group_by, rules, finding_rules, as_of) -> DataFrame:
-    coded = fd.with_amount(quality.with_codes(payments, rules, as_of))
+    coded = quality.with_codes(payments, rules, as_of)
     row_rules = fd.of_kind(finding_rules, fd.RowFinding)
     table_rules = fd.of_kind(finding_rules, fd.TableFinding)
-    hits = {f"_row_{r.rule}": r.when() for r in row_rules}
-    hits |= {f"_table_{r.rule}_{r.label}": r.when() for r in table_rules}
-    counts = quality.counted(
-        coded, rules, group_by, *[F.count_if(when).alias(name) for name, when in hits.items()]
-    )
-    folded = quality.rolled_up(
-        counts, rules, group_by,
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in hits],
-    )
-    measures: dict[str, list[tuple[Column, Column]]] = {}
+    hits = {f"row_{r.rule}": r.when for r in row_rules}
+    hits |= {f"table_{r.rule}_{r.label}": r.when for r in table_rules}
+    counts = quality.counted(coded, rules, group_by, hits)
+    folded = quality.rolled_up(counts, rules, group_by, list(hits))
+    measures: dict[str, list[tuple[str, str]]] = {}
     for rule in row_rules:
-        n = F.col(f"_row_{rule.rule}")
+        n = f"row_{rule.rule}"
         measures.setdefault(rule.rule, []).append((n, n))
     for rule in table_rules:
-        n = F.col(f"_table_{rule.rule}_{rule.label}")
-        measures.setdefault(rule.rule, []).append(((n > 0).cast("bigint"), n))
-    one = F.lit(1).cast("bigint")
+        n = f"table_{rule.rule}_{rule.label}"
+        measures.setdefault(rule.rule, []).append((f"CAST({n} > 0 AS BIGINT)", n))
     for rule in fd.of_kind(finding_rules, fd.SystemFinding):
-        measures.setdefault(rule.rule, []).append((one, one))
-    return folded.select(
+        measures.setdefault(rule.rule, []).append(("1L", "1L"))
+    return folded.selectExpr(
         *group_by,
         *quality.SUMMARY_COLUMNS,
-        *[reduce(add, [n for n, _ in pairs]).alias(found(name))
+        *[f"{' + '.join(n for n, _ in pairs)} AS {found(name)}"
           for name, pairs in measures.items()],
-        *[reduce(add, [w for _, w in pairs]).alias(weight(name))
+        *[f"{' + '.join(w for _, w in pairs)} AS {weight(name)}"
           for name, pairs in measures.items()],
     )
 
 
 def _key_pass(payments, rule: fd.GroupFinding, group_by) -> DataFrame:
-    return fd.group_counts(fd.with_amount(payments), rule, group_by).groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias(found(rule.rule)),
-        F.sum("affected_records").alias(weight(rule.rule)),
-    )
+    return _found(fd.group_counts(fd.parsed(payments), rule, group_by), rule, group_by)
 
 
-def _custom_pass(payments, rule: fd.CustomFinding, group_by) -> DataFrame:
-    return rule.find(payments, group_by).groupBy(*group_by).agg(
-        F.count(F.lit(1)).alias(found(rule.rule)),
-        F.sum(F.coalesce(F.col("affected_records"), F.lit(1))).alias(weight(rule.rule)),
+def _found(rows: DataFrame, rule: fd.Finding, group_by) -> DataFrame:
+    return rows.groupBy(*group_by).agg(
+        F.expr(f"count(1) AS {found(rule.rule)}"),
+        F.expr(f"sum(coalesce(affected_records, 1)) AS {weight(rule.rule)}"),
     )
 
 
@@ -97,7 +87,7 @@ def run_totals(
         _key_pass(payments, r, group_by) for r in fd.of_kind(finding_rules, fd.GroupFinding)
     ]
     passes += [
-        _custom_pass(payments, r, group_by)
+        _found(r.find(payments, group_by), r, group_by)
         for r in fd.of_kind(finding_rules, fd.CustomFinding)
     ]
     together = reduce(
@@ -108,22 +98,25 @@ def run_totals(
         list(quality.SUMMARY_COLUMNS) + [found(n) for n in names] + [weight(n) for n in names]
     )
     return together.groupBy(*group_by).agg(
-        *[F.coalesce(F.sum(m), F.lit(0)).cast("bigint").alias(m) for m in measures]
+        *[F.expr(f"CAST(coalesce(sum({m}), 0) AS BIGINT) AS {m}") for m in measures]
     )
 
 
-def total_findings(finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> Column:
-    """Number of findings of a totals row."""
-    return reduce(add, [F.col(found(n)) for n in rule_names(finding_rules)])
+def _added(columns: Sequence[str]) -> str:
+    return " + ".join(["0L", *columns])
+
+
+def total_findings(finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> str:
+    """SQL text: number of findings of a totals row."""
+    return _added([found(n) for n in rule_names(finding_rules)])
 
 
-def area_weight(area: str, finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> Column:
-    """Affected records of one risk area of a totals row."""
-    names = rule_names([r for r in finding_rules if r.risk_area == area])
-    return reduce(add, [F.col(weight(n)) for n in names], F.lit(0).cast("bigint"))
+def area_weight(*areas: str, finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> str:
+    """SQL text: affected records of risk areas of a totals row."""
+    rules = [r for r in finding_rules if r.risk_area in areas]
+    return _added([weight(n) for n in rule_names(rules)])
 
 
-def count_where(test, finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> Column:
-    """Findings of a totals row whose rule passes ``test``."""
-    names = rule_names([r for r in finding_rules if test(r)])
-    return reduce(add, [F.col(found(n)) for n in names], F.lit(0).cast("bigint"))
+def count_where(test, finding_rules: Sequence[fd.Finding] = fd.FINDINGS) -> str:
+    """SQL text: findings of a totals row whose rule passes ``test``."""
+    return _added([found(n) for n in rule_names([r for r in finding_rules if test(r)])])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.operators import advisor, findings as fd, quality, scores
 from pagoscope.operators import totals as tt
@@ -31,7 +31,7 @@ def assess(
     payments = conform(payments)
     totals = tt.run_totals(payments, group_by, as_of=as_of)
     scored = scores.regulatory_scores(quality.readiness(totals, posture)).withColumn(
-        "findings", tt.total_findings()
+        "findings", F.expr(tt.total_findings())
     )
     advice = advisor.with_costs(advisor.with_risk_class(advisor.decide(scored)))
     return Assessment(
@@ -69,7 +69,7 @@ def run(
     files.write_parquet(tt.run_totals(routed, group_by, as_of=as_of), at["totals"])
     totals = spark.read.parquet(at["totals"])
     scored = scores.regulatory_scores(quality.readiness(totals, posture)).withColumn(
-        "findings", tt.total_findings()
+        "findings", F.expr(tt.total_findings())
     )
     advice = advisor.with_costs(advisor.with_risk_class(advisor.decide(scored)))
 

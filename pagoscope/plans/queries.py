@@ -74,17 +74,16 @@ def costed(payments: DataFrame) -> DataFrame:
 @query("dq_normalized")
 def _(spark, p):
     """Parsed and normalised columns of every payment."""
-    email = F.col("customer_email")
     return p.select(
         ROW_ID,
-        is_blank(F.col("payment_id")).alias("id_blank"),
-        strip(F.col("status")).alias("status_text"),
-        upper_strip(F.col("currency_code")).alias("currency_key"),
-        parse_number(F.col("amount")).alias("amount_number"),
-        nan_to_null(parse_number(F.col("amount"))).alias("amount_coerced"),
-        F.date_format(parse_timestamp(F.col("created_at")), "yyyy-MM-dd HH:mm:ss")
+        F.expr(is_blank("payment_id")).alias("id_blank"),
+        F.expr(strip("status")).alias("status_text"),
+        F.expr(upper_strip("currency_code")).alias("currency_key"),
+        F.expr(parse_number("amount")).alias("amount_number"),
+        F.expr(nan_to_null(parse_number("amount"))).alias("amount_coerced"),
+        F.date_format(F.expr(parse_timestamp("created_at")), "yyyy-MM-dd HH:mm:ss")
         .alias("created_time"),
-        F.coalesce(is_email(strip(email)), F.lit(False)).alias("email_valid"),
+        F.expr(f"coalesce({is_email(strip('customer_email'))}, false)").alias("email_valid"),
     )
 
 
@@ -93,7 +92,7 @@ def _(spark, p):
     """Thousands format and cut texts of every payment."""
     return p.select(
         ROW_ID,
-        thousands(parse_number(F.col("amount")), 2).alias("amount_text"),
+        thousands(F.expr(parse_number("amount")), 2).alias("amount_text"),
         ellipsis(F.coalesce("customer_email", F.lit("")), 20).alias("email_text"),
     )
 
@@ -185,10 +184,8 @@ def _(spark, p):
     """K1: the registry with a user rule (large payments by legacy systems)."""
     legacy = Rule(
         "legacy_large", WARNING,
-        lambda row: F.when(
-            (row["source_system"] == "LEGACY_COBOL") & (row.amount_number > 40000),
-            F.concat(F.lit("legacy_monto_alto:"), row.country_text),
-        ),
+        "CASE WHEN source_system = 'LEGACY_COBOL' AND _number > 40000"
+        " THEN concat('legacy_monto_alto:', _country) END",
         ("legacy_monto_alto",),
     )
     return quality.failures_by_code(p, rules=extend(RULES, legacy), as_of=AS_OF)
