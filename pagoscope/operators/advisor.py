@@ -88,8 +88,10 @@ def cost_table(spark) -> DataFrame:
     effort = (
         F.col("effort_weeks") * fv.HOURS_PER_WEEK * F.col("share") * F.col("usd_per_hour")
     )
+    # one partition: 25 constant rows need no exchange to be grouped
     labour = (
         dim.role_shares(spark)
+        .coalesce(1)
         .join(dim.role_rates(spark), "role")
         .join(dim.strategies(spark), "strategy")
         .groupBy("strategy", "cloud_monthly")

@@ -241,15 +241,14 @@ def value_counts(payments: DataFrame, column: str) -> DataFrame:
 def key_figures(costed: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """The ten key figures as rows; the findings figure is the real count."""
     values = (
-        F.upper("strategy"), F.col("effort_weeks"), F.col("total_investment_usd"),
-        F.col("annual_savings_usd"), F.col("payback_months"), F.col("roi_3_years_pct"),
-        F.col("cumulative_savings_3y_usd"), F.col("findings"),
-        F.col("regulatory_risk_score"), F.col("data_quality_score"),
+        "upper(strategy)", "effort_weeks", "total_investment_usd", "annual_savings_usd",
+        "payback_months", "roi_3_years_pct", "cumulative_savings_3y_usd", "findings",
+        "regulatory_risk_score", "data_quality_score",
     )
     rows = [
-        F.struct(
-            F.lit(i).alias("ord"), F.lit(name).alias("kpi"), v.cast("string").alias("value")
-        )
-        for i, (name, v) in enumerate(zip(fv.KPI_NAMES, values), 1)
+        f"{i}, {literal(name)}, CAST({value} AS STRING)"
+        for i, (name, value) in enumerate(zip(fv.KPI_NAMES, values), 1)
     ]
-    return costed.select(*group_by, F.inline(F.array(*rows)))
+    return costed.selectExpr(
+        *group_by, f"stack({len(rows)}, {', '.join(rows)}) AS (ord, kpi, value)"
+    )
