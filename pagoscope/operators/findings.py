@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
-from pagoscope.functions import literal, literals, member
+from pagoscope.functions import has_item, literal, literals, member
 from pagoscope.operators.quality_rules import with_helpers
 from pagoscope.sources.layout import ROW_ID
 
@@ -356,6 +356,11 @@ def duplicate_rows(payments: DataFrame, hot_ids: int = 1000) -> DataFrame:
     return on_hot.unionByName(on_cold)
 
 
+def of_framework(found: DataFrame, framework: str) -> DataFrame:
+    """The findings that count under one framework."""
+    return found.where(has_item(F.col("framework"), framework))
+
+
 def weight_by_area(found: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """F3 on a findings table: affected records (1 where not counted) per risk area."""
     weight = F.coalesce(F.col("affected_records"), F.lit(1))

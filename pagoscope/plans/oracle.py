@@ -447,6 +447,8 @@ FROM {source} LEFT JOIN f ON list_contains(string_split(f.framework, ', '), name
 GROUP BY ALL"""
 _add("comp_findings_by_framework", f"{_S}, {_FRAMEWORK_CTE}",
      _PER_FRAMEWORK.format(key="", source="frameworks", on=""))
+_add("comp_framework_findings", _S, f"""SELECT {_FINDING} FROM f
+WHERE list_contains(string_split(framework, ', '), 'AML')""")
 _add("comp_custom_rule", _S, f"""SELECT {_FINDING} FROM f WHERE rule='EXTREME_AMOUNT'
 UNION ALL SELECT 15, 'MANY_CURRENCIES', 'AML', 'MEDIUM', customer_name,
   count(DISTINCT currency_code)||' monedas', 'aml_compliance', count(*)

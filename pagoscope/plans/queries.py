@@ -245,10 +245,16 @@ def _(spark, p):
 
 @query("comp_findings_by_framework")
 def _(spark, p):
-    """Findings per listed framework."""
+    """findings per listed framework."""
     return scores.findings_by_framework(tt.run_totals(p, as_of=AS_OF))
 
 
+@query("comp_framework_findings")
+def _(spark, p):
+    """The findings under one framework."""
+    return shown(fd.of_framework(fd.findings(p), "AML"))
+
+
 @query("comp_custom_rule")
 def _(spark, p):
     """K2: the catalogue with a user rule (accounts that use many currencies)."""
