@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagoscope.llm import license_scan, line_dedup, quality_rules, token_counts
+from pagoscope.llm import language_id, license_scan, line_dedup, quality_rules, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_token_counts")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+@register("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(~language_id.held_out()))
+    ids = language_id.identify(docs, net)
+    return ids.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
