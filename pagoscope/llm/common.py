@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -35,3 +36,12 @@ def documents(docs: DataFrame) -> DataFrame:
 def labelled_rows(remainder_of: int) -> Column:
     """crc32 of the id as text, modulo ``remainder_of``: the held-out rule of the queries."""
     return F.crc32(F.col("doc_id").cast("string")) % remainder_of
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers that start later find this package where the driver found it; on
+    a cluster it is installed on every machine instead, and the path does no harm."""
+    root = str(Path(__file__).resolve().parents[2])
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
