@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagoscope.llm import language_id, license_scan, line_dedup, quality_rules, token_counts
+from pagoscope.llm import embedding_dedup, language_id, license_scan, line_dedup, quality_rules, token_counts
 from pagoscope.llm.common import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,3 +56,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = language_id.fit(docs.where(~language_id.held_out()))
     ids = language_id.identify(docs, net)
     return ids.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@register("op7_embedding_dedup")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
