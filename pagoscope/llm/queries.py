@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagoscope.llm import embedding_dedup, language_id, license_scan, line_dedup, quality_rules, token_counts
+from pagoscope.llm import (
+    embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, quality_rules, token_counts,
+)
 from pagoscope.llm.common import find_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +63,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_embedding_dedup")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.dedup(table(spark, sf_dir, "embeddings"))
+
+
+@register("op2_minhash_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "group_id", "kept"
+    )
