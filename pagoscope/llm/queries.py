@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pagoscope.llm import (
-    embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, quality_rules, token_counts,
+    embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing,
+    quality_rules, token_counts,
 )
 from pagoscope.llm.common import find_package
 
@@ -70,3 +71,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", "class_id", "group_id", "kept"
     )
+
+
+@register("op10_mixing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return mixing.mix(docs, labels).drop("text_hash")
