@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.llm import (
     embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing,
-    quality_rules, token_counts,
+    quality_rules, token_counts, toxicity,
 )
-from pagoscope.llm.common import find_package
+from pagoscope.llm.common import find_package, labelled_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,3 +77,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return mixing.mix(docs, labels).drop("text_hash")
+
+
+@register("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(labelled_rows(3) == 1, F.lit(False))
+    machine = toxicity.fit(docs, labels.where(~held_out))
+    return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
