@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.llm import (
     embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing,
-    quality_rules, token_counts, toxicity,
+    quality_rules, sentencepiece_codec, token_counts, toxicity,
 )
 from pagoscope.llm.common import find_package, labelled_rows
 
@@ -85,3 +85,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(labelled_rows(3) == 1, F.lit(False))
     machine = toxicity.fit(docs, labels.where(~held_out))
     return toxicity.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@register("op1_sentencepiece")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
