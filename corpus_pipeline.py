@@ -1,24 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each written and read back."""
+"""The corpus pipeline over ``documents``: language ID, line dedup, near-dedup, mixing and
+encoding, each stage written and read back as the next one's input.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the
+columns of ``docs``. A null or repeated doc_id, null or empty texts and empty tables pass
+through every stage as its operator defines. Extra columns are carried along untouched.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pagoscope.llm import language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec
+from pagoscope.llm.common import find_package, written
+
+ORACLE_SQL = None  # learned models and sampled signatures have no SQL form
 
-from pagoscope.llm import line_dedup
-from pagoscope.llm.common import written
+MIN_LANGUAGE_SCORE = 0.35  # below this no language stands out
 
-ORACLE_SQL = None  # learned models and hashed signatures have no SQL form
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in which no learned language stands out, go."""
+    find_package(spark)
+    net = language_id.fit(docs)
+    found = language_id.identify(docs, net, keep=True)
+    return found.where(
+        (F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)
+    ).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; a document left without any text goes with them."""
+    find_package(spark)
     cleaned = line_dedup.dedup_lines(docs, keep=True)
-    return cleaned.where(f"not ({line_dedup.REMOVED} > 0 and coalesce(trim(text), '') = '')").select(
-        *docs.columns
-    )
+    emptied = (F.col(line_dedup.REMOVED) > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    return cleaned.where(~emptied).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    find_package(spark)
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents appear as often as their rate says: often once, some twice or not at all."""
+    find_package(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return mixing.resample(docs, labels)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as pieces, with the scores of their best segmentations."""
+    find_package(spark)
+    return sentencepiece_codec.encode(docs)
 
 
-STAGES = [("line dedup", line_stage)]
+STAGES = [
+    ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("MinHash near-dedup", near_dedup_stage),
+    ("mixing to target weights", mixing_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,3 +219,33 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         "copies",
         F.expr("cast(floor(rate + pmod(xxhash64(doc_id, text_hash, 'mix'), 1048576) / 1048576D) as long)"),
     )
+
+
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+    """The rows of ``docs``, each as often as its ``copies`` says.
+
+    The rates are fitted over all rows; a row then works out its own posterior again, so no
+    join carries texts around.
+    """
+    model = fit(docs, labels)
+    moves = fit_rates(written(posteriors(docs, model), "posteriors"), targets)
+    fields = docs.schema
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from xxhash import xxh64_intdigest
+
+        features = Features()
+        for batch in batches:
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            take = []
+            for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+                at, values, _ = features.of(text)
+                p, rate = softmax(values @ model.weights[at] + model.offset), 1.0
+                for move in moves:
+                    rate = max(0.0, rate - float(move @ p))
+                draw = xxh64_intdigest(f"{doc}\n{text}".encode("utf-8", "surrogatepass")) / 2**64
+                take += [i] * int(rate + draw)
+            yield batch.take(pa.array(take, pa.int64()))
+
+    return docs.mapInArrow(run, fields)

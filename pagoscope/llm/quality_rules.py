@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from pagoscope.llm.common import documents
 
 # The rules of a line.
-LINE_END = r"[.!?…:;。！？][\"''”’)\]]*$"
+LINE_END = r"[.!?…:;。！？][\"'”’)\]]*\z"
+MARKS = "|»›·•"             # of navigation
 MIN_OPEN_WORDS = 8          # a line without an end mark passes if it is this long
 MAX_SYMBOL_RUNS = 0.3       # runs such as $$$ or !! per word
 MAX_SEPARATORS = 0.25       # navigation marks per word
@@ -43,8 +44,8 @@ def line_failure(line: str = "l") -> str:
     search the line come after cheap ones that most lines settle.
     """
     n_words = f"(1 + length({line}) - length(replace({line}, ' ', '')))"
-    marks = f"regexp_count({line}, '(?:^|\\\\s)[|»›>·•](?=\\\\s|$)')"
-    has_mark = " or ".join(f"contains({line}, '{m}')" for m in "|»›>·•")
+    marks = f"regexp_count({line}, '[{MARKS}]')"
+    has_mark = " or ".join(f"contains({line}, '{m}')" for m in MARKS)
     boilerplate = " or ".join(f"contains(lower({line}), {_text(p)})" for p in BOILERPLATE)
     return f"""case
         when not {line} rlike '[^\\\\x20\\\\x09-\\\\x0D]' then null

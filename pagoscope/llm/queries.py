@@ -11,10 +11,10 @@ from pagoscope.llm import (
     quality_rules, sentencepiece_codec, token_counts, toxicity,
 )
 from pagoscope.llm.common import find_package, labelled_rows
+from pagoscope.llm.oracle import ORACLE  # noqa: F401  registered with the queries
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
 
 
 def register(name: str):
