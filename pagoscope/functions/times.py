@@ -22,13 +22,16 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ssXXX"
 def parse_timestamp(text: str, formats: tuple[str, ...] = TIMESTAMP_FORMATS) -> str:
     """SQL text that reads a timestamp leniently, NULL when nothing fits.
 
+    A time without a date is invalid: its value would depend on the day of the run.
     ``coalesce`` keeps well-formed rows away from the format list. Few patterns
     with optional sections, not many patterns, keep the generated code small.
     """
     tidy = f"nullif(trim({text}), '')"
     tries = [f"try_to_timestamp({text})"]
     tries += [f"try_to_timestamp({tidy}, {literal(pattern)})" for pattern in formats]
-    return f"coalesce({', '.join(tries)})"
+    # 'T12:30' and '12:30:00' would be read as today at that time; no date ends that early
+    timed = f"instr(trim({text}), ':') BETWEEN 1 AND 4"
+    return f"CASE WHEN NOT ({timed}) THEN coalesce({', '.join(tries)}) END"
 
 
 def moment(as_of: str | datetime | Column | None = None) -> Column:

@@ -39,16 +39,21 @@ def team_rates(spark: SparkSession) -> DataFrame:
 
 
 def phases(spark: SparkSession) -> DataFrame:
-    return table(spark, fv.PHASES, "strategy", "phase", "name", "weeks", "actions")
+    rows = [
+        (strategy, phase, name, weeks, place, action)
+        for strategy, phase, name, weeks, actions in fv.PHASES
+        for place, action in enumerate(actions, 1)
+    ]
+    listed = table(spark, rows, "strategy", "phase", "name", "weeks", "place", "action")
+    in_order = F.array_sort(F.collect_list(F.struct("place", "action")))
+    return F.broadcast(
+        listed.groupBy("strategy", "phase", "name", "weeks")
+        .agg(F.array_join(in_order.getField("action"), " | ").alias("actions"))
+    )
 
 
 def services(spark: SparkSession) -> DataFrame:
-    listed = [
-        (strategy, position, service)
-        for strategy, text in fv.SERVICES
-        for position, service in enumerate(text.split(", "), 1)
-    ]
-    return table(spark, listed, "strategy", "ord", "service")
+    return table(spark, fv.SERVICES, "strategy", "ord", "service")
 
 
 def service_categories(spark: SparkSession) -> DataFrame:
@@ -68,6 +73,3 @@ def risks(spark: SparkSession) -> DataFrame:
 def milestones(spark: SparkSession) -> DataFrame:
     return table(spark, fv.MILESTONES, "strategy", "week", "milestone")
 
-
-def benefits(spark: SparkSession) -> DataFrame:
-    return table(spark, fv.BENEFITS, "benefit", "usd")

@@ -293,16 +293,27 @@ def _row_findings(rows, rules, group_by) -> DataFrame:
     return _unnested(found, f"CASE _hit {cases} END", group_by)
 
 
+def table_count(rule: TableFinding) -> str:
+    """Column with the number of payments behind a table rule."""
+    return f"table_{rule.rule}_{rule.label}"
+
+
 def _table_findings(rows, rules, group_by) -> DataFrame:
     """Table and system rules from one aggregate (one row per group)."""
-    tables = of_kind(rules, TableFinding)
     counts = rows.groupBy(*group_by).agg(
         F.count(F.lit(1)).alias("_rows"),
-        *[F.expr(f"count_if({r.when}) AS _n{i}") for i, r in enumerate(tables)],
+        *[F.expr(f"count_if({r.when}) AS `{table_count(r)}`") for r in of_kind(rules, TableFinding)],
     )
+    return table_findings(counts, rules, group_by)
+
+
+def table_findings(counts, rules=FINDINGS, group_by=()) -> DataFrame:
+    """Table and system findings of counts that hold a ``table_count`` column per rule."""
     found = [
-        _finding(r, literal(TABLE_LEVEL), _text(r.detail, n=f"_n{i}"), f"_n{i}")
-        for i, r in enumerate(tables)
+        _finding(
+            r, literal(TABLE_LEVEL), _text(r.detail, n=f"`{table_count(r)}`"), f"`{table_count(r)}`"
+        )
+        for r in of_kind(rules, TableFinding)
     ] + [
         _finding(r, literal(SYSTEM_LEVEL), literal(r.detail), "NULL")
         for r in of_kind(rules, SystemFinding)
@@ -312,6 +323,32 @@ def _table_findings(rows, rules, group_by) -> DataFrame:
     )
 
 
+def row_findings(payments, group_by=(), rules=FINDINGS) -> DataFrame:
+    """The findings of the row rules alone, in one scan."""
+    return _row_findings(parsed(payments), of_kind(rules, RowFinding), group_by)
+
+
+def group_findings(payments, group_by=(), rules=FINDINGS) -> DataFrame:
+    """The findings of all group rules in one scan: a payment is counted under each key
+    that it has, so the shuffle carries what the separate scans would."""
+    groups = of_kind(rules, GroupFinding)
+    keys = ", ".join(
+        f"CASE WHEN {r.when} THEN named_struct('_i', {i}, '_key', CAST({r.key} AS STRING)) END"
+        for i, r in enumerate(groups)
+    )
+    counted = (
+        parsed(payments).select(*group_by, F.expr(f"explode(array({keys}))").alias("_k"))
+        .where("_k IS NOT NULL").select(*group_by, "_k.*")
+        .groupBy(*group_by, "_i", "_key").agg(F.count(F.lit(1)).alias("affected_records"))
+    )
+    parts = []
+    for i, rule in enumerate(groups):
+        kept = counted.where((F.col("_i") == i) & (F.col("affected_records") >= rule.minimum))
+        finding = _finding(rule, rule.key, rule.detail, "affected_records")
+        parts.append(_unnested(kept.withColumnRenamed("_key", rule.key), finding, group_by))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def findings(
     payments: DataFrame,
     group_by: Sequence[str] = (),
@@ -336,14 +373,21 @@ def findings(
     return reduce(DataFrame.unionByName, parts)
 
 
-def duplicate_rows(payments: DataFrame, hot_ids: int = 1000) -> DataFrame:
+HOT_IDS = 1000  # bounds what is broadcast below
+
+
+def duplicate_rows(payments: DataFrame, hot_ids: int = HOT_IDS) -> DataFrame:
     """E3 at row level: every payment whose non-null id occurs more than once.
 
     A very frequent id would pull all its rows into one task of a shuffled join.
     So the ``hot_ids`` most frequent ids, a list of proven size, are broadcast
     and their rows never move; every other id holds less than ``1 / hot_ids`` of
     the table and goes through the shuffled join. Both legs together are exact.
+    The shuffled join moves every payment that has an id: select the columns
+    that are needed before the call.
     """
+    if not 0 <= hot_ids <= HOT_IDS:
+        raise ValueError(f"hot_ids must lie between 0 and {HOT_IDS}: the list is broadcast")
     keyed = payments.where(F.col("payment_id").isNotNull())
     counts = keyed.groupBy("payment_id").agg(F.count(F.lit(1)).alias("_n"))
     repeated = counts.where(F.col("_n") > 1)

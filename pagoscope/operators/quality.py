@@ -13,7 +13,7 @@ from pagoscope.functions import (
 from pagoscope.operators.quality_rules import (
     CRITICAL, RULES, WARNING, Rule, with_helpers,
 )
-from pagoscope.sources.layout import ERRORS_COLUMN, ROW_ID
+from pagoscope.sources.layout import ERRORS_COLUMN, ROW_ID, keyed
 
 Rules = Sequence[Rule]
 
@@ -69,9 +69,10 @@ def errors_zone(evaluated: DataFrame) -> DataFrame:
 
 
 def rule_failures(payments: DataFrame, rule: Rule, as_of=None) -> DataFrame:
-    """Rows that break one rule: ``row_id``, ``level``, ``code``."""
+    """Rows that break one rule: ``row_id`` (NULL where the payments have none),
+    ``level``, ``code``."""
     return (
-        with_codes(payments, (rule,), as_of)
+        with_codes(keyed(payments), (rule,), as_of)
         .select(ROW_ID, F.lit(rule.level).alias("level"), F.col(rule.column).alias("code"))
         .where(F.col("code").isNotNull())
     )
@@ -79,8 +80,9 @@ def rule_failures(payments: DataFrame, rule: Rule, as_of=None) -> DataFrame:
 
 # --------------------------------------------------------------------------
 # Counts. One pass over the payments serves D4, D5, D7 and D9: fixed code
-# families are conditional counts, and the one open-ended family is a grouping
-# key, so the shuffle carries a handful of rows per task whatever the input.
+# families are conditional counts, and open-ended families are grouping keys, so
+# the shuffle carries a row per task and combination of them. Codes outside the
+# declared families of a rule make up one more key, which is empty as a rule.
 # --------------------------------------------------------------------------
 def _fixed_families(rules: Rules) -> list[tuple[str, str]]:
     return [(r.column, family) for r in rules for family in r.families or ()]
@@ -90,6 +92,25 @@ def _open_columns(rules: Rules) -> list[str]:
     return [r.column for r in rules if r.families is None]
 
 
+def _of_family(column: str, family: str) -> str:
+    return f"({column} = {literal(family)} OR startswith({column}, {literal(family + ':')}))"
+
+
+STRAYS = "_strays"  # array of the families outside the declared ones
+
+
+def _stray_families(rules: Rules) -> list[str]:
+    texts = []
+    for rule in rules:
+        if rule.families is not None and not rule.closed:
+            known = " OR ".join(_of_family(rule.column, f) for f in rule.families) or "false"
+            texts.append(
+                f"CASE WHEN {rule.column} IS NOT NULL AND NOT ({known})"
+                f" THEN {code_family(rule.column)} END"
+            )
+    return texts
+
+
 def count_measures(rules: Rules) -> dict[str, str]:
     """Conditional counts of the quality pass: name -> SQL condition."""
     measures = {"total_records": "true", "error_records": "is_error",
@@ -98,11 +119,8 @@ def count_measures(rules: Rules) -> dict[str, str]:
         families = rule.families or ()
         for family in families:
             hit = f"{rule.column} IS NOT NULL"
-            if len(families) > 1:
-                hit = (
-                    f"{rule.column} = {literal(family)}"
-                    f" OR startswith({rule.column}, {literal(family + ':')})"
-                )
+            if len(families) > 1 or not rule.closed:
+                hit = _of_family(rule.column, family)
             measures[f"n_{family}"] = hit
     return measures
 
@@ -112,6 +130,8 @@ def counted(
 ) -> DataFrame:
     """The single pass: one row per group and open code family."""
     keys = [F.expr(code_family(c)).alias(c) for c in _open_columns(rules)]
+    if strays := _stray_families(rules):
+        keys.append(F.expr(f"array_compact(array({', '.join(strays)}))").alias(STRAYS))
     conditions = {**count_measures(rules), **(more or {})}
     return coded.groupBy(*group_by, *keys).agg(
         *[F.expr(f"count_if({when}) AS `{name}`") for name, when in conditions.items()]
@@ -122,9 +142,16 @@ def _long_counts(counts: DataFrame, rules: Rules, group_by: Sequence[str]) -> Da
     pairs = [f"{literal(family)}, `n_{family}`" for _, family in _fixed_families(rules)]
     pairs += [f"{c}, total_records" for c in _open_columns(rules)]
     unpivot = f"stack({len(pairs)}, {', '.join(pairs)}) AS (rule_name, n)"
+    if pairs:
+        rows = counts.selectExpr(*group_by, unpivot)
+    else:
+        rows = counts.selectExpr(*group_by, "CAST(NULL AS STRING) AS rule_name", "total_records AS n")
+    if _stray_families(rules):
+        rows = rows.unionByName(
+            counts.selectExpr(*group_by, f"explode({STRAYS}) AS rule_name", "total_records AS n")
+        )
     return (
-        counts.selectExpr(*group_by, unpivot)
-        .where("rule_name IS NOT NULL AND n > 0")
+        rows.where("rule_name IS NOT NULL AND n > 0")
         .groupBy(*group_by, "rule_name")
         .agg(F.sum("n").alias("failed_records"))
     )
@@ -146,18 +173,30 @@ def rule_detail(
     target_table: str = "payments",
 ) -> DataFrame:
     """Families with hits, most frequent first, ties by name."""
+    rows = failures_by_code(payments, group_by, rules, as_of)
+    return detail_of(rows, group_by, target_table)
+
+
+def failures_of(counts: DataFrame, group_by: Sequence[str] = (), rules: Rules = RULES) -> DataFrame:
+    """D4 from written counts of the main pass."""
+    return _long_counts(counts, rules, group_by)
+
+
+def detail_of(
+    failures: DataFrame, group_by: Sequence[str] = (), target_table: str = "payments"
+) -> DataFrame:
+    """D6 from the rows of D4."""
     high = F.col("rule_name").isin(*fv.HIGH_SEVERITY_CODES)
-    shown = F.when(high, F.lit("error critico")).otherwise(F.lit("advertencia"))
+    shown = F.when(high, F.lit(fv.DETAIL_HIGH[1])).otherwise(F.lit(fv.DETAIL_OTHER[1]))
     return (
-        failures_by_code(payments, group_by, rules, as_of)
-        .select(
+        failures.select(
             *group_by,
             "rule_name",
             F.lit(target_table).alias("target_table"),
             "failed_records",
-            F.when(high, F.lit("Alta")).otherwise(F.lit("Media")).alias("severity"),
-            F.lit("FAIL").alias("status"),
-            F.concat(F.col("failed_records").cast("string"), F.lit(" registros — "), shown)
+            F.when(high, F.lit(fv.DETAIL_HIGH[0])).otherwise(F.lit(fv.DETAIL_OTHER[0])).alias("severity"),
+            F.lit(fv.DETAIL_STATUS).alias("status"),
+            F.concat(F.col("failed_records").cast("string"), F.lit(fv.DETAIL_COMMENT), shown)
             .alias("comments"),
         )
         .orderBy(*group_by, F.desc("failed_records"), "rule_name")
@@ -177,6 +216,11 @@ def rolled_up(
         f"coalesce(sum(CASE WHEN {c} IS NOT NULL THEN total_records END), 0) AS issues{c}"
         for c in opens
     ]
+    strays = bool(_stray_families(rules))
+    if strays:
+        folds.append(f"size(array_distinct(flatten(collect_set({STRAYS})))) AS families{STRAYS}")
+        folds.append(f"coalesce(sum(size({STRAYS}) * total_records), 0) AS issues{STRAYS}")
+        opens = [*opens, STRAYS]
     failed = [f"CAST(`{n}` > 0 AS BIGINT)" for n in fixed] + [f"families{c}" for c in opens]
     issues = [f"`{n}`" for n in fixed] + [f"issues{c}" for c in opens]
     return counts.groupBy(*group_by).agg(*map(F.expr, folds)).selectExpr(
@@ -231,6 +275,12 @@ def readiness(summary_rows: DataFrame, posture: dict[str, int | Column] | None =
     return scored.withColumn("readiness_general", F.expr(half_even_int(general)))
 
 
+READINESS_COLUMNS = (
+    "data_quality_score", "cloud_readiness_score", "security_risk_score",
+    "compliance_risk_score", "migration_risk_score", "readiness_general",
+)
+
+
 def readiness_texts(scored: DataFrame, group_by: Sequence[str] = ()) -> DataFrame:
     """One row per readiness dimension with its text."""
     return texts_by_threshold(scored, fv.READINESS_TEXTS, group_by)

@@ -7,7 +7,7 @@ Rules are ordered, and the order is kept in every text built from the codes.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,14 +49,17 @@ class Rule:
 
     ``code`` is SQL text over the payment columns, the ``HELPERS`` and
     ``_as_of`` (or a callable that returns a Column). ``families`` lists the
-    code families the rule can emit; ``None`` says the family itself depends on
-    the data (one code per currency and country).
+    code families the rule is expected to emit; ``None`` says the family itself
+    depends on the data (one code per currency and country). Codes outside the
+    list are counted under their own family, unless ``closed`` promises that
+    there are none, which spares the check.
     """
 
     name: str
     level: str
     code: str | Callable[[], Column]
     families: tuple[str, ...] | None
+    closed: bool = False
 
     @property
     def column(self) -> str:
@@ -146,6 +149,8 @@ RULES: tuple[Rule, ...] = (
     Rule("source_system", WARNING, _cases(("_no_source", "'source_system_nulo'")),
          ("source_system_nulo",)),
 )
+# the codes of these rules are the literals above
+RULES = tuple(replace(rule, closed=rule.families is not None) for rule in RULES)
 RULES_BY_NAME = {rule.name: rule for rule in RULES}
 
 

@@ -202,7 +202,7 @@ def batch_profile(payments: DataFrame) -> DataFrame:
     """
     measures = {
         "n": "true",
-        "sanctioned": member("country_code", fv.SANCTIONED_COUNTRIES),
+        "sanctioned": member("country_code", fv.PROFILE_SANCTIONED_COUNTRIES),
         "near_limit": "_amount >= 9000 AND _amount < 10000",
         "negative": "_amount < 0",
         "legacy": "source_system = 'LEGACY_COBOL'",

@@ -46,6 +46,29 @@ def area_totals(totals: DataFrame, group_by: Sequence[str] = (), rules=fd.FINDIN
     ).where("affected > 0")
 
 
+# score -> the risk totals it reads
+SCORE_INPUTS = {
+    "pci_readiness_score": ("financial_issues", "encryption_issues", "traceability_issues", "sanctions_issues"),
+    "sox_traceability_score": ("traceability_issues", "audit_issues"),
+    "pii_exposure_score": ("encryption_issues",),
+    "encryption_coverage_score": ("encryption_issues",),
+    "auditability_score": ("audit_issues", "traceability_issues"),
+    "ofac_sanctions_score": ("sanctions_issues",),
+    "aml_risk_score": ("aml_issues",),
+    "dora_resilience_score": ("resilience_issues",),
+}
+
+
+def rules_behind(
+    columns: Sequence[str], rules: Sequence[fd.Finding] = fd.FINDINGS
+) -> tuple[fd.Finding, ...]:
+    """The finding rules that the given scores read; run totals of these alone suffice."""
+    if set(columns) - set(SCORE_INPUTS):  # the overall risk reads every score
+        return tuple(rules)
+    areas = {area for c in columns for total in SCORE_INPUTS[c] for area in AREA_TOTALS[total]}
+    return tuple(rule for rule in rules if rule.risk_area in areas)
+
+
 def area_pivot(totals: DataFrame, rules: Sequence[fd.Finding] = fd.FINDINGS) -> DataFrame:
     """one column per risk total; every input column is kept."""
     return totals.selectExpr(
@@ -118,7 +141,7 @@ def regulatory_risk() -> str:
 def run_metadata(
     totals: DataFrame, group_by: Sequence[str] = (), rules: Sequence[fd.Finding] = fd.FINDINGS
 ) -> DataFrame:
-    """record totals, error share, number of findings, findings by area as text."""
+    """F11 on totals with readiness scores: record totals, error share, number of findings, findings by area as text."""
     shown = []
     for area in sorted(risk_areas(rules)):
         n = tt.area_weight(area, finding_rules=rules)
@@ -131,6 +154,8 @@ def run_metadata(
         f"{percent('error_records', 'total_records')} AS pct_error",
         f"{tt.total_findings(rules)} AS total_findings",
         f"concat_ws(', ', {', '.join(shown)}) AS findings_by_area",
+        "data_quality_score AS dq_score_input",
+        "cloud_readiness_score AS cloud_readiness_input",
     )
 
 
@@ -184,6 +209,8 @@ def score_document(
         F.expr(percent("error_records", "total_records")).alias("pct_error"),
         F.expr(tt.total_findings(rules)).alias("total_findings"),
         areas.alias("findings_by_area"),
+        F.col("data_quality_score").alias("dq_score_input"),
+        F.col("cloud_readiness_score").alias("cloud_readiness_input"),
     )
     return scored.select(
         *group_by,

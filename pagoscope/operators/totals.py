@@ -32,20 +32,37 @@ def rule_names(rules: Sequence[fd.Finding]) -> list[str]:
     return list(dict.fromkeys(rule.rule for rule in rules))
 
 
-def _main_pass(payments, group_by, rules, finding_rules, as_of) -> DataFrame:
+def _hits(finding_rules: Sequence[fd.Finding]) -> dict[str, str]:
+    hits = {f"row_{r.rule}": r.when for r in fd.of_kind(finding_rules, fd.RowFinding)}
+    tables = fd.of_kind(finding_rules, fd.TableFinding)
+    return hits | {fd.table_count(r): r.when for r in tables}
+
+
+def main_counts(
+    payments: DataFrame, group_by: Sequence[str] = (), rules: Sequence[Rule] = RULES,
+    finding_rules: Sequence[fd.Finding] = fd.FINDINGS, as_of=None,
+) -> DataFrame:
+    """The main pass: conditional counts of quality codes and of row and table findings,
+    a row per group and open code family. D4-D7 and the totals are all folds of it."""
     coded = quality.with_codes(payments, rules, as_of)
+    return quality.counted(coded, rules, group_by, _hits(finding_rules))
+
+
+def folded_counts(counts, group_by=(), rules=RULES, finding_rules=fd.FINDINGS) -> DataFrame:
+    """:func:`main_counts` as one row per group."""
+    return quality.rolled_up(counts, rules, group_by, list(_hits(finding_rules)))
+
+
+def _main_totals(counts, group_by, rules, finding_rules) -> DataFrame:
     row_rules = fd.of_kind(finding_rules, fd.RowFinding)
     table_rules = fd.of_kind(finding_rules, fd.TableFinding)
-    hits = {f"row_{r.rule}": r.when for r in row_rules}
-    hits |= {f"table_{r.rule}_{r.label}": r.when for r in table_rules}
-    counts = quality.counted(coded, rules, group_by, hits)
-    folded = quality.rolled_up(counts, rules, group_by, list(hits))
+    folded = folded_counts(counts, group_by, rules, finding_rules)
     measures: dict[str, list[tuple[str, str]]] = {}
     for rule in row_rules:
         n = f"row_{rule.rule}"
         measures.setdefault(rule.rule, []).append((n, n))
     for rule in table_rules:
-        n = f"table_{rule.rule}_{rule.label}"
+        n = fd.table_count(rule)
         measures.setdefault(rule.rule, []).append((f"CAST({n} > 0 AS BIGINT)", n))
     for rule in fd.of_kind(finding_rules, fd.SystemFinding):
         measures.setdefault(rule.rule, []).append(("1L", "1L"))
@@ -82,7 +99,8 @@ def run_totals(
     The partial results meet in a union and one small aggregate, so groups need
     no join and a NULL system is a group like any other.
     """
-    passes = [_main_pass(payments, group_by, rules, finding_rules, as_of)]
+    counts = main_counts(payments, group_by, rules, finding_rules, as_of)
+    passes = [_main_totals(counts, group_by, rules, finding_rules)]
     passes += [
         _key_pass(payments, r, group_by) for r in fd.of_kind(finding_rules, fd.GroupFinding)
     ]
@@ -90,6 +108,23 @@ def run_totals(
         _found(r.find(payments, group_by), r, group_by)
         for r in fd.of_kind(finding_rules, fd.CustomFinding)
     ]
+    return _together(passes, group_by, finding_rules)
+
+
+def totals_from(
+    counts: DataFrame, groups: DataFrame, group_by: Sequence[str] = (),
+    rules: Sequence[Rule] = RULES, finding_rules: Sequence[fd.Finding] = fd.FINDINGS,
+) -> DataFrame:
+    """The same totals from written :func:`main_counts` and ``findings.group_findings``."""
+    passes = [_main_totals(counts, group_by, rules, finding_rules)]
+    passes += [
+        _found(groups.where(F.col("rule") == r.rule), r, group_by)
+        for r in fd.of_kind(finding_rules, fd.GroupFinding)
+    ]
+    return _together(passes, group_by, finding_rules)
+
+
+def _together(passes, group_by, finding_rules) -> DataFrame:
     together = reduce(
         lambda left, right: left.unionByName(right, allowMissingColumns=True), passes
     )

@@ -9,10 +9,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.operators import advisor, findings as fd, quality, scores
 from pagoscope.operators import totals as tt
-from pagoscope.sources import files, zones
+from pagoscope.sources import catalog, files, zones
 from pagoscope.sources.layout import conform
 
 
+OUTPUTS = (
+    "zones", "counts", "group_findings", "failures", "rule_detail", "snapshot", "readiness",
+    "readiness_texts", "totals", "findings", "frameworks", "scores", "advice",
+)
+
+
 @dataclass(frozen=True)
 class Assessment:
     """Lazy results; nothing runs until one of them is used."""
@@ -54,30 +60,56 @@ def run(
 ) -> dict[str, str]:
     """Write every output below ``output`` and return their paths.
 
-    The zones are written first and read back, so all later stages scan a
-    columnar table, prune columns, and survive the loss of executors without
-    re-reading the source. The totals are a row per system; they are written
-    before scores and advice are derived from them, so their scans run once.
+    The zones are written first, from one evaluation. They are read back three times: for
+    the counts of the main pass, for the keys of the group rules, and for the row findings.
+    Everything else (failures, detail, snapshot, readiness, totals, table findings, scores,
+    advice) folds those small written counts. A lost executor never sends a stage back to
+    the source.
+
+    ``scores`` is the report header, ``frameworks`` the view per framework, ``findings`` the
+    long table. ``register`` then makes catalog tables of the outputs where wanted.
     """
-    at = {
-        name: f"{output.rstrip('/')}/{name}"
-        for name in ("zones", "findings", "totals", "rule_detail", "scores", "advice")
-    }
+    at = {name: f"{output.rstrip('/')}/{name}" for name in OUTPUTS}
     zones.write_zones(quality.evaluate(conform(payments), as_of=as_of), at["zones"])
     routed = zones.read_zones(spark, at["zones"]).drop(zones.ZONE, "dq_errors")
 
-    files.write_parquet(tt.run_totals(routed, group_by, as_of=as_of), at["totals"])
-    totals = spark.read.parquet(at["totals"])
-    scored = scores.regulatory_scores(quality.readiness(totals, posture)).withColumn(
-        "findings", F.expr(tt.total_findings())
+    def kept(name: str, rows: DataFrame) -> DataFrame:
+        files.write_parquet(rows, at[name])
+        return spark.read.schema(rows.schema).parquet(at[name])
+
+    counts = kept("counts", tt.main_counts(routed, group_by, as_of=as_of))
+    groups = kept("group_findings", fd.group_findings(routed, group_by))
+
+    failures = kept("failures", quality.failures_of(counts, group_by))
+    files.write_parquet(quality.detail_of(failures, group_by), at["rule_detail"])
+    totals = kept("totals", tt.totals_from(counts, groups, group_by))
+    ready = quality.readiness(totals, posture)
+    files.write_parquet(totals.select(*group_by, *quality.SUMMARY_COLUMNS), at["snapshot"])
+    files.write_json_document(
+        ready.select(*group_by, *quality.READINESS_COLUMNS), at["readiness"]
     )
-    advice = advisor.with_costs(advisor.with_risk_class(advisor.decide(scored)))
+    files.write_parquet(quality.readiness_texts(ready, group_by), at["readiness_texts"])
 
-    files.write_parquet(fd.findings(routed, group_by), at["findings"])
-    files.write_parquet(quality.failures_by_code(routed, group_by, as_of=as_of),
-                        at["rule_detail"])
+    tables = fd.table_findings(tt.folded_counts(counts, group_by), group_by=group_by)
+    files.write_parquet(
+        fd.row_findings(routed, group_by).unionByName(groups).unionByName(tables), at["findings"]
+    )
+    files.write_parquet(scores.findings_by_framework(totals, group_by), at["frameworks"])
+    scored = scores.regulatory_scores(ready).withColumn("findings", F.expr(tt.total_findings()))
     files.write_json_document(
         scores.score_document(scored, group_by, system, as_of), at["scores"]
     )
+    advice = advisor.with_costs(advisor.with_risk_class(advisor.decide(scored)))
     files.write_json_document(advice, at["advice"])
     return at
+
+
+TABLES = ("rule_detail", "snapshot", "findings", "frameworks", "failures")
+
+
+def register(spark: SparkSession, at: dict[str, str], database: str) -> None:
+    """Make catalog tables of the Parquet outputs of :func:`run`, replacing earlier ones."""
+    catalog.create_database(spark, database)
+    catalog.drop_tables(spark, database, TABLES)
+    for name in TABLES:
+        catalog.create_parquet_table(spark, f"{database}.{name}", at[name])

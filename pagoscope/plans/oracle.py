@@ -8,7 +8,7 @@ whole table, the source system, or a segment.
 
 from __future__ import annotations
 
-from pagoscope import fixed_values as fv
+from pagoscope.plans import oracle_values as fv
 from pagoscope.sources.layout import PAYMENT_COLUMNS
 
 ORACLE: dict[str, str] = {}
@@ -55,10 +55,14 @@ payments AS (
     CASE c_nationkey WHEN 0 THEN 'US' WHEN 1 THEN 'CO' WHEN 2 THEN 'MX' WHEN 3 THEN 'ES'
          WHEN 4 THEN 'GB' WHEN 5 THEN 'DE' WHEN 6 THEN 'FR' WHEN 7 THEN 'BR'
          WHEN 8 THEN 'AR' WHEN 9 THEN 'CL' WHEN 10 THEN 'PE' WHEN 11 THEN 'IR'
-         WHEN 12 THEN 'VE' WHEN 13 THEN 'ZZ' WHEN 14 THEN NULL WHEN 15 THEN 'co'
+         WHEN 12 THEN 'VE' WHEN 13 THEN 'ZZ' WHEN 14 THEN NULL WHEN 15 THEN 'co' WHEN 16 THEN 'SD'
          ELSE 'US' END AS country_code,
     CASE WHEN k%67=1 THEN NULL WHEN k%79=2 THEN '2999-01-01 00:00:00'
-         WHEN k%83=3 THEN 'not-a-date' ELSE strftime(o_orderdate,{_TIME}) END AS created_at,
+         WHEN k%83=3 THEN 'not-a-date'
+         WHEN k%101=4 THEN 'T12:30:00'
+         WHEN k%103=5 THEN strftime(o_orderdate,'%Y/%m/%d %H:%M:%S')
+         WHEN k%107=6 THEN strftime(o_orderdate,'%d-%m-%Y %H:%M:%S')
+         ELSE strftime(o_orderdate,{_TIME}) END AS created_at,
     CASE WHEN k%113=1 THEN NULL
          WHEN k%89=4 THEN strftime(o_orderdate - INTERVAL 1 DAY,{_TIME})
          ELSE strftime(o_orderdate,{_TIME}) END AS updated_at,
@@ -84,7 +88,7 @@ norm AS (
   SELECT *, {g} AS g,
     CASE WHEN regexp_full_match(trim(amount), '{_NUMBER}')
          THEN try_cast(trim(amount) AS double) END AS num,
-    try_strptime(created_at,{_TIME}) AS cts, try_strptime(updated_at,{_TIME}) AS uts,
+    try_strptime(created_at,[{_TIME},'%Y/%m/%d %H:%M:%S','%d-%m-%Y %H:%M:%S']) AS cts, try_strptime(updated_at,{_TIME}) AS uts,
     upper(trim(status)) AS su, upper(trim(currency_code)) AS cu,
     trim(country_code) AS ct, trim(customer_email) AS em,
     coalesce(trim(payment_id),'')='' AS id_blank, coalesce(trim(amount),'')='' AS amt_blank,
@@ -285,13 +289,6 @@ s AS (
 SEGMENT_KEY = "coalesce(source_system,'-')||'/'||coalesce(country_code,'-')"
 SYSTEM_KEY = "source_system"
 
-_SERVICES = [
-    (strategy, i, service)
-    for strategy, text in fv.SERVICES
-    for i, service in enumerate(text.split(", "), 1)
-]
-
-
 def advice_ctes() -> str:
     weeks = [(s[0], s[1], s[2], s[3], s[4]) for s in fv.STRATEGIES]
     return scores_ctes(SEGMENT_KEY) + f""",
@@ -416,9 +413,19 @@ _add("dq_readiness_texts", _BASE, _text_rows(
 _add("dq_zone_percentages", _BASE_SYS, """SELECT g AS source_system, total AS total_records,
   round_even((total-err)::double/total*100,1) AS pct_clean,
   round_even(err::double/total*100,1) AS pct_error FROM q""")
-_add("dq_custom_rule", _BASE, """SELECT family AS rule_name, n AS failed_records FROM fam
+_LEGACY = "source_system='LEGACY_COBOL' AND num>40000"
+_add("dq_custom_rule", _BASE, f"""SELECT family AS rule_name, n AS failed_records FROM fam
 UNION ALL SELECT 'legacy_monto_alto', count(*) FROM amt
-WHERE source_system='LEGACY_COBOL' AND num>40000 AND ct IS NOT NULL HAVING count(*)>0""")
+WHERE {_LEGACY} AND row_id%2=0 AND ct IS NOT NULL HAVING count(*)>0
+UNION ALL SELECT 'legacy_sin_familia', count(*) FROM amt
+WHERE {_LEGACY} AND row_id%2<>0 HAVING count(*)>0""")
+_add("dq_custom_rule_summary", f"WITH {PAYMENTS}", """SELECT count(*) AS total_records,
+  cast(1 AS bigint) AS total_rules,
+  cast((count(*) FILTER (row_id%1000=1)>0)::int + (count(*) FILTER (row_id%1000=2)>0)::int AS bigint)
+    AS failed_rules,
+  count(*) FILTER (row_id%1000 IN (1,2)) AS total_issues, count(*) AS clean_records,
+  cast(0 AS bigint) AS error_records, count(*) FILTER (row_id%1000 IN (1,2)) AS warning_records
+FROM payments""")
 
 # ------------------------------------------------------------------ compliance
 _FINDING = ("rule_seq, rule, framework, severity, record, detail, risk_area,"
@@ -478,7 +485,8 @@ _add("score_run_metadata", _S, """SELECT total AS total_records, total-err AS cl
   findings AS total_findings,
   (SELECT string_agg(risk_area||'='||n, ', ' ORDER BY risk_area) FROM (
      SELECT risk_area, cast(sum(coalesce(affected_records,1)) AS bigint) AS n FROM f
-     GROUP BY risk_area)) AS findings_by_area FROM s""")
+     GROUP BY risk_area)) AS findings_by_area,
+  (SELECT dq FROM dq) AS dq_score_input, 38 AS cloud_readiness_input FROM s""")
 _add("score_texts", _S_SYS,
      _text_rows(fv.REGULATORY_TEXTS, _SCORES, "s", "g AS source_system, "))
 
@@ -521,8 +529,8 @@ _add("advisor_alternatives", _ADV, """SELECT g AS system, adv.strategy,
   x.strategy AS alternative, x.reason AS reason_rejected
 FROM adv JOIN strategies x ON x.strategy <> adv.strategy""")
 for _name, _rows, _columns in (
-    ("phases", fv.PHASES, ("phase", "name", "weeks_text", "actions")),
-    ("services", _SERVICES, ("ord", "service")),
+    ("phases", [(*p[:4], " | ".join(p[4])) for p in fv.PHASES], ("phase", "name", "weeks_text", "actions")),
+    ("services", fv.SERVICES, ("ord", "service")),
     ("team", fv.TEAMS, ("ord", "role", "dedication", "headcount")),
     ("risks", fv.RISKS, ("ord", "risk_text", "probability", "impact", "mitigation")),
     ("milestones", fv.MILESTONES, ("week", "milestone")),
@@ -607,7 +615,7 @@ UNION ALL SELECT g, strategy, 7, 'SUMA', 'sum', cast(sum(o) AS bigint), cast(sum
 UNION ALL SELECT g, strategy, 8, 'TOTAL', 'shown', cast(312000 AS bigint),
   cast(monthly*12+5000 AS bigint), saving FROM adv JOIN cost USING (strategy)""")
 _add("report_services_by_layer", f"{_ADV}, "
-     + _values("plan", _SERVICES, "strategy", "ord", "service") + ", "
+     + _values("plan", fv.SERVICES, "strategy", "ord", "service") + ", "
      + _values("categories", fv.SERVICE_CATEGORIES, "service", "category") + ", "
      + _values("layers", fv.CATEGORY_LAYERS, "category", "layer"),
      """SELECT g AS system, strategy, coalesce(layer,'Operaciones') AS layer,
@@ -621,7 +629,7 @@ _add("report_alerts", scores_ctes(SEGMENT_KEY),
      "SELECT g AS system, ofac>0 AS ofac_alert, amlr>0 AS aml_alert FROM s")
 _add("report_batch_profile", _BASE, f"""SELECT count(*) AS total_records,
   count(*) FILTER (n>1) AS duplicate_records,
-  count(*) FILTER (country_code IN ({_quoted(fv.SANCTIONED_COUNTRIES)})) AS sanctioned_records,
+  count(*) FILTER (country_code IN ({_quoted(fv.PROFILE_SANCTIONED_COUNTRIES)})) AS sanctioned_records,
   count(*) FILTER (val>=9000 AND val<10000) AS near_limit_records,
   count(*) FILTER (val<0) AS negative_records,
   count(*) FILTER (payment_id IS NULL) AS null_id_records,
@@ -651,12 +659,15 @@ FROM f GROUP BY ALL""")
 _add("io_zone_routing", _BASE, """SELECT row_id, CASE WHEN is_error THEN 'errors'
   ELSE 'clean' END AS zone, CASE WHEN is_error THEN all_codes END AS dq_errors FROM ev""")
 _add("io_zone_tables", _BASE, """
-SELECT 'payments_raw' AS table_name, count(*) AS records, count(payment_id) AS payment_ids,
-  count(amount) AS amounts, cast(0 AS bigint) AS error_texts FROM ev
-UNION ALL SELECT 'payments_clean', count(*), count(payment_id), count(amount), 0
+SELECT 'payments_raw' AS table_name, row_id, payment_id, customer_name, amount,
+  cast(NULL AS varchar) AS dq_errors FROM ev
+UNION ALL SELECT 'payments_clean', row_id, payment_id, customer_name, amount, NULL
   FROM ev WHERE NOT is_error
-UNION ALL SELECT 'payments_errors', count(*), count(payment_id), count(amount), count(*)
+UNION ALL SELECT 'payments_errors', row_id, payment_id, customer_name, amount, all_codes
   FROM ev WHERE is_error""")
+_add("io_csv_by_name", f"WITH {PAYMENTS}", """SELECT row_id, payment_id, amount,
+  customer_name||chr(10)||'"first",'||chr(13)||chr(10)||'second; '||amount AS customer_name,
+  cast(NULL AS varchar) AS currency_code, 'x' AS unknown_column FROM payments""")
 _add("io_compliance_scores_table", _S, f"""SELECT {_as(_SCORES, *_SCORES)},
   '2026-01-01T00:00:00Z' AS generated_at, 'payments' AS system FROM s""")
 _add("io_dq_summary_table", _BASE, f"""SELECT dq AS data_quality_score,

@@ -58,8 +58,17 @@ def segmented(payments: DataFrame) -> DataFrame:
     )
 
 
-def scored(payments: DataFrame, group_by=()) -> DataFrame:
-    return scores.regulatory_scores(tt.run_totals(payments, group_by, as_of=AS_OF))
+def scored(payments: DataFrame, group_by=(), columns=scores.SCORE_COLUMNS) -> DataFrame:
+    """The scores asked for; findings that none of them reads are not counted."""
+    rules = scores.rules_behind(columns)
+    return scores.regulatory_scores(
+        tt.run_totals(payments, group_by, finding_rules=rules, as_of=AS_OF), rules
+    )
+
+
+def documented(payments: DataFrame) -> DataFrame:
+    """All scores, with the readiness scores that the run metadata quotes."""
+    return scores.regulatory_scores(quality.readiness(tt.run_totals(payments, as_of=AS_OF)))
 
 
 def decided(payments: DataFrame) -> DataFrame:
@@ -185,12 +194,23 @@ def _(spark, p):
     legacy = Rule(
         "legacy_large", WARNING,
         "CASE WHEN source_system = 'LEGACY_COBOL' AND _number > 40000"
-        " THEN concat('legacy_monto_alto:', _country) END",
+        " THEN CASE WHEN row_id % 2 = 0 THEN concat('legacy_monto_alto:', _country)"
+        "      ELSE 'legacy_sin_familia' END END",
         ("legacy_monto_alto",),
     )
     return quality.failures_by_code(p, rules=extend(RULES, legacy), as_of=AS_OF)
 
 
+@query("dq_custom_rule_summary")
+def _(spark, p):
+    """K1: the snapshot counts codes outside the declared families too."""
+    stray = Rule(
+        "odd_rows", WARNING, "CASE row_id % 1000 WHEN 1 THEN 'odd_a' WHEN 2 THEN 'odd_b:x' END",
+        ("odd_a", "odd_unused"),
+    )
+    return quality.summary(p, rules=(stray,), as_of=AS_OF)
+
+
 # ------------------------------------------------------------------ compliance
 def shown(found: DataFrame) -> DataFrame:
     """Findings with the frameworks as text."""
@@ -218,8 +238,10 @@ def _(spark, p):
 @query("comp_zone_union")
 def _(spark, p):
     """both zones as one table."""
-    evaluated = quality.evaluate(p, as_of=AS_OF)
-    return fd.union_zones(quality.clean_zone(evaluated), quality.errors_zone(evaluated))
+    path = files.scratch_path(spark, "union")
+    zones.write_zones(quality.evaluate(p, as_of=AS_OF), path)  # one evaluation for both zones
+    routed = zones.read_zones(spark, path)
+    return fd.union_zones(zones.clean_rows(routed), zones.error_rows(routed))
 
 
 @query("comp_findings")
@@ -298,7 +320,7 @@ def _(spark, p):
 def _register_scores(name: str, ids: str, *columns: str) -> None:
     @query(name)
     def _(spark, p):
-        return scored(p, SYSTEM).select(*SYSTEM, *columns)
+        return scored(p, SYSTEM, columns).select(*SYSTEM, *columns)
 
     QUERIES[name].__doc__ = f"{ids} per source system."
 
@@ -325,7 +347,7 @@ def _(spark, p):
 @query("score_run_metadata")
 def _(spark, p):
     """run metadata."""
-    return scores.run_metadata(tt.run_totals(p, as_of=AS_OF))
+    return scores.run_metadata(quality.readiness(tt.run_totals(p, as_of=AS_OF)))
 
 
 @query("score_texts")
@@ -534,7 +556,8 @@ def _(spark, p):
 @query("report_alerts")
 def _(spark, p):
     """Alert flags per segment."""
-    return reports.alerts(scored(segmented(p), SEGMENT), SEGMENT)
+    columns = ("ofac_sanctions_score", "aml_risk_score")
+    return reports.alerts(scored(segmented(p), SEGMENT, columns), SEGMENT)
 
 
 @query("report_batch_profile")
@@ -584,7 +607,7 @@ def _(spark, p):
 def _(spark, p):
     """The score document through JSON."""
     path = files.scratch_path(spark, "scores")
-    document = scores.score_document(scored(p), as_of=AS_OF)
+    document = scores.score_document(documented(p), as_of=AS_OF)
     files.write_json_document(document, path)
     return files.read_json_document(spark, path, document.schema).select(
         "generated_at", "system", *scores.SCORE_COLUMNS,
@@ -619,38 +642,44 @@ def _(spark, p):
 def _(spark, p):
     """External tables over the CSV zones."""
     base = files.scratch_path(spark, "tables")
-    paths = {table: f"{base}/{table}" for table in catalog.ZONE_TABLES}
-    evaluated = quality.evaluate(p, as_of=AS_OF)
-    files.write_csv(p, paths["payments_raw"])
-    files.write_csv(quality.clean_zone(evaluated), paths["payments_clean"])
-    files.write_csv(quality.errors_zone(evaluated), paths["payments_errors"])
-    database = "payments_zones"
-    catalog.create_database(spark, database, f"{base}/database")
-    catalog.drop_tables(spark, database)
+    files.write_csv(p, f"{base}/raw")
+    zones.write_zones(quality.evaluate(p, as_of=AS_OF), f"{base}/zones", "csv")
+    paths = {
+        "payments_raw": f"{base}/raw",
+        "payments_clean": f"{base}/zones/{zones.ZONE}={zones.CLEAN}",
+        "payments_errors": f"{base}/zones/{zones.ZONE}={zones.ERRORS}",
+    }
+    database = catalog.fresh_database(spark, "payments_zones", f"{base}/database")
     catalog.create_zone_tables(spark, database, paths, row_id=True)
     rows = [
         catalog.table(spark, database, table).select(
-            F.lit(table).alias("table_name"), "payment_id", "amount",
-            F.col(ERRORS_COLUMN) if table == "payments_errors"
-            else F.lit(None).cast("string").alias(ERRORS_COLUMN),
+            F.lit(table).alias("table_name"), ROW_ID, "payment_id", "customer_name", "amount",
+            F.lit(None).cast("string").alias(ERRORS_COLUMN) if table == "payments_raw"
+            else F.col(ERRORS_COLUMN),
         )
         for table in catalog.ZONE_TABLES
     ]
-    union = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return union.groupBy("table_name").agg(
-        F.count(F.lit(1)).alias("records"),
-        F.count("payment_id").alias("payment_ids"),
-        F.count("amount").alias("amounts"),
-        F.count(ERRORS_COLUMN).alias("error_texts"),
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("io_csv_by_name")
+def _(spark, p):
+    """A2, A3: a file with other columns in another order, and line breaks inside fields."""
+    path = files.scratch_path(spark, "by_name")
+    notes = F.concat(F.col("customer_name"), F.lit('\n"first",\r\nsecond; '), F.col("amount"))
+    files.write_csv(
+        p.select("amount", F.lit("x").alias("unknown_column"), notes.alias("customer_name"),
+                 "payment_id", ROW_ID), path,
+    )
+    return files.read_csv(spark, path).select(
+        ROW_ID, "payment_id", "customer_name", "amount", "currency_code", "unknown_column"
     )
 
 
 def _score_table(spark, rows: DataFrame, table: str, columns: dict[str, str]) -> DataFrame:
     base = files.scratch_path(spark, table)
     files.write_json_document(rows.select(*columns), f"{base}/documents")
-    database = "payments_scores"
-    catalog.create_database(spark, database, f"{base}/database")
-    catalog.drop_tables(spark, database, (table,))
+    database = catalog.fresh_database(spark, "payments_scores", f"{base}/database")
     catalog.create_json_table(spark, f"{database}.{table}", columns, f"{base}/documents")
     return catalog.table(spark, database, table)
 
@@ -658,7 +687,7 @@ def _score_table(spark, rows: DataFrame, table: str, columns: dict[str, str]) ->
 @query("io_compliance_scores_table")
 def _(spark, p):
     """The regulatory scores as an external JSON table."""
-    document = scores.score_document(scored(p), as_of=AS_OF)
+    document = scores.score_document(documented(p), as_of=AS_OF)
     return _score_table(spark, document, "compliance_scores", catalog.SCORES_TABLE_COLUMNS)
 
 
@@ -675,10 +704,9 @@ def _(spark, p):
 def _(spark, p):
     """Existence before, during and after a table's life, with its row count."""
     base = files.scratch_path(spark, "lifecycle")
-    database, table = "payments_lifecycle", "payments_raw"
+    table = "payments_raw"
     files.write_csv(p, f"{base}/{table}")
-    catalog.create_database(spark, database, f"{base}/database")
-    catalog.drop_tables(spark, database)
+    database = catalog.fresh_database(spark, "payments_lifecycle", f"{base}/database")
     before = catalog.table_exists(spark, database, table)
     catalog.create_csv_table(
         spark, f"{database}.{table}", catalog.payments_columns(row_id=True), f"{base}/{table}"

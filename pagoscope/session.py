@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings that may be changed on a running session.
@@ -35,6 +38,10 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
+    # one machine shares its own disk; a cluster names a folder that all its machines see
+    builder = builder.config(
+        "spark.checkpoint.dir", os.environ.get("PAGOSCOPE_SCRATCH") or tempfile.mkdtemp(prefix="pagoscope-")
+    )
     for name, value in RUNTIME_SETTINGS.items():
         builder = builder.config(name, value)
     session = builder.getOrCreate()

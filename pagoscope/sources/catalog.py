@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from pagoscope.functions import literal
 from pagoscope.operators.scores import SCORE_COLUMNS
+from pagoscope.sources.files import CSV_OPTIONS
 from pagoscope.sources.layout import ERRORS_COLUMN, PAYMENT_COLUMNS, ROW_ID
 
 # The columns of the two score tables
@@ -33,8 +37,15 @@ def payments_columns(row_id: bool = False, errors: bool = False) -> dict[str, st
     return columns | ({ERRORS_COLUMN: "STRING"} if errors else {})
 
 
+def fresh_database(spark: SparkSession, name: str, location: str) -> str:
+    """A database of a name that no other run uses; returns the name."""
+    database = f"{name}_{uuid.uuid4().hex[:12]}"
+    create_database(spark, database, location)
+    return database
+
+
 def create_database(spark: SparkSession, database: str, location: str | None = None) -> None:
-    where = f" LOCATION '{location}'" if location else ""
+    where = f" LOCATION {literal(location)}" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {_quoted(database)}{where}")
 
 
@@ -42,24 +53,33 @@ def create_csv_table(spark: SparkSession, table: str, columns: dict[str, str], p
     """An external table over a CSV folder with header and quoting."""
     spark.sql(
         f"CREATE TABLE {_quoted(table)} ({_columns(columns)}) USING csv "
-        "OPTIONS (header 'true', quote '\"', escape '\"') "
-        f"LOCATION '{path}'"
+        f"OPTIONS ({', '.join(f'{k} {literal(v)}' for k, v in CSV_OPTIONS.items())}) "
+        f"LOCATION {literal(path)}"
     )
 
 
 def create_json_table(spark: SparkSession, table: str, columns: dict[str, str], path: str) -> None:
     """An external table over a folder that holds one kind of document."""
     spark.sql(
-        f"CREATE TABLE {_quoted(table)} ({_columns(columns)}) USING json LOCATION '{path}'"
+        f"CREATE TABLE {_quoted(table)} ({_columns(columns)}) USING json LOCATION {literal(path)}"
     )
 
 
+def create_parquet_table(spark: SparkSession, table: str, path: str) -> None:
+    """An external table over a Parquet folder, with the columns of its files."""
+    spark.sql(f"CREATE TABLE {_quoted(table)} USING parquet LOCATION {literal(path)}")
+
+
 def create_zone_tables(
     spark: SparkSession, database: str, paths: dict[str, str], row_id: bool = False
 ) -> None:
-    """The raw, clean and errors tables over their CSV folders."""
+    """The raw, clean and errors tables over their CSV folders.
+
+    The zone folders are those of ``zones.write_zones``, which carry ``dq_errors`` in
+    either zone.
+    """
     for table in ZONE_TABLES:
-        columns = payments_columns(row_id, errors=table == "payments_errors")
+        columns = payments_columns(row_id, errors=table != "payments_raw")
         create_csv_table(spark, f"{database}.{table}", columns, paths[table])
 
 

@@ -6,14 +6,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from pagoscope.sources.layout import blank_tokens_to_null, conform, payments_schema
+from pagoscope.sources.layout import ROW_ID, blank_tokens_to_null, conform, payments_schema
 
-# A quote inside a quoted field is doubled; white space belongs to the value.
+# A quote inside a quoted field is doubled; white space belongs to the value; a record
+# ends with a line feed outside quotes, so line breaks of any kind survive inside them.
 CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
     "escape": '"',
-    "multiLine": "false",
+    "lineSep": "\n",
+    "multiLine": "true",
     "ignoreLeadingWhiteSpace": "false",
     "ignoreTrailingWhiteSpace": "false",
 }
@@ -24,17 +26,36 @@ def read_csv(
     path: str,
     schema: T.StructType | None = None,
     na_tokens: tuple[str, ...] = ("",),
-    multi_line: bool = False,
+    multi_line: bool = True,
 ) -> DataFrame:
     """A2: an all-text CSV with header; never inferred.
 
-    Columns are matched by the header's position, so ``schema`` must list the
-    file's columns in order. ``na_tokens`` says which texts mean NULL;
-    ``layout.NA_TOKENS`` is the list a pandas reader uses. ``multi_line`` allows
-    line breaks inside quotes, at the price of unsplittable files.
+    Columns are found by their names in the header, in any order. Of ``schema`` (the
+    payments layout unless given), columns that the file lacks become NULL; columns that
+    it has besides are kept, as text, behind them. All files of a folder must have the
+    same header: one that deviates fails the read instead of being misread.
+
+    ``na_tokens`` says which texts mean NULL; ``layout.NA_TOKENS`` is the list a pandas
+    reader uses. Line breaks inside quotes are read as such; ``multi_line=False`` gives
+    that up for files known to have none, which then can be split between tasks.
     """
     options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
-    frame = spark.read.schema(schema or payments_schema()).options(**options).csv(path)
+    names = spark.read.options(**options).csv(path).columns
+    header = T.StructType([T.StructField(name, T.StringType(), True) for name in names])
+    rows = spark.read.schema(header).option("enforceSchema", "false").options(**options).csv(path)
+    if schema is None:
+        wanted = [T.StructField(ROW_ID, T.LongType())] if ROW_ID in names else []
+        wanted += list(payments_schema())
+    else:
+        wanted = list(schema)
+    known = {field.name for field in wanted}
+    frame = rows.select(
+        *[
+            (F.col(f"`{f.name}`") if f.name in names else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in wanted
+        ],
+        *[F.col(f"`{name}`") for name in names if name not in known],
+    )
     return blank_tokens_to_null(frame, na_tokens)
 
 
@@ -68,15 +89,12 @@ def write_json_document(frame: DataFrame, path: str) -> None:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared folder that the session names.
 
-    ``spark.checkpoint.dir`` must be readable by every executor. Only where it
-    is unset, as in single-machine tests, a local temporary folder is used.
+    ``spark.checkpoint.dir`` must be set when the session starts, to a folder that the
+    driver and every executor see; a machine-local folder would lose rows on a cluster.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        import tempfile
-
-        shared = tempfile.mkdtemp(prefix="pagoscope-")
-        spark.conf.set("spark.checkpoint.dir", shared)
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared.rstrip('/')}/pagoscope/{name}-{uuid.uuid4().hex}"
 
 

@@ -14,8 +14,8 @@ class JdbcSource:
     """Where and how to read.
 
     ``partition_column`` with its bounds splits the scan into ``partitions``
-    range queries; without it the driver of the database hands over everything
-    through one connection.
+    range queries. Without it one connection and one task would carry the whole
+    table, which a caller has to ask for with ``one_connection``.
     """
 
     url: str
@@ -25,6 +25,7 @@ class JdbcSource:
     upper_bound: str | int | None = None
     partitions: int = 64
     fetch_size: int = 10_000
+    one_connection: bool = False
     properties: dict[str, str] = field(default_factory=dict)
 
     def options(self) -> dict[str, str]:
@@ -35,6 +36,8 @@ class JdbcSource:
             **self.properties,
         }
         if self.partition_column is None:
+            if not self.one_connection:
+                raise ValueError("name a partition column, or ask for one_connection")
             return chosen
         if self.lower_bound is None or self.upper_bound is None:
             raise ValueError("a partition column needs a lower and an upper bound")

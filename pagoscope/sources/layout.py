@@ -71,6 +71,13 @@ def conform(payments: DataFrame) -> DataFrame:
     return payments.withColumns(missing) if missing else payments
 
 
+def keyed(payments: DataFrame) -> DataFrame:
+    """The payments with a ``row_id`` column: NULL where the source has no row key."""
+    if ROW_ID in payments.columns:
+        return payments
+    return payments.withColumn(ROW_ID, F.lit(None).cast("bigint"))
+
+
 def blank_tokens_to_null(payments: DataFrame, na_tokens: tuple[str, ...] = ("",)) -> DataFrame:
     """Turn the given tokens into NULL in every text column of the layout."""
     tokens = list(na_tokens)

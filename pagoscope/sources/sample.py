@@ -57,11 +57,15 @@ _EXPRESSIONS = {
              WHEN 3 THEN 'ES' WHEN 4 THEN 'GB' WHEN 5 THEN 'DE' WHEN 6 THEN 'FR'
              WHEN 7 THEN 'BR' WHEN 8 THEN 'AR' WHEN 9 THEN 'CL' WHEN 10 THEN 'PE'
              WHEN 11 THEN 'IR' WHEN 12 THEN 'VE' WHEN 13 THEN 'ZZ' WHEN 14 THEN NULL
-             WHEN 15 THEN 'co' ELSE 'US' END""",
+             WHEN 15 THEN 'co'
+             WHEN 16 THEN 'SD' ELSE 'US' END""",
     "created_at": f"""
         CASE WHEN k % 67 = 1 THEN NULL
              WHEN k % 79 = 2 THEN '2999-01-01 00:00:00'
              WHEN k % 83 = 3 THEN 'not-a-date'
+             WHEN k % 101 = 4 THEN 'T12:30:00'
+             WHEN k % 103 = 5 THEN date_format(o_orderdate, 'yyyy/MM/dd HH:mm:ss')
+             WHEN k % 107 = 6 THEN date_format(o_orderdate, 'dd-MM-yyyy HH:mm:ss')
              ELSE {_DATE.format('o_orderdate')} END""",
     "updated_at": f"""
         CASE WHEN k % 113 = 1 THEN NULL

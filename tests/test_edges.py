@@ -3,6 +3,7 @@
 from conftest import AS_OF
 from pyspark.sql import functions as F
 
+from pagoscope.functions import parse_timestamp
 from pagoscope.operators import findings as fd, quality, scores
 from pagoscope.operators import totals as tt
 from pagoscope.operators.quality_rules import RULES, WARNING, Rule, extend
@@ -174,3 +175,21 @@ def test_user_rules(table):
         assert "duplicate rule name" in str(error)
     else:
         raise AssertionError("a repeated rule must be refused")
+
+
+def test_a_time_without_a_date_is_invalid_on_any_day(spark):
+    rows = spark.createDataFrame(
+        [("T12:30:00",), ("12:30",), (" 9:05:00 ",), ("2024-01-02",), ("2024-01-02T12:30:00",),
+         ("2/1/2024 9:05:00",), (None,), ("",)], "t STRING",
+    )
+    seen = [r[0] is not None for r in rows.selectExpr(f"{parse_timestamp('t')} AS at").collect()]
+    assert seen == [False, False, False, True, True, True, False, False]
+
+
+def test_undeclared_codes_are_counted(table):
+    rule = Rule("own", WARNING, "CASE amount WHEN '1' THEN 'a' WHEN '2' THEN 'other:x' END", ("a", "b"))
+    payments = table({"amount": "1"}, {"amount": "2"}, {"amount": "2"}, {"amount": "3"})
+    rows = quality.failures_by_code(payments, rules=(rule,)).collect()
+    assert {(r.rule_name, r.failed_records) for r in rows} == {("a", 1), ("other", 2)}
+    total = quality.summary(payments, rules=(rule,)).first()
+    assert (total.failed_rules, total.total_issues) == (2, 3)

@@ -9,8 +9,8 @@ from pagoscope.operators import totals as tt
 
 def test_golden_counts(payments):
     row = quality.readiness(quality.summary(payments, as_of=AS_OF)).first()
-    assert (row.total_records, row.error_records, row.warning_records) == (1500, 103, 916)
-    assert (row.failed_rules, row.total_issues) == (61, 1334)
+    assert (row.total_records, row.error_records, row.warning_records) == (1500, 103, 953)
+    assert (row.failed_rules, row.total_issues) == (61, 1385)
     assert (row.data_quality_score, row.readiness_general) == (75, 40)
     scored = scores.regulatory_scores(tt.run_totals(payments, as_of=AS_OF)).first()
     assert (scored.pci_readiness_score, scored.sox_traceability_score) == (52, 97)

@@ -29,6 +29,17 @@ def scans(frame) -> list[str]:
     return re.findall(r"ReadSchema: struct<([^>]*)>", plan(frame))
 
 
+@pytest.mark.parametrize("name", [
+    "score_sox_traceability", "score_pii_and_encryption", "score_auditability",
+    "score_sanctions_aml_resilience", "report_alerts",
+])
+def test_scores_count_only_what_they_read(spark, name):
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan(QUERIES[name](spark, SMALL)))
+    assert not any("payment_id" in k for k in keys)
+    if "sanctions" not in name and name != "report_alerts":
+        assert not any("customer_name" in k for k in keys)
+
+
 def test_every_query_has_sql():
     assert set(ORACLE) == set(QUERIES)
 
