@@ -9,8 +9,11 @@ the probability of their weighted Jaccard similarity. Documents that agree on a
 are candidates; the exact weighted Jaccard similarity decides.
 
 Links are wanted for the groups they make, so two documents already known to be in one
-group are not compared again. In each band's bucket all are first compared with one leader,
-then with another; pairs still in different groups after that are all compared.
+group are not compared again. In each band's bucket all are first compared with one leader.
+Buckets that still hold several groups are then compared as a whole, pair of blocks by pair
+of blocks: a task works out all similarities of its two blocks as matrix products over the
+shingles they share, and emits a spanning forest of the links, never the pairs. Buckets with
+the same members are compared once.
 
 Defined cases: a null text or one without a word is like no other document; a text of fewer
 than five words is one shingle; equal word sequences are one class, whatever their case and
@@ -33,12 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagoscope.llm.common import written
 from pagoscope.llm.components import connected_components
+from pagoscope.llm.embedding_dedup import forest
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4  # misses a pair at 0.8 with probability 0.0002
 WORD_BITS = 17
-STARS = 2            # rounds with one leader per bucket
+DEAL = 300           # documents of a block in which all pairs are compared
+COLUMNS = 4096       # shingles that such a comparison holds at a time
 MEMORY = 500_000     # words whose hash a worker remembers
 BLOCK = 2048         # shingles sampled at a time
 POOL_BITS = 16
@@ -80,10 +85,11 @@ def class_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def weighted_shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes in order, and their TF-IDF weights; ``idf`` by word bucket."""
+def weighted_shingles(hashes: np.ndarray, idf: np.ndarray, counted: bool = False) -> tuple[np.ndarray, ...]:
+    """Shingle hashes in order, their TF-IDF weights and, if ``counted``, how often each
+    occurs; ``idf`` by word bucket."""
     if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, int))[:3 if counted else 2]
     width = min(SHINGLE, len(hashes))
     n = len(hashes) - width + 1
     rare = idf[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
@@ -92,7 +98,7 @@ def weighted_shingles(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray,
         total = _mixed(total + hashes[k:k + n] * _KEYS[k])
         best = np.maximum(best, rare[k:k + n])
     shingles, first, counts = np.unique(total, return_index=True, return_counts=True)
-    return shingles, counts * best[first]
+    return (shingles, counts * best[first], counts)[:3 if counted else 2]
 
 
 def idf_table(counts: dict[int, int], total: int) -> np.ndarray:
@@ -209,6 +215,67 @@ def _similar(pairs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
+def items(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weighted set as one of single items: the k-th occurrence of a shingle is an item of
+    the shingle's IDF, so that sums over common items are sums of smaller weights."""
+    again = np.repeat(np.arange(len(shingles)), counts)
+    nth = np.arange(len(again)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return _mixed(shingles[again] + nth.astype(np.uint64) * _MIX), (weights / counts)[again]
+
+
+def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of item sets whose weighted Jaccard similarity is high enough."""
+    n = len(sets)
+    total = np.array([w.sum() for _, w in sets])
+    owner = np.repeat(np.arange(n), [len(h) for h, _ in sets])
+    weight = np.concatenate([w for _, w in sets])
+    _, column, often = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True, return_counts=True)
+    shared = often[column] > 1  # an item of one document adds nothing in common
+    owner, weight, column = owner[shared], weight[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    owner, weight = owner[order], weight[order]
+    column = np.unique(column[order], return_inverse=True)[1] if len(order) else column
+    common = np.zeros((n, n))
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, [at, at + COLUMNS])
+        block = np.zeros((n, COLUMNS))
+        block[owner[low:high], column[low:high] - at] = np.sqrt(weight[low:high])
+        common += block @ block.T
+    either = total[:, None] + total[None] - common
+    near = np.triu(common >= (similarity - 1e-12) * either, 1) & (either > 0)
+    return np.nonzero(near)
+
+
+def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) within the buckets that hold more than one group: a spanning forest."""
+    placed = buckets.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    bands = placed.groupBy("band").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"),
+        F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
+    ).where("low <> high").groupBy("n", "x", "y").agg(F.min("band").alias("band"))
+    bands = written(bands.selectExpr("band", f"cast(ceil(n / {DEAL}) as int) as blocks"), "open")
+    dealt = buckets.join(bands, "band").withColumn(
+        "own", F.expr("cast(pmod(xxhash64(node, 2), blocks) as int)")
+    ).selectExpr("band", "node", "own", "explode(sequence(0, blocks - 1)) as other").selectExpr(
+        "band", "least(own, other) as i", "greatest(own, other) as j", "node"
+    )
+
+    def compare(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("node", kind="stable")
+        words, sets = Words(), []
+        for text in rows["text"]:
+            h, w, n = weighted_shingles(words.hashes(text), idf, counted=True)
+            sets.append(items(h, w, n))
+        node = rows["node"].to_numpy()
+        low = forest(len(node), *similar_pairs(sets, similarity))
+        tied = low != np.arange(len(node))
+        return pd.DataFrame({"a": node[tied], "b": node[low[tied]]})
+
+    return dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row per row of ``docs``: doc_id, class_id (smallest id with the same words),
     group_id (smallest id of the near-duplicate group), kept, text_hash."""
@@ -240,38 +307,25 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         "texts",
     )
 
-    links, groups = None, None
-    for step in range(STARS + 1):
-        placed = buckets if groups is None else buckets.join(groups, "node", "left")
-        placed = placed.withColumn(
-            "part", F.col("node") if groups is None else F.coalesce("component", "node")
-        ).select("band", "node", "part")
-        open_bands = placed.groupBy("band").agg(
-            F.min("part").alias("low"), F.max("part").alias("high"),
-            F.min_by(F.struct("node", "part"), F.xxhash64("node", F.lit(step))).alias("leader"),
-        ).where("low <> high").select("band", F.col("leader.node").alias("lead"), F.col("leader.part").alias("lead_part"))
-        if step < STARS:
-            open_bands = written(open_bands, "leaders")
-            pairs = placed.join(open_bands, "band").where("part <> lead_part").select("node", F.col("lead").alias("other"))
-        else:
-            still = written(placed.join(open_bands.select("band"), "band"), "open")
-            again = still.select("band", F.col("node").alias("other"), F.col("part").alias("other_part"))
-            pairs = still.join(again, "band").where("node < other and part <> other_part").select("node", "other")
-        pairs = written(pairs.select(
-            F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")
-        ).distinct(), "pairs")
-        if pairs.isEmpty():
-            break
-        compared = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
-            texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
-        )
-        found = written(_similar(compared, idf, similarity), "links")
-        links = found if links is None else links.union(found)
-        groups = connected_components(links)
+    # one leader per bucket first; the same leader serves all buckets it is in
+    leaders = written(
+        buckets.groupBy("band").agg(F.min_by("node", F.xxhash64("node")).alias("lead")), "leaders"
+    )
+    pairs = written(
+        buckets.join(leaders, "band").where("node <> lead").select(
+            F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")
+        ).distinct(), "pairs",
+    )
+    compared = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(
+        texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b"
+    )
+    links = written(_similar(compared, idf, similarity), "links")
+    groups = connected_components(links)
+    open_links = written(_open_buckets(buckets, groups, texts, idf, similarity), "open_links")
+    if not open_links.isEmpty():
+        groups = connected_components(links.union(open_links))
 
-    grouped = ids.withColumn("component", F.col("node"))
-    if groups is not None:
-        grouped = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    grouped = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     chosen = grouped.where("node is not null").groupBy("component").agg(F.min(order).alias("chosen"))
     classes = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
