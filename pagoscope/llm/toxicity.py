@@ -167,7 +167,7 @@ def _machine(bags: list[set[str]], toxic: list[int], seed: int) -> tuple[np.ndar
     least = max(3, n1 // 40)  # fewer texts may share a unit by chance, or as copies
     positive = sorted((u for u, c in with1.items() if c >= least and odds[u] >= 8), key=lambda u: (-with1[u], u))[:1000]
     if not positive:
-        positive = sorted(odds, key=lambda u: (-odds[u], u))[:10]
+        positive = sorted((u for u in odds if odds[u] > 2), key=lambda u: (-odds[u], u))[:10]
     pool = sorted(set(with0) - set(positive))
     if not pool or not positive:
         return None
