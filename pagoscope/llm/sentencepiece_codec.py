@@ -41,6 +41,7 @@ N_BEST = 4
 BYTE_SCORE = -50_000.0  # of one byte piece: below any ordinary piece's
 MEMORY = 800_000        # chunks that a worker remembers
 LONGEST_KEPT = 48       # characters; longer chunks are not remembered
+NEVER = float("-inf")
 SPACES = re.compile(r" *[^ ]+| +")
 SCHEMA = (
     "doc_id long, pieces array<int>, n_pieces long, score double, "
@@ -97,6 +98,7 @@ class Codec:
             raise ValueError("the model has pieces that reach over a word's end")
         self.trie, self.longest, self.byte_ids, self.raw = vocabulary(path)
         self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
 
     def _single(self, character: str) -> tuple[tuple[int, ...], float]:
         piece = self.trie.get(character)
@@ -135,51 +137,49 @@ class Codec:
         A pass forward and one back give, for each edge, the best path through it.
         """
         n, short = len(text), len(text) <= LONGEST_KEPT
-        best, came = [0.0] + [-np.inf] * n, [0] * (n + 1)
-        kept, get = [], self.trie.get
+        best, came, by = [0.0] + [NEVER] * n, [0] * (n + 1), [()] * (n + 1)
+        kept, get, longest = [], self.trie.get, self.longest
         for start in range(n):
             here, piece = best[start], get(text[start], False)
             more = piece is not False
-            if not piece:
-                piece = self._single(text[start])
-            end, edges = start + 1, []
-            while True:
-                if piece:
-                    edges.append((end, piece))
-                    value = here + piece[1]
-                    if value > best[end]:
-                        best[end], came[end] = value, start
-                end += 1
-                if end > n or not more:
-                    break
-                piece = get(text[start:end], False)
-                if piece is False:
-                    break
+            ids, score = piece or self._single(text[start])
+            end, value = start + 1, here + score
+            if value > best[end]:
+                best[end], came[end], by[end] = value, start, ids
+            edges = [(end, score)]
+            if more:
+                for end in range(start + 2, min(start + longest, n) + 1):
+                    piece = get(text[start:end], False)
+                    if piece:
+                        ids, score = piece
+                        value = here + score
+                        if value > best[end]:
+                            best[end], came[end], by[end] = value, start, ids
+                        edges.append((end, score))
+                    elif piece is False:
+                        break
             if short:
                 kept.append(edges)
-        cuts, end = [], n
+        taken, ids, end = {}, [], n
         while end:
-            cuts.append((came[end], end))
+            ids.append(by[end])
+            taken[came[end]] = end
             end = came[end]
-        taken, ids = dict(cuts), []
-        rest, loss, total = [0.0] * (n + 1), np.inf, best[n]
+        rest, loss, total = [0.0] * (n + 1), -NEVER, best[n]
         for start in range(n - 1, -1, -1):
-            onward, next_cut = -np.inf, taken.get(start)
-            spare = total - best[start]
-            for end, piece in kept[start] if short else self.edges(text, start):
-                value = piece[1] + rest[end]
+            onward, next_cut = NEVER, taken.get(start)
+            for end, score in kept[start] if short else [(e, p[1]) for e, p in self.edges(text, start)]:
+                value = score + rest[end]
                 if value > onward:
                     onward = value
-                if end == next_cut:
-                    ids.append(piece[0])
-                elif spare - value < loss:
-                    loss = spare - value
+                if end != next_cut and total - best[start] - value < loss:
+                    loss = total - best[start] - value
             rest[start] = onward
         flat = ids[0] if len(ids) == 1 else tuple([i for part in reversed(ids) for i in part])
         result = (flat, total, loss)
         if short:
-            if len(self.known) > MEMORY:
-                self.known.clear()
+            if len(self.known) > MEMORY // 2:  # the older half makes room
+                self.older, self.known = self.known, {}
             self.known[text] = result
         return result
 
