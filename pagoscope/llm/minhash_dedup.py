@@ -185,7 +185,7 @@ def _signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                 if len(h):
                     nodes.append(class_hash(h))
                     bands.append(sampler.bands(*weighted_shingles(h, idf)))
-            yield pd.DataFrame({"node": pd.array(nodes, "Int64"), "bands": bands})
+            yield pd.DataFrame({"node": pd.array(nodes, "Int64"), "bands": pd.Series(bands, dtype=object)})
 
     return rows.select("text").mapInPandas(run, "node long, bands array<long>")
 
