@@ -327,8 +327,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     grouped = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    chosen = grouped.where("node is not null").groupBy("component").agg(F.min(order).alias("chosen"))
-    classes = ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    # written, so that the joins below meet two plain shuffles and a hot group can be split
+    chosen = written(
+        grouped.where("node is not null").groupBy("component").agg(F.min(order).alias("chosen")), "chosen"
+    )
+    classes = written(
+        ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id")), "class_ids"
+    )
     return (
         grouped.join(chosen, "component", "left").join(classes, "node", "left")
         .selectExpr(
