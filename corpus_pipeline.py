@@ -29,9 +29,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; a document left without any text goes with them."""
+    """Repeated chunks and passages of lines go; a document left without any text goes with them."""
     find_package(spark)
-    cleaned = line_dedup.dedup_lines(docs, keep=True)
+    cleaned = line_dedup.dedup_lines(docs, keep=True, passages=True)
     emptied = (F.col(line_dedup.REMOVED) > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
     return cleaned.where(~emptied).select(*(F.col(f"`{c}`") for c in docs.columns))
 

@@ -1,5 +1,6 @@
 """Line quality, line dedup and license scans: SQL, brute force and odd inputs."""
 
+import random
 import re
 
 import pytest
@@ -64,6 +65,57 @@ def test_line_dedup_cases(make_docs):
     assert by_id[4].clean_text is None and by_id[4].n_lines == 0 and by_id[5].clean_text == ""
     assert by_id[7].clean_text == "same"  # single lines stay
 
+@pytest.mark.parametrize("n_lines", [1, 2, 3, 5, 10])
+def test_passages_between_foreign_lines(make_docs, n_lines):
+    # 54 words or more: 60, 30, 20 words a line and so on, a blank line in between
+    def passage(p):
+        lines = [" ".join(f"p{p}l{i}w{k}" for k in range(-(-60 // n_lines))) for i in range(n_lines)]
+        return "\n".join([*lines[:1], *([""] if n_lines > 1 else []), *lines[1:]])
+
+    def foreign(p, side):
+        return f"own {side} line of text {p}\nand one more {side} line of text {p}"
+
+    texts = [(p, passage(p)) for p in range(8)]
+    texts += [(100 + p, f"{foreign(p, 'head')}\n{passage(p)}\n{foreign(p, 'tail')}") for p in range(8)]
+    texts += [(None, passage(0)), (300, " ".join(f"n{i}" for i in range(49))), (301, " ".join(f"n{i}" for i in range(49)))]
+    docs = make_docs(*texts, clash=CLASHES)
+    rows = {r.doc_id: r for r in line_dedup.dedup_lines(docs, passages=True).collect()}
+    for p in range(8):
+        assert rows[p].n_lines_removed == 0 and rows[p].clean_text == passage(p)
+        assert rows[100 + p].clean_text == f"{foreign(p, 'head')}\n{foreign(p, 'tail')}"
+        assert rows[100 + p].n_lines_removed == passage(p).count("\n") + 1
+    assert rows[None].clean_text == "" and rows[301].n_lines_removed == 0  # below MIN_WORDS
+
+def removed_by_brute_force(texts):
+    """Lines that lie in a run of 50 words or more that stands at an earlier place too."""
+    lines = [[(i, x, len(x.split())) for i, x in enumerate(t.split("\n")) if x.split()] for t in texts]
+    seen, gone = set(), [set() for _ in texts]
+    for d, own in enumerate(lines):
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if sum(n for _, _, n in own[a:b]) >= 50:
+                    run = tuple(x for _, x, _ in own[a:b])
+                    if run in seen:
+                        gone[d] |= {i for i, _, _ in own[a:b]}
+                    seen.add(run)
+    return gone
+
+def test_passages_against_brute_force(make_docs):
+    r = random.Random(11)
+    pool = [" ".join(r.choice("abcdef") + str(i) for _ in range(r.choice([1, 2, 4, 9, 20, 70]))) for i in range(40)]
+    texts = []
+    for _ in range(30):
+        own = [x for at in [r.randrange(40) for _ in range(4)] for x in pool[at:at + r.randint(1, 12)]]
+        texts.append("\n".join(x for line in own for x in ([line, ""] if r.random() < 0.1 else [line])))
+    docs = make_docs(*texts)
+    got = {}
+    for row in line_dedup.repeated_passages(docs).collect():
+        got.setdefault(row.key.doc_id, set()).update(range(row.start, row.start + row.n_lines))
+    # lines without a word are no matter
+    worded = [{i for i, x in enumerate(t.split("\n")) if x} for t in texts]
+    assert [got.get(i, set()) & worded[i] for i in range(30)] == removed_by_brute_force(texts)
+    assert "Python" not in line_dedup.dedup_lines(docs, True, True)._jdf.queryExecution().executedPlan().toString()
+
 def base_of(text):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     found = []
