@@ -5,6 +5,7 @@ come from all documents. A file is looked up by its K lexicon words of highest I
 place of such a word votes, per template posting, for the place where the template would
 start. Where two postings or more agree on a start, the template's mandatory key phrase must
 stand at its own offset; the share of the template's words that stand in place is the score.
+A start is negative where a text begins with the key phrase, without the words before it.
 
 Besides, the base phrases are found exactly, at every place.
 
@@ -59,8 +60,8 @@ TEMPLATES = (
     ("unlicense", "this is free and unencumbered software released into the public domain",
      "free and unencumbered software"),
 )
-# Every template and base phrase holds one of these; a text without them is not looked up.
-HINTS = ("licen", "cc", "permission", "redistribution", "unencumbered")
+# Every key phrase and base phrase holds one of these; a text without them is not looked up.
+HINTS = ("licen", "cc", "permission", "redistribution", "unencumbered", "creative", "distribute")
 
 TOP_WORDS = 24  # lexicon words by which a file is looked up
 WORD = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -141,7 +142,9 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     starts = votes.selectExpr(
         "doc_id", "words", "anchors",
-        "array_distinct(filter(votes, (v, k) -> v.start >= 0 and v = get(votes, k - 1))) as starts",
+        # the words before the key phrase may be cut off by the text's start
+        f"array_distinct(filter(votes, (v, k) -> v.start + {_at(key_places, 'v.t')} >= 0 "
+        "and v = get(votes, k - 1))) as starts",
     )
     verified = starts.selectExpr(
         "doc_id", "words", "anchors",

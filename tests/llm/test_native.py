@@ -145,6 +145,20 @@ def test_license_scan_against_brute_force(make_docs):
     assert by_text["permission is hereby granted to nobody"].labels == ""
     assert by_text["die mit der license"].labels == ""
 
+def test_license_titles_at_the_start(make_docs):
+    texts = [phrase for _, _, phrase in license_scan.TEMPLATES]
+    texts += [f"The {phrase}" for _, _, phrase in license_scan.TEMPLATES]
+    titles = {
+        "GNU General Public License Version 3, 29 June 2007": "gpl-3", "GNU Lesser General Public License": "lgpl",
+        "GNU Affero General Public License": "agpl-3", "CC0 1.0 Universal": "cc0", "CC BY-SA 4.0": "cc-by-sa",
+        "Creative Commons Attribution 4.0 International": "cc-by", "General Public License version 3": "",
+    }
+    rows = {r.doc_id: r for r in license_scan.scan(make_docs(*texts, *titles)).collect()}
+    for i, (label, _, _) in enumerate(license_scan.TEMPLATES * 2):
+        assert label in rows[i].labels.split(","), texts[i]
+    assert [rows[len(texts) + i].labels for i in range(len(titles))] == list(titles.values())
+    assert all(0 <= r.score <= 1 for r in rows.values())
+
 def test_license_query_covers_the_table(spark):
     rows = QUERIES["op4_license_scan"](spark, SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
