@@ -1,11 +1,12 @@
 """License scans over a positional index of rare licence words.
 
 The words of all licence templates form one small lexicon. Its words' document frequencies
-come from all documents. A file is looked up by its K lexicon words of highest IDF: every
+come from all documents. Each template is indexed by the ``KEY_WORDS`` words of highest IDF
+of its mandatory key phrase, and a file is looked up by all of those that it holds: every
 place of such a word votes, per template posting, for the place where the template would
-start. Where two postings or more agree on a start, the template's mandatory key phrase must
-stand at its own offset; the share of the template's words that stand in place is the score.
-A start is negative where a text begins with the key phrase, without the words before it.
+start. So no template crowds out another, and a key phrase that stands in full always has
+its votes. Where two postings or more agree on a start, the key phrase must stand at its own
+offset; the share of the template's words that stand in place is the score. A start is negative where a text begins with the key phrase, without the words before it.
 
 Besides, the base phrases are found exactly, at every place.
 
@@ -63,7 +64,7 @@ TEMPLATES = (
 # Every key phrase and base phrase holds one of these; a text without them is not looked up.
 HINTS = ("licen", "cc", "permission", "redistribution", "unencumbered", "creative", "distribute")
 
-TOP_WORDS = 24  # lexicon words by which a file is looked up
+KEY_WORDS = 2  # indexed words of each key phrase; fewer could never agree on a start
 WORD = r"[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 LEXICON = tuple(sorted({w for _, t, _ in TEMPLATES for w in t.split()}))
 
@@ -102,11 +103,14 @@ def lexicon_by_idf(docs: DataFrame) -> list[tuple[str, float]]:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
     score, found: array of (label, start, share) of the verified templates."""
-    rare_first = _list(w for w, _ in lexicon_by_idf(docs))
+    rank = {w: i for i, (w, _) in enumerate(lexicon_by_idf(docs))}
     rows = []
-    for number, (_, template, _) in enumerate(TEMPLATES):
-        rows += [(w, number, place) for place, w in enumerate(template.split())]
-    postings = {w: [(n, p) for x, n, p in rows if x == w] for w in LEXICON}
+    for number, (_, template, phrase) in enumerate(TEMPLATES):
+        words, key = template.split(), phrase.split()
+        chosen = sorted(set(key), key=rank.__getitem__)[:KEY_WORDS]
+        offset = _offset(words, key)
+        rows += [(w, number, offset + place) for place, w in enumerate(key) if w in chosen]
+    postings = {w: [(n, p) for x, n, p in rows if x == w] for w in sorted({w for w, _, _ in rows})}
     index = "map(" + ", ".join(
         f"'{w}', array({', '.join(f'struct({n} as t, {p} as p)' for n, p in places)})"
         for w, places in postings.items()
@@ -115,7 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
     phrases, offsets = [], []
     for _, template, phrase in TEMPLATES:
         words, key = template.split(), phrase.split()
-        offsets.append(next(i for i in range(len(words)) if words[i:i + len(key)] == key))
+        offsets.append(_offset(words, key))
         phrases.append(_list(key))
     key_phrases = f"array({', '.join(phrases)})"
     key_places = f"array({', '.join(map(str, offsets))})"
@@ -126,7 +130,7 @@ def scan(docs: DataFrame) -> DataFrame:
     looked_up = words.selectExpr(
         "doc_id", "words",
         "case when hinted then "
-        + f"slice(array_intersect({rare_first}, words), 1, {TOP_WORDS}) else array() end as keys",
+        f"array_intersect({_list(postings)}, words) else array() end as keys",
         "case when hinted then filter(transform(words, (w, i) -> "
         "case when w in ('mit', 'apache', 'cc') then i end), i -> i is not null) else array() end as anchors",
     )
@@ -142,9 +146,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     starts = votes.selectExpr(
         "doc_id", "words", "anchors",
-        # the words before the key phrase may be cut off by the text's start
-        f"array_distinct(filter(votes, (v, k) -> v.start + {_at(key_places, 'v.t')} >= 0 "
-        "and v = get(votes, k - 1))) as starts",
+        # the words before the key phrase may be cut off by the text's start; of the equal
+        # votes side by side the second stands for all
+        f"filter(votes, (v, k) -> v.start + {_at(key_places, 'v.t')} >= 0 and v = get(votes, k - 1) "
+        "and not coalesce(v = get(votes, k - 2), false)) as starts",
     )
     verified = starts.selectExpr(
         "doc_id", "words", "anchors",
@@ -184,5 +189,10 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
+def _offset(words: list[str], key: list[str]) -> int:
+    """Where the key phrase stands in its template."""
+    return next(i for i in range(len(words)) if words[i:i + len(key)] == key)
+
+
 def _at(items: str, place: str) -> str:
     return f"get({items}, {place})"

@@ -159,6 +159,17 @@ def test_license_titles_at_the_start(make_docs):
     assert [rows[len(texts) + i].labels for i in range(len(titles))] == list(titles.values())
     assert all(0 <= r.score <= 1 for r in rows.values())
 
+def test_license_of_full_notices(make_docs):
+    # more lexicon words than any fixed number of a file's rarest ones
+    templates = [t for _, t, _ in license_scan.TEMPLATES]
+    notices = " ".join([*templates[1:2], *(t for t in templates if t.startswith("redistribution"))])
+    two = "This work is licensed under the GNU General Public License, version 3. Licensed under CC BY-SA 4.0"
+    docs = make_docs(f"{notices} {two}", ". ".join(templates), *[two] * 20)
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert rows[0].labels == "bsd,cc-by-sa,gpl-3,mit"
+    assert rows[1].labels == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES}))
+    assert sorted(f.label for f in rows[1].found) == sorted(label for label, _, _ in license_scan.TEMPLATES)
+
 def test_license_query_covers_the_table(spark):
     rows = QUERIES["op4_license_scan"](spark, SMALL).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
