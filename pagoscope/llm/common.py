@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -45,3 +46,37 @@ def find_package(spark: SparkSession) -> None:
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{known}".rstrip(":")
+
+
+def dealt(counts: dict, total: int, least: int = 1) -> dict:
+    """``total`` rows dealt out to labels with so many rows each: evenly, what a small label
+    leaves goes to the others; none gets less than ``least`` while it has them."""
+    quota, left = {}, total
+    for i, label in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        quota[label] = min(counts[label], max(least, left // (len(counts) - i)))
+        left = max(0, left - quota[label])
+    return quota
+
+
+def sampled(keys: DataFrame, quotas: Callable[[dict], dict]) -> tuple[DataFrame, dict]:
+    """Of distinct ``keys`` (label, h and more) the rows of smallest ``h`` by label, as many as
+    ``quotas`` says for the counts by label; and these counts.
+
+    As ``h`` is a uniform hash, all but a few rows more than the quotas are left out where
+    they are read; no label's rows gather in a task, and the driver gets the sample alone.
+    """
+    table = written(keys, "keys")
+    spark, kind = table.sparkSession, table.schema["label"].dataType.simpleString()
+    counts = dict(table.groupBy("label").count().collect())
+    quota = quotas(counts)
+    most = [
+        (label, min(2**63 - 1, -2**63 + 2**64 * int(n + 8 * n**0.5 + 8) // counts[label]))
+        for label, n in quota.items()
+    ]
+    few = table.join(F.broadcast(spark.createDataFrame(most, f"label {kind}, most long")), "label")
+    left, chosen = dict(quota), []
+    for row in sorted(few.where("h <= most").select(*table.columns).collect(), key=lambda r: r["h"]):
+        if left[row["label"]] > 0:
+            left[row["label"]] -= 1
+            chosen.append(row)
+    return spark.createDataFrame(chosen, table.schema), counts

@@ -6,7 +6,8 @@ of its mandatory key phrase, and a file is looked up by all of those that it hol
 place of such a word votes, per template posting, for the place where the template would
 start. So no template crowds out another, and a key phrase that stands in full always has
 its votes. Where two postings or more agree on a start, the key phrase must stand at its own
-offset; the share of the template's words that stand in place is the score. A start is negative where a text begins with the key phrase, without the words before it.
+offset; the share of the template's words that stand in place is the score. A start is
+negative where a text begins with the key phrase, without the words before it.
 
 Besides, the base phrases are found exactly, at every place.
 

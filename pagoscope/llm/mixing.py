@@ -11,8 +11,9 @@ A document's rate is a function of its posterior and of the domain gradients so
 step keeps no state per document: it is one aggregate over the written posteriors, and only
 one number per domain reaches the driver.
 
-The classifier's sample: the ``SAMPLE_DOCS`` labelled documents with the smallest hash of the
-text, at most ``SAMPLE_CHARS`` characters in ``SAMPLE_CUTS`` even cuts of each; that bounds
+The classifier's sample: by domain the distinct labelled texts with the smallest hash of the
+text, ``SAMPLE_DOCS`` dealt out evenly to the domains (what a small one leaves goes to the
+others; the offsets of the classifier bring the shares of all labelled texts back), at most ``SAMPLE_CHARS`` characters in ``SAMPLE_CUTS`` even cuts of each; that bounds
 the driver's memory.
 
 Defined cases: a null or empty text has no tokens and keeps its rate, which nothing depends
@@ -30,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pagoscope.llm.common import written
+from pagoscope.llm.common import dealt, sampled, written
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.88, "low_quality": 0.09, "toxic": 0.03}
@@ -125,18 +126,23 @@ def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).where("doc_id is not null and text is not null")
     # the sample is chosen by ids and hashes alone; then its texts are fetched
-    chosen = (
-        texts.selectExpr("doc_id", "xxhash64(text) as h").join(marked, "doc_id")
-        .orderBy("h", "domain", "doc_id").limit(SAMPLE_DOCS).select("doc_id", "domain")
+    keys = texts.selectExpr("doc_id", "xxhash64(text) as h").join(marked, "doc_id")
+    chosen, counts = sampled(
+        keys.groupBy(F.col("domain").alias("label"), "h").agg(F.min("doc_id").alias("doc_id")),
+        lambda counts: dealt(counts, SAMPLE_DOCS),
     )
-    rows = texts.join(F.broadcast(chosen), "doc_id").selectExpr(
-        "domain",
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).selectExpr(
+        "label as domain",
         f"case when length(text) <= {SAMPLE_CHARS} then text else array_join(transform("
         f"sequence(0, {SAMPLE_CUTS - 1}), i -> substr(text, cast(1 + i * (length(text) - {cut}) "
         f"div {SAMPLE_CUTS - 1} as int), {cut})), ' ') end as text",
     ).distinct().limit(4 * SAMPLE_DOCS).collect()
     rows = sorted((r["text"], r["domain"]) for r in rows)
-    return train([r[0] for r in rows], [r[1] for r in rows])
+    model = train([r[0] for r in rows], [r[1] for r in rows])
+    drawn = dealt(counts, SAMPLE_DOCS)
+    for domain, n in counts.items():
+        model.offset[domain] += np.log(n / drawn[domain])
+    return model
 
 
 def posteriors(docs: DataFrame, model: Classifier) -> DataFrame:

@@ -7,7 +7,7 @@ gaps but do not hide an insult. A Nystroem map over landmark units makes the mac
 Its weights fold into one table by letter triple, so a unit's exact margin is a sum of table
 look-ups, whatever the number of landmarks.
 
-Training: of the labelled rows, the ``SAMPLE_DOCS`` texts of either label with the smallest
+Training: of the labelled rows, the ``SAMPLE_DOCS`` distinct texts of either label with the smallest
 hash, at most ``SAMPLE_CHARS`` characters in even cuts of each (the driver's memory bound).
 Sentences of toxic texts lend their label to the units that are much more frequent there;
 units of other texts are negative. A logistic layer turns a text's largest margins into a
@@ -17,7 +17,7 @@ Defined cases: a null or empty text has no unit and gets the score of such a tex
 without labelled rows of both kinds every score is 0; equal texts get equal scores; an empty
 table gives an empty table; other columns are ignored.
 
-At scale: the sample is two small top-k passes; scoring is one pass without a shuffle, over
+At scale: the sample is counted and chosen by keys with map-side combine; scoring is one pass without a shuffle, over
 chunks of documents, with a bounded memory of margins by word.
 """
 
@@ -31,7 +31,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pagoscope.llm.common import documents
+from pagoscope.llm.common import documents, sampled
 
 SPAN, DECAY = 7, 0.5
 LANDMARKS = 64           # negative ones; up to twice as many positive ones
@@ -237,14 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine | None:
     )
     texts = documents(docs).where("text is not null and doc_id is not null")
     keyed = texts.selectExpr("doc_id", "xxhash64(text) as h").join(marked, "doc_id")
-    chosen = None
-    for label in (0, 1):
-        part = keyed.where(F.col("toxic") == label).orderBy("h", "doc_id").limit(SAMPLE_DOCS)
-        chosen = part if chosen is None else chosen.union(part)
-    counts = dict(keyed.groupBy("toxic").count().collect())
+    # copies of a text count once, in the sample and in the counts
+    chosen, counts = sampled(
+        keyed.groupBy(F.col("toxic").alias("label"), "h").agg(F.min("doc_id").alias("doc_id")),
+        lambda counts: dict.fromkeys(counts, SAMPLE_DOCS),
+    )
     cut = SAMPLE_CHARS // SAMPLE_CUTS
-    rows = texts.join(F.broadcast(chosen.select("doc_id", "toxic")), "doc_id").selectExpr(
-        "toxic",
+    rows = texts.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"]).selectExpr(
+        "label as toxic",
         f"case when length(text) <= {SAMPLE_CHARS} then text else array_join(transform("
         f"sequence(0, {SAMPLE_CUTS - 1}), i -> substr(text, cast(1 + i * (length(text) - {cut}) "
         f"div {SAMPLE_CUTS - 1} as int), {cut})), ' ') end as text",

@@ -121,6 +121,37 @@ def test_language_of_odd_texts(make_docs):
     assert language_id.identify(make_docs("x").limit(0), net).count() == 0
 
 
+# ------------------------------------------------------------------ samples
+def test_samples_hold_every_label_and_each_text_once(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 60)
+    monkeypatch.setattr(language_id, "SAMPLE_LEAST", 10)
+    monkeypatch.setattr(toxicity, "SAMPLE_DOCS", 30)
+    monkeypatch.setattr(mixing, "SAMPLE_DOCS", 60)
+    # by rows the smallest hash of all has 500 copies; one label has 3 texts of 1,000
+    own = [f"text number {i} of its own" for i in range(1000)]
+    rows = spark.createDataFrame([(t,) for t in own], "t STRING").selectExpr("t", "xxhash64(t) AS h").orderBy("h").collect()
+    own = [r.t for r in rows]
+    rare = {i for i in (400, 700, 999)}
+    docs = make_docs(*[(i, t, "xx" if i in rare else "en") for i, t in enumerate(own)],
+                     *[(2000 + i, own[0], "en") for i in range(500)])
+    cuts, langs = language_id.sample(docs)
+    assert len(cuts) == len(set(cuts)) == 60 and langs.count("xx") == 3
+    assert set(cuts) == {own[i] for i in {*range(57), *rare}}
+    ids = [*range(1000), *range(2000, 2500)]
+    labels = spark.createDataFrame([(i, 1, int(i in rare)) for i in ids], "doc_id BIGINT, quality INT, toxic INT")
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, rest: seen.update(toxic=(texts, toxic, rest)))
+    toxicity.fit(docs, labels)
+    texts, toxic, rest = seen["toxic"]
+    assert len(texts) == len(set(texts)) == 33 and sum(toxic) == 3 and rest == pytest.approx(997 / 30)
+    plain = mixing.train
+    monkeypatch.setattr(mixing, "train", lambda texts, domains: seen.update(mix=(texts, domains)) or plain([], []))
+    model = mixing.fit(docs, labels)
+    texts, domains = seen["mix"]
+    assert len(texts) == len(set(texts)) == 60 and domains.count(2) == 3
+    assert model.offset[0] == pytest.approx(np.log(997 / 57)) and model.offset[2] == -50
+
+
 # ------------------------------------------------------------------ toxicity
 def test_toxicity_on_held_out_documents(spark):
     sf = SMALL.replace("0.001", "0.01")
