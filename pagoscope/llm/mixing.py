@@ -24,6 +24,7 @@ rows get equal rates; other columns are ignored.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,6 +43,7 @@ STEPS = 40
 TOLERANCE = 1e-4   # of the total, largest miss of a domain
 MEMORY = 400_000
 
+LOG = logging.getLogger(__name__)
 WORD = re.compile(r"\S+")
 RUNS = re.compile(r"[^\w\s.,]{2,}")
 
@@ -183,7 +185,8 @@ def rate_text(moves: list[np.ndarray]) -> str:
 def fit_rates(table: DataFrame, targets: dict[str, float] | None = None) -> list[np.ndarray]:
     """The moves of projected-gradient least squares for the posteriors' table.
 
-    The target of a domain is its weight times all tokens. The squares of the domains' misses
+    The target of a domain is its weight times all tokens; what is still missed after
+    ``STEPS`` steps is logged as a warning. The squares of the domains' misses
     are weighted by the inverse of the posteriors' token-weighted second moments, and distances
     between rates by tokens: then the gradient of a rate is its posterior times the weighted
     misses, a step of 1 is the largest safe one, and only the cut at zero needs more steps.
@@ -201,15 +204,23 @@ def fit_rates(table: DataFrame, targets: dict[str, float] | None = None) -> list
     moments = np.array(first[1:], float).reshape(k, k) / first[0]
     inverse = np.linalg.pinv(moments, rcond=1e-9, hermitian=True)
     moves: list[np.ndarray] = []
-    for _ in range(STEPS):
+    while True:
         sums = table.selectExpr("n_tokens", *(f"p{i}" for i in range(k)), f"{rate_text(moves)} as rate").agg(
             *(F.sum(F.col("n_tokens") * F.col(f"p{i}") * F.col("rate")) for i in range(k))
         ).first()
         miss = np.array(sums, float) / first[0] - wanted
         if np.abs(miss).max() < TOLERANCE:
-            break
+            return moves
+        if len(moves) == STEPS:
+            LOG.warning("targets not met in %d steps, misses by domain: %s", STEPS,
+                        ", ".join(f"{d} {m:+.2g}" for d, m in zip(DOMAINS, miss, strict=True)))
+            return moves
         moves.append(inverse @ miss)
-    return moves
+
+
+def draw(text_hash: str) -> str:
+    """SQL text of a document's draw in [0, 1), which rounds its rate."""
+    return f"pmod(xxhash64(cast(doc_id as long), {text_hash}, 'mix'), 1048576) / 1048576D"
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -223,12 +234,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
         f"{rate_text(moves)} as rate",
     ).withColumn(
         "copies",
-        F.expr("cast(floor(rate + pmod(xxhash64(doc_id, text_hash, 'mix'), 1048576) / 1048576D) as long)"),
+        F.expr(f"cast(floor(rate + {draw('text_hash')}) as long)"),
     )
 
 
 def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``docs``, each as often as its ``copies`` says.
+    """The rows of ``docs``, each as often as its ``copies`` of ``mix`` says.
 
     The rates are fitted over all rows; a row then works out its own posterior again, so no
     join carries texts around.
@@ -239,19 +250,22 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         features = Features()
         for batch in batches:
-            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            texts, draws = batch.column("text").to_pylist(), batch.column(len(fields)).to_pylist()
             take = []
-            for i, (doc, text) in enumerate(zip(ids, texts, strict=True)):
+            for i, (text, drawn) in enumerate(zip(texts, draws, strict=True)):
                 at, values, _ = features.of(text)
                 p, rate = softmax(values @ model.weights[at] + model.offset), 1.0
                 for move in moves:
-                    rate = max(0.0, rate - float(move @ p))
-                draw = xxh64_intdigest(f"{doc}\n{text}".encode("utf-8", "surrogatepass")) / 2**64
-                take += [i] * int(rate + draw)
-            yield batch.take(pa.array(take, pa.int64()))
-
-    return docs.mapInArrow(run, fields)
+                    # term by term, as in rate_text
+                    rate = max(0.0, rate - sum(float(m) * float(q) for m, q in zip(move, p, strict=True)))
+                take += [i] * int(rate + drawn)
+            yield batch.take(pa.array(take, pa.int64())).select(range(len(fields)))
+
+    name = "_draw"
+    while name in docs.columns:
+        name += "_"
+    drawn = F.expr(draw("xxhash64(cast(text as string))")).alias(name)
+    return docs.select("*", drawn).mapInArrow(run, fields)

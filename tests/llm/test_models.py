@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -224,3 +225,17 @@ def test_mixing_of_odd_tables(make_docs, spark):
     assert mixing.mix(docs, labels.limit(0)).count() == len(rows)
     again = mixing.resample(docs, labels)
     assert again.columns == docs.columns and again.count() >= 0
+
+
+def test_resampled_rows_equal_the_copies(spark, make_docs, monkeypatch, caplog):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(make_docs(*ODD, (None, "no id")))
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    want = Counter()
+    for r in mixing.mix(docs, labels).collect():
+        want[r.doc_id, r.text_hash] += r.copies
+    got = Counter((r.doc_id, r.h) for r in mixing.resample(docs, labels).selectExpr("doc_id", "xxhash64(text) AS h").collect())
+    assert got == +want and max(got.values()) > 1
+    assert "targets not met" not in caplog.text
+    monkeypatch.setattr(mixing, "STEPS", 0)
+    mixing.mix(docs, labels)
+    assert "targets not met in 0 steps" in caplog.text
