@@ -6,12 +6,10 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
+from cases import SMALL  # noqa: E402
 from pagoscope.session import local_session  # noqa: E402
 from pagoscope.sources import sample  # noqa: E402
 
-SMALL = "/root/testdata/sf0.001"
-AS_OF = "2026-01-01 00:00:00"
-
 
 @pytest.fixture(scope="session")
 def spark():

@@ -1,6 +1,6 @@
 """One row per trap, with codes written by hand."""
 
-from conftest import AS_OF
+from cases import AS_OF
 from pyspark.sql import functions as F
 
 from pagoscope.functions import parse_timestamp

@@ -1,6 +1,6 @@
 """Relations that hold for any payments table."""
 
-from conftest import AS_OF
+from cases import AS_OF
 from pyspark.sql import functions as F
 
 from pagoscope.operators import findings as fd, quality, scores

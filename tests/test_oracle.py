@@ -2,7 +2,7 @@
 
 import pytest
 from compare import connect, difference
-from conftest import SMALL
+from cases import SMALL
 
 from pagoscope.plans.oracle import ORACLE
 from pagoscope.plans.queries import QUERIES

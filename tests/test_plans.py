@@ -3,7 +3,7 @@
 import re
 
 import pytest
-from conftest import AS_OF, SMALL
+from cases import AS_OF, SMALL
 
 from pagoscope.operators import findings as fd, quality
 from pagoscope.operators import totals as tt

@@ -4,7 +4,7 @@ import json
 from pathlib import Path
 
 import pytest
-from conftest import AS_OF
+from cases import AS_OF
 
 from pagoscope.operators import findings as fd, quality
 from pagoscope.plans import assessment
