@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 import pytest
-from llm_cases import CLASHES, ODD, SMALL
+from llm_cases import CLASHES, ODD, SMALL, make_docs  # noqa: F401  a fixture
 
 import corpus_pipeline
 from pagoscope.llm import embedding_dedup, minhash_dedup

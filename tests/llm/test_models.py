@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_cases import CLASHES, ODD, SMALL
+from llm_cases import CLASHES, ODD, SMALL, make_docs  # noqa: F401  a fixture
 
 from pagoscope.llm import language_id, mixing, sentencepiece_codec, sentencepiece_model, token_counts, toxicity
 from pagoscope.llm.queries import QUERIES

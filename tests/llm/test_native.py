@@ -6,7 +6,7 @@ import re
 import pytest
 from compare import connect, difference
 
-from llm_cases import CLASHES, ODD, SMALL
+from llm_cases import CLASHES, ODD, SMALL, make_docs  # noqa: F401  a fixture
 
 from pagoscope.llm import license_scan, line_dedup, quality_rules
 from pagoscope.llm.queries import ORACLE, QUERIES
