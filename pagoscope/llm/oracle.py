@@ -94,4 +94,80 @@ SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(s.chunks
 FROM d LEFT JOIN sums s USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op5_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES}
+
+
+def _clustering() -> str:
+    """Three rounds written out: the vectors, the start, and per round who is nearest and where
+    the means lie."""
+    far = "list_sum(list_transform(list_zip(v.c, t.c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    nearest = f"SELECT v.r, min({{'d': {far}, 'k': t.k}}) AS best FROM v, t%d t GROUP BY v.r"
+    parts = [
+        """v AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, vec_id,
+           list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT::HUGEINT) AS c
+    FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL
+         OR NOT isfinite(x))) = 0
+)""",
+        """t0 AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id) NULLS LAST) - 1 AS k, c
+    FROM v ORDER BY k LIMIT 16
+)""",
+    ]
+    for i in range(3):
+        parts.append(f"a{i} AS MATERIALIZED ({nearest % i})")
+        parts.append(f"""t{i + 1} AS MATERIALIZED (
+    SELECT t.k, coalesce(m.c, t.c) AS c FROM t{i} t LEFT JOIN (
+        SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+        FROM (SELECT k, j, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+              FROM (SELECT best.k AS k, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM a{i} JOIN v USING (r))
+              GROUP BY k, j)
+        GROUP BY k) m ON m.k = t.k
+)""")
+    parts.append(f"a3 AS MATERIALIZED ({nearest % 3})")
+    return "WITH " + ",\n".join(parts) + """
+SELECT vec_id, best.k::INTEGER AS cluster, best.d::BIGINT AS distance,
+       (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia,
+       (sum(best.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(t3.c, ',')) AS centroid_sha256
+FROM a3 JOIN v USING (r) JOIN t3 ON t3.k = best.k
+"""
+
+
+LEXICAL_SEARCH = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+q AS (
+    SELECT r, item_id, unnest(list_distinct(terms)) AS term FROM (
+        SELECT row_number() OVER () AS r, item_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+        FROM benchmark)
+),
+whole AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM d WHERE len(terms) > 0),
+tf AS (
+    SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY r, term
+),
+w AS (
+    SELECT term, floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole
+),
+m AS (SELECT r, doc_id, 10 + (90 * len(terms)::BIGINT * n_docs) // n_terms AS m FROM d, whole WHERE len(terms) > 0),
+scored AS (
+    SELECT q.r AS item_row, item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m ON m.r = tf.r
+    GROUP BY q.r, item_id, tf.r, doc_id
+)
+SELECT item_id, (row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id))::INTEGER AS rank,
+       doc_id, score
+FROM scored WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_row ORDER BY score DESC, doc_id) <= 10
+"""
+
+ORACLE = {
+    "op5_line_dedup": LINE_DEDUP, "op9_quality_rules": QUALITY_RULES, "op11_centroid_clustering": _clustering(),
+    "op12_lexical_search": LEXICAL_SEARCH,
+}

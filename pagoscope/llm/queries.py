@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.llm import (
-    embedding_dedup, language_id, license_scan, line_dedup, minhash_dedup, mixing,
-    quality_rules, sentencepiece_codec, token_counts, toxicity,
+    centroid_clustering, embedding_dedup, language_id, lexical_search, license_scan, line_dedup,
+    minhash_dedup, mixing, quality_rules, sentencepiece_codec, sharding, token_counts, toxicity,
 )
 from pagoscope.llm.common import find_package, labelled_rows
 from pagoscope.llm.oracle import ORACLE  # noqa: F401  registered with the queries
@@ -90,3 +90,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_sentencepiece")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
+
+
+@register("op11_centroid_clustering")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clustering.assignments(table(spark, sf_dir, "embeddings"))
+
+
+@register("op12_lexical_search")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op13_sharding")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
