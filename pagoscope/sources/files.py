@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from pagoscope.sources import split_csv
+from pagoscope.sources.checkpoint import scratch_path  # noqa: F401  used as files.scratch_path
 from pagoscope.sources.layout import ROW_ID, blank_tokens_to_null, conform, payments_schema
 
 # A quote inside a quoted field is doubled; white space belongs to the value; a record
@@ -27,6 +29,7 @@ def read_csv(
     schema: T.StructType | None = None,
     na_tokens: tuple[str, ...] = ("",),
     multi_line: bool = True,
+    split: bool | None = None,
 ) -> DataFrame:
     """A2: an all-text CSV with header; never inferred.
 
@@ -37,12 +40,17 @@ def read_csv(
 
     ``na_tokens`` says which texts mean NULL; ``layout.NA_TOKENS`` is the list a pandas
     reader uses. Line breaks inside quotes are read as such; ``multi_line=False`` gives
-    that up for files known to have none, which then can be split between tasks.
+    that up for files known to have none. With line breaks, files over the size of an input
+    partition are read by many tasks (``split_csv``), at the price of one more pass that
+    counts quotes; ``split`` asks for that (True) or for one task per file (False).
     """
     options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
     names = spark.read.options(**options).csv(path).columns
-    header = T.StructType([T.StructField(name, T.StringType(), True) for name in names])
-    rows = spark.read.schema(header).option("enforceSchema", "false").options(**options).csv(path)
+    if multi_line and (_over_a_partition(spark, path) if split is None else split):
+        rows = split_csv.read(spark, path, names, options)
+    else:
+        header = T.StructType([T.StructField(name, T.StringType(), True) for name in names])
+        rows = spark.read.schema(header).option("enforceSchema", "false").options(**options).csv(path)
     if schema is None:
         wanted = [T.StructField(ROW_ID, T.LongType())] if ROW_ID in names else []
         wanted += list(payments_schema())
@@ -59,6 +67,15 @@ def read_csv(
     return blank_tokens_to_null(frame, na_tokens)
 
 
+def _over_a_partition(spark: SparkSession, path: str) -> bool:
+    """Whether a file is larger than what one task reads; only sizes are looked up."""
+    most = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    number, unit = re.fullmatch(
+        r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
+    ).groups()
+    return most > int(number) * 1024 ** " kmgtp".index(unit or " ")
+
+
 def write_csv(frame: DataFrame, path: str) -> None:
     """A3: CSV with header, NULL as an empty field; replaces the output."""
     frame.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
@@ -86,18 +103,6 @@ def write_json_document(frame: DataFrame, path: str) -> None:
     frame.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared folder that the session names.
-
-    ``spark.checkpoint.dir`` must be set when the session starts, to a folder that the
-    driver and every executor see; a machine-local folder would lose rows on a cluster.
-    """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{shared.rstrip('/')}/pagoscope/{name}-{uuid.uuid4().hex}"
-
-
 def preview(frame: DataFrame, order_by: str, rows: int = 3) -> DataFrame:
     """The first rows by a stated order."""
     return frame.orderBy(F.col(order_by)).limit(rows)
