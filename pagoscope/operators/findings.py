@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pagoscope import fixed_values as fv
 from pagoscope.functions import has_item, literal, literals, member
+from pagoscope.operators.bloom import bloom_filter, may_hold
 from pagoscope.operators.quality_rules import with_helpers
 from pagoscope.sources.layout import ROW_ID
 
@@ -328,6 +329,11 @@ def row_findings(payments, group_by=(), rules=FINDINGS) -> DataFrame:
     return _row_findings(parsed(payments), of_kind(rules, RowFinding), group_by)
 
 
+def of_counts(counted: DataFrame, rule: GroupFinding, group_by: Sequence[str] = ()) -> DataFrame:
+    """The findings of a group rule from its keys and their ``affected_records``."""
+    return _unnested(counted, _finding(rule, rule.key, rule.detail, "affected_records"), group_by)
+
+
 def group_findings(payments, group_by=(), rules=FINDINGS) -> DataFrame:
     """The findings of all group rules in one scan: a payment is counted under each key
     that it has, so the shuffle carries what the separate scans would."""
@@ -344,8 +350,7 @@ def group_findings(payments, group_by=(), rules=FINDINGS) -> DataFrame:
     parts = []
     for i, rule in enumerate(groups):
         kept = counted.where((F.col("_i") == i) & (F.col("affected_records") >= rule.minimum))
-        finding = _finding(rule, rule.key, rule.detail, "affected_records")
-        parts.append(_unnested(kept.withColumnRenamed("_key", rule.key), finding, group_by))
+        parts.append(of_counts(kept.withColumnRenamed("_key", rule.key), rule, group_by))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -383,8 +388,8 @@ def duplicate_rows(payments: DataFrame, hot_ids: int = HOT_IDS) -> DataFrame:
     So the ``hot_ids`` most frequent ids, a list of proven size, are broadcast
     and their rows never move; every other id holds less than ``1 / hot_ids`` of
     the table and goes through the shuffled join. Both legs together are exact.
-    The shuffled join moves every payment that has an id: select the columns
-    that are needed before the call.
+    Before that shuffle a Bloom filter over the repeated ids, of fixed size, drops
+    nearly all rows whose id occurs once; the join decides about the others.
     """
     if not 0 <= hot_ids <= HOT_IDS:
         raise ValueError(f"hot_ids must lie between 0 and {HOT_IDS}: the list is broadcast")
@@ -396,7 +401,8 @@ def duplicate_rows(payments: DataFrame, hot_ids: int = HOT_IDS) -> DataFrame:
     )
     cold = repeated.join(hot, "payment_id", "left_anti").select("payment_id")
     on_hot = keyed.join(hot, "payment_id", "left_semi")
-    on_cold = keyed.join(hot, "payment_id", "left_anti").join(cold, "payment_id", "left_semi")
+    likely = keyed.where(may_hold(bloom_filter(repeated, "payment_id"), "payment_id"))
+    on_cold = likely.join(hot, "payment_id", "left_anti").join(cold, "payment_id", "left_semi")
     return on_hot.unionByName(on_cold)
 
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from cases import AS_OF, SMALL
 
-from pagoscope.operators import findings as fd, quality
+from pagoscope.operators import bloom, findings as fd, quality
 from pagoscope.operators import totals as tt
 from pagoscope.plans.oracle import ORACLE
 from pagoscope.plans.queries import QUERIES
@@ -82,3 +82,27 @@ def test_row_findings_share_one_scan(parquet):
 def test_filters_reach_the_scan(parquet):
     text = plan(fd.findings(parquet, rules=fd.rules_named("DUPLICATE_PAYMENT_ID")))
     assert "PushedFilters: [IsNotNull(payment_id)]" in text
+
+
+def test_duplicate_rows_meet_the_filter_before_the_exchange(spark, parquet):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = plan(fd.duplicate_rows(parquet, hot_ids=0))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the leg that carries whole payments: join, sort, exchange, anti join, filter, scan
+    leg = next(part for part in text.split("SortMergeJoin")[1:] if "raw_reference" in part)
+    leg = "\n".join(line for line in leg.splitlines() if "Subquery" not in line or "Filter" in line)
+    assert leg.index("Exchange hashpartitioning") < leg.index("Filter ((") < leg.index("FileScan")
+    assert "subquery" in leg[leg.index("Filter (("):].splitlines()[0].lower()
+
+
+def test_the_filter_holds_every_key_and_few_others(spark):
+    held = spark.range(5000).selectExpr("concat('PAY-', id) as payment_id")
+    all_keys = spark.range(105_000).selectExpr("concat('PAY-', id) as payment_id", "id")
+    passed = all_keys.where(bloom.may_hold(bloom.bloom_filter(held, "payment_id"), "payment_id"))
+    assert passed.where("id < 5000").count() == 5000
+    assert passed.where("id >= 5000").count() < 20
+    none = bloom.bloom_filter(held.limit(0), "payment_id")
+    assert all_keys.where(bloom.may_hold(none, "payment_id")).isEmpty()
