@@ -32,7 +32,8 @@ def rule_names(rules: Sequence[fd.Finding]) -> list[str]:
     return list(dict.fromkeys(rule.rule for rule in rules))
 
 
-def _hits(finding_rules: Sequence[fd.Finding]) -> dict[str, str]:
+def hits(finding_rules: Sequence[fd.Finding]) -> dict[str, str]:
+    """Counts of the main pass besides the quality ones: name -> SQL condition."""
     hits = {f"row_{r.rule}": r.when for r in fd.of_kind(finding_rules, fd.RowFinding)}
     tables = fd.of_kind(finding_rules, fd.TableFinding)
     return hits | {fd.table_count(r): r.when for r in tables}
@@ -45,12 +46,12 @@ def main_counts(
     """The main pass: conditional counts of quality codes and of row and table findings,
     a row per group and open code family. D4-D7 and the totals are all folds of it."""
     coded = quality.with_codes(payments, rules, as_of)
-    return quality.counted(coded, rules, group_by, _hits(finding_rules))
+    return quality.counted(coded, rules, group_by, hits(finding_rules))
 
 
 def folded_counts(counts, group_by=(), rules=RULES, finding_rules=fd.FINDINGS) -> DataFrame:
     """:func:`main_counts` as one row per group."""
-    return quality.rolled_up(counts, rules, group_by, list(_hits(finding_rules)))
+    return quality.rolled_up(counts, rules, group_by, list(hits(finding_rules)))
 
 
 def _main_totals(counts, group_by, rules, finding_rules) -> DataFrame:

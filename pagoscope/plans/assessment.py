@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.operators import advisor, findings as fd, quality, scores
 from pagoscope.operators import totals as tt
-from pagoscope.sources import catalog, files, zones
+from pagoscope.sources import catalog, files, versions, zones
 from pagoscope.sources.layout import conform
 
 
@@ -60,6 +60,9 @@ def run(
 ) -> dict[str, str]:
     """Write every output below ``output`` and return their paths.
 
+    The outputs are written into a folder of their own and published together at the end
+    (``versions``): readers of :func:`current` see all of a run or nothing of it.
+
     The zones are written first, from one evaluation. They are read back three times: for
     the counts of the main pass, for the keys of the group rules, and for the row findings.
     Everything else (failures, detail, snapshot, readiness, totals, table findings, scores,
@@ -69,7 +72,8 @@ def run(
     ``scores`` is the report header, ``frameworks`` the view per framework, ``findings`` the
     long table. ``register`` then makes catalog tables of the outputs where wanted.
     """
-    at = {name: f"{output.rstrip('/')}/{name}" for name in OUTPUTS}
+    folder = versions.new_folder(output)
+    at = {name: f"{folder}/{name}" for name in OUTPUTS}
     zones.write_zones(quality.evaluate(conform(payments), as_of=as_of), at["zones"])
     routed = zones.read_zones(spark, at["zones"]).drop(zones.ZONE, "dq_errors")
 
@@ -101,7 +105,15 @@ def run(
     )
     advice = advisor.with_costs(advisor.with_risk_class(advisor.decide(scored)))
     files.write_json_document(advice, at["advice"])
-    return at
+    return versions.publish(spark, output, folder, OUTPUTS).outputs
+
+
+def current(spark: SparkSession, output: str) -> dict[str, str]:
+    """Paths of the outputs of the last complete run."""
+    version = versions.current(spark, output)
+    if version is None:
+        raise ValueError(f"no complete run below {output}")
+    return version.outputs
 
 
 TABLES = ("rule_detail", "snapshot", "findings", "frameworks", "failures")

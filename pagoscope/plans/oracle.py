@@ -679,3 +679,16 @@ _add("io_catalog_lifecycle", f"WITH {PAYMENTS}", """SELECT false AS before_creat
 _add("io_full_refresh", _BASE, """SELECT row_id, 'CRITICAL' AS level, c2 AS code FROM codes
 WHERE c2 IS NOT NULL""")
 _add("io_preview", f"WITH {PAYMENTS}", "SELECT * FROM payments ORDER BY row_id LIMIT 3")
+
+_add("io_csv_split", f"WITH {PAYMENTS}", """SELECT row_id, amount, cast(NULL AS varchar) AS status,
+  'line'||chr(10)||chr(10)||'"'||customer_name||'",'||chr(13)||chr(10)||payment_id AS customer_name
+FROM payments""")
+_add("io_atomic_refresh", _BASE, """SELECT 1 AS version_number, row_id, c2 AS code FROM codes
+WHERE c2 IS NOT NULL UNION ALL SELECT 2, row_id, c1 FROM codes WHERE c1 IS NOT NULL""")
+ORACLE["dq_incremental_summary"] = ORACLE["dq_summary_by_system"]
+ORACLE["dq_incremental_failures"] = ORACLE["dq_failures_by_code_and_system"]
+_add("comp_incremental_findings", _S, f"""SELECT {_FINDING} FROM f
+WHERE rule IN ('DUPLICATE_PAYMENT_ID', 'AML_STRUCTURING_PATTERN')""")
+ORACLE["comp_incremental_risk_areas"] = ORACLE["comp_risk_areas"]
+_add("io_stream_zones", _BASE, """SELECT row_id, CASE WHEN is_error THEN 'errors' ELSE 'clean' END AS zone,
+  CASE WHEN is_error THEN all_codes END AS dq_errors, warning FROM ev""")

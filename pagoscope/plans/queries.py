@@ -15,11 +15,12 @@ from pagoscope.functions import (
     ellipsis, is_blank, is_email, nan_to_null, parse_number, parse_timestamp, strip,
     thousands, upper_strip,
 )
-from pagoscope.operators import advisor, findings as fd, quality, reports, scores
+from pagoscope.operators import advisor, findings as fd, increments, quality, reports, scores
 from pagoscope.operators import totals as tt
 from pagoscope.operators.quality_rules import RULES, WARNING, Rule, extend
 from pagoscope.session import tune
-from pagoscope.sources import catalog, files, sample, zones
+from pagoscope.streaming import zones as streamed
+from pagoscope.sources import catalog, files, sample, versions, zones
 from pagoscope.sources.layout import (
     ERRORS_COLUMN, PAYMENT_COLUMNS, ROW_ID, SOURCE_COLUMNS, payments_schema, rename_source,
 )
@@ -736,3 +737,84 @@ def _(spark, p):
 def _(spark, p):
     """The first three payments by row id."""
     return files.preview(p, ROW_ID)
+
+
+@query("io_csv_split")
+def _(spark, p):
+    """A2: the same kind of file, read in byte ranges that may cut a quoted field."""
+    path = files.scratch_path(spark, "split")
+    name = F.concat(F.lit('line\n\n"'), F.col("customer_name"), F.lit('",\r\n'), F.col("payment_id"))
+    files.write_csv(p.select(ROW_ID, name.alias("customer_name"), "amount"), path)
+    return files.read_csv(spark, path, split=True).select(ROW_ID, "customer_name", "amount", "status")
+
+
+@query("io_atomic_refresh")
+def _(spark, p):
+    """What readers see after a run that broke, and after the next complete one."""
+    output = files.scratch_path(spark, "refresh")
+
+    def write(*rules) -> str:
+        folder = versions.new_folder(output)
+        for rule in rules:
+            files.write_parquet(quality.rule_failures(p, rule, AS_OF), f"{folder}/{rule.name}")
+        return folder
+
+    names = [r.name for r in RULES[:2]]
+    versions.publish(spark, output, write(*RULES[:2]), names)
+    broken = write(RULES[0])  # the second output never came
+    try:
+        versions.publish(spark, output, broken, names)
+    except ValueError:
+        pass
+    seen = versions.current(spark, output)
+    after_break = spark.read.parquet(seen.outputs[names[1]]).withColumn("version_number", F.lit(seen.number))
+    versions.publish(spark, output, write(*RULES[:2]), names)
+    now = versions.current(spark, output)
+    return after_break.unionByName(
+        versions.read(spark, output, names[0]).withColumn("version_number", F.lit(now.number))
+    ).select("version_number", ROW_ID, "code")
+
+
+def in_batches(spark, p, group_by=()) -> str:
+    """The state after three batches, of which one came twice."""
+    output = files.scratch_path(spark, "state")
+    for batch in (2, 0, 2, 1):
+        increments.apply(
+            spark, output, f"day-{batch}", p.where(F.col(ROW_ID) % 3 == batch), group_by, AS_OF, buckets=4
+        )
+    return output
+
+
+@query("dq_incremental_summary")
+def _(spark, p):
+    """D5 per source system, merged from batches."""
+    return increments.summary(spark, in_batches(spark, p, SYSTEM))
+
+
+@query("dq_incremental_failures")
+def _(spark, p):
+    """D4 per source system, merged from batches."""
+    return increments.failures(spark, in_batches(spark, p, SYSTEM))
+
+
+@query("comp_incremental_findings")
+def _(spark, p):
+    """Group findings from key counts that were merged batch by batch."""
+    return shown(increments.group_findings(spark, in_batches(spark, p)))
+
+
+@query("comp_incremental_risk_areas")
+def _(spark, p):
+    """F3, merged from batches."""
+    return increments.risk_areas(spark, in_batches(spark, p))
+
+
+@query("io_stream_zones")
+def _(spark, p):
+    """The payments as a stream of files, routed into the zones in micro-batches."""
+    base = files.scratch_path(spark, "stream")
+    p.repartition(4).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    run = streamed.route(stream, f"{base}/out", f"{base}/checkpoint", as_of=AS_OF).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return streamed.read_zones(spark, f"{base}/out").select(ROW_ID, zones.ZONE, ERRORS_COLUMN, "warning")
