@@ -40,13 +40,13 @@ def read_csv(
 
     ``na_tokens`` says which texts mean NULL; ``layout.NA_TOKENS`` is the list a pandas
     reader uses. Line breaks inside quotes are read as such; ``multi_line=False`` gives
-    that up for files known to have none. With line breaks, files over the size of an input
-    partition are read by many tasks (``split_csv``), at the price of one more pass that
-    counts quotes; ``split`` asks for that (True) or for one task per file (False).
+    that up for files known to have none. With line breaks, files of over ``SPLIT_OVER``
+    input partitions are read by many tasks (``split_csv``), at the price of more passes over
+    the text; ``split`` asks for that (True) or for one task per file (False).
     """
     options = {**CSV_OPTIONS, "multiLine": str(multi_line).lower()}
     names = spark.read.options(**options).csv(path).columns
-    if multi_line and (_over_a_partition(spark, path) if split is None else split):
+    if multi_line and (_worth_splitting(spark, path) if split is None else split):
         rows = split_csv.read(spark, path, names, options)
     else:
         header = T.StructType([T.StructField(name, T.StringType(), True) for name in names])
@@ -67,13 +67,16 @@ def read_csv(
     return blank_tokens_to_null(frame, na_tokens)
 
 
-def _over_a_partition(spark: SparkSession, path: str) -> bool:
-    """Whether a file is larger than what one task reads; only sizes are looked up."""
+SPLIT_OVER = 4  # partitions: the split read makes up to three passes over the text
+
+
+def _worth_splitting(spark: SparkSession, path: str) -> bool:
+    """Whether a file keeps one task busy for long; only sizes are looked up."""
     most = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
     number, unit = re.fullmatch(
         r"(\d+)\s*([kmgtp]?)b?", spark.conf.get("spark.sql.files.maxPartitionBytes").strip().lower()
     ).groups()
-    return most > int(number) * 1024 ** " kmgtp".index(unit or " ")
+    return most > SPLIT_OVER * int(number) * 1024 ** " kmgtp".index(unit or " ")
 
 
 def write_csv(frame: DataFrame, path: str) -> None:

@@ -46,7 +46,7 @@ def ranges_inside_quotes(lines: DataFrame) -> DataFrame:
     """(file, start) of the ranges that begin inside a quoted field; ``file`` is a hash of the
     path. Raises where the quotes of a file do not pair up."""
     counted = lines.groupBy("path", "start").agg(
-        F.sum(F.expr("length(line) - length(replace(line, '\"', ''))")).alias("quotes")
+        F.sum(F.expr("octet_length(line) - octet_length(replace(line, '\"', ''))")).alias("quotes")
     )
     # a row per range; the order of a file's ranges is the order of their first bytes
     before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
