@@ -18,8 +18,12 @@ text has no pieces, score 0 and one segmentation; ties are broken by the search
 same on every run; lone surrogates cannot occur; an empty table gives an empty table; other
 columns are ignored.
 
+The distinct new chunks of a batch are worked out together: for chunks of one length both
+passes run as array operations over all of them, with the pieces found by two rolling hashes of
+64 bits. Single chunks take the same passes character by character; results are equal.
+
 At scale: one pass without a shuffle; memory grows with the longest text only, and the
-chunks that a worker remembers are bounded.
+chunks that a worker remembers are bounded. A very long text is encoded whole.
 """
 
 from __future__ import annotations
@@ -39,8 +43,11 @@ from pagoscope.llm.common import documents
 
 N_BEST = 4
 BYTE_SCORE = -50_000.0  # of one byte piece: below any ordinary piece's
-MEMORY = 800_000        # chunks that a worker remembers
-LONGEST_KEPT = 48       # characters; longer chunks are not remembered
+MEMORY = 100_000        # chunks that a worker remembers
+LONGEST_KEPT = 48       # characters; longer chunks are worked out one by one and not remembered
+TOGETHER = 8192         # chunks of one length that are worked out together
+FEW = 4                 # fewer than these are not worth the arrays
+SLOT_BITS = 22          # of the table that tells which hashes may be pieces
 NEVER = float("-inf")
 SPACES = re.compile(r" *[^ ]+| +")
 SCHEMA = (
@@ -92,13 +99,72 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[tuple[int, ...], float] | Non
     return trie, max(map(len, ordinary)), byte_ids, raw
 
 
+_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class PieceTable:
+    """Pieces by the rolling hashes of their characters."""
+
+    def __init__(self, path: str) -> None:
+        trie, self.longest, _, _ = vocabulary(path)
+        found = [(text, piece) for text, piece in trie.items() if piece]
+        by_length: dict[int, list] = {}
+        for text, piece in found:
+            by_length.setdefault(len(text), []).append((text, piece))
+        keys, checks, ids, scores = [], [], [], []
+        for length, group in by_length.items():
+            codes = code_points([text for text, _ in group], length)
+            first, second = (rolled(codes, base)[:, -1] for base in _BASES)
+            keys.append(first), checks.append(second)
+            ids.extend(piece[0][0] for _, piece in group)
+            scores.extend(piece[1] for _, piece in group)
+        order = np.argsort(np.concatenate(keys))
+        self.keys, self.checks = np.concatenate(keys)[order], np.concatenate(checks)[order]
+        self.ids, self.scores = np.array(ids, np.int32)[order], np.array(scores)[order]
+        self.slots = np.zeros(2**SLOT_BITS, bool)
+        self.slots[self._slot(self.keys)] = True
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys * _BASES[0]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of substrings by hash; -1 and -inf where they are no pieces."""
+        ids, scores = np.full(len(keys), -1, np.int32), np.full(len(keys), NEVER)
+        maybe = np.flatnonzero(self.slots[self._slot(keys)])
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        good = (self.keys[at] == keys[maybe]) & (self.checks[at] == checks[maybe])
+        ids[maybe[good]], scores[maybe[good]] = self.ids[at[good]], self.scores[at[good]]
+        return ids, scores
+
+
+def code_points(texts: list[str], length: int) -> np.ndarray:
+    """(n, length) code points of texts of equal length."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.uint64)
+
+
+def rolled(codes: np.ndarray, base: np.uint64) -> np.ndarray:
+    """Hash of the first k + 1 characters, for each k."""
+    total, result = np.zeros(len(codes), np.uint64), np.empty(codes.shape, np.uint64)
+    for k in range(codes.shape[1]):
+        total = (total + codes[:, k] + np.uint64(1)) * base
+        total ^= total >> np.uint64(32)
+        result[:, k] = total
+    return result
+
+
+@functools.lru_cache(maxsize=2)
+def piece_table(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         if not spm.marks_lead(path):
             raise ValueError("the model has pieces that reach over a word's end")
         self.trie, self.longest, self.byte_ids, self.raw = vocabulary(path)
+        self.table = piece_table(path)
         self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
-        self.older: dict[str, tuple[tuple[int, ...], float, float]] = {}
 
     def _single(self, character: str) -> tuple[tuple[int, ...], float]:
         piece = self.trie.get(character)
@@ -176,13 +242,79 @@ class Codec:
                     loss = total - best[start] - value
             rest[start] = onward
         flat = ids[0] if len(ids) == 1 else tuple([i for part in reversed(ids) for i in part])
-        result = (flat, total, loss)
-        if short:
-            if len(self.known) > MEMORY // 2:  # the older half makes room
-                self.older, self.known = self.known, {}
-            self.known[text] = result
+        return flat, total, loss
+
+    def _together(self, texts: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
+        """:meth:`chunk` for chunks of one length, by the same passes over arrays."""
+        m, n = len(texts), len(texts[0])
+        codes, every = code_points(texts, n), np.arange(len(texts))
+        widths = range(1, min(self.longest, n) + 1)
+        number = np.full((n, len(widths), m), -1, np.int32)
+        score = np.full((n, len(widths), m), NEVER)
+        for start in range(n):
+            part = codes[:, start:start + len(widths)]
+            first, second = (rolled(part, base) for base in _BASES)
+            ids, values = self.table.find(first.T.ravel(), second.T.ravel())
+            number[start, :part.shape[1]], score[start, :part.shape[1]] = ids.reshape(-1, m), values.reshape(-1, m)
+        c = codes.T
+        n_bytes = 1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
+        score[:, 0] = np.where(number[:, 0] < 0, BYTE_SCORE * n_bytes, score[:, 0])
+        best, came = np.full((n + 1, m), NEVER), np.zeros((n + 1, m), np.int32)
+        best[0] = 0.0
+        for start in range(n):
+            for width in range(1, min(len(widths), n - start) + 1):
+                value = best[start] + score[start, width - 1]
+                better = value > best[start + width]
+                best[start + width][better], came[start + width][better] = value[better], start
+        total = best[n]
+        taken, pieces = np.zeros((n, len(widths), m), bool), []
+        end = np.full(m, n)
+        while end.any():
+            start = came[end, every]
+            on = end > 0
+            pieces.append(np.where(on, number[np.maximum(start, 0), np.maximum(end - start, 1) - 1, every], -2))
+            taken[start[on], end[on] - start[on] - 1, every[on]] = True
+            end = np.where(on, start, 0)
+        rest, loss = np.zeros((n + 1, m)), np.full(m, np.inf)
+        for start in range(n - 1, -1, -1):
+            onward = np.full(m, NEVER)
+            for width in range(1, min(len(widths), n - start) + 1):
+                value = score[start, width - 1] + rest[start + width]
+                np.maximum(onward, value, out=onward)
+                other = total - best[start] - value
+                np.minimum(loss, np.where(taken[start, width - 1], np.inf, other), out=loss)
+            rest[start] = onward
+        rows = np.array(pieces)[::-1].T
+        byte_path = (rows == -1).any(axis=1)
+        result = []
+        for k, (row, odd, a, b) in enumerate(zip(rows.tolist(), byte_path.tolist(), total.tolist(), loss.tolist(), strict=True)):
+            ids = self._with_bytes(texts[k], came[:, k]) if odd else tuple([i for i in row if i >= 0])
+            result.append((ids, a, b))
         return result
 
+    def _with_bytes(self, text: str, came: np.ndarray) -> tuple[int, ...]:
+        """The pieces of a path on which some characters are bytes."""
+        parts, end = [], len(text)
+        while end:
+            start = int(came[end])
+            parts.append((self.trie.get(text[start:end]) or self._single(text[start]))[0])
+            end = start
+        return tuple(itertools.chain.from_iterable(reversed(parts)))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Work out the new ones of these chunks; when too many are remembered, others go."""
+        known, by_length = self.known, {}
+        for text in chunks:
+            if text not in known and len(text) <= LONGEST_KEPT:
+                by_length.setdefault(len(text), []).append(text)
+        if len(known) + sum(map(len, by_length.values())) > MEMORY:
+            self.known = {c: known[c] for c in chunks if c in known}
+        for group in by_length.values():
+            for at in range(0, len(group), TOGETHER):
+                part = group[at:at + TOGETHER]
+                found = self._together(part) if len(part) >= FEW else map(self.chunk, part)
+                self.known.update(zip(part, found, strict=True))
+
     def chunk_nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk by A*."""
         best = self.forward(text)
@@ -207,10 +339,13 @@ class Codec:
             return [" " + w for w in words]
         return SPACES.findall(" " + text)
 
-    def encode(self, text: str) -> tuple[list, float, np.ndarray, list[str]]:
+    def encode(self, text: str, chunks: list[str] | None = None) -> tuple[list, float, np.ndarray, list[str]]:
         """Pieces by chunk, total score, losses by chunk, chunks; of a text that isn't empty."""
-        chunks = self.chunks(text)
-        found = [self.known.get(c) or self.chunk(c) for c in chunks]
+        chunks = chunks or self.chunks(text)
+        found = list(map(self.known.get, chunks))
+        if None in found:
+            self.learn({c for c, r in zip(chunks, found, strict=True) if r is None})
+            found = [r or self.known.get(c) or self.chunk(c) for c, r in zip(chunks, found, strict=True)]
         ids, scores, losses = zip(*found, strict=True)
         return ids, float(sum(scores)), np.array(losses), chunks
 
@@ -263,7 +398,10 @@ def encode(docs: DataFrame, model_path: str | None = None, n_best: int = N_BEST)
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 flat, ends, scores, best, same, missing = array("i"), [0], [], [], [], []
-                for text in batch.column("text").to_pylist():
+                texts = batch.column("text").to_pylist()
+                split = [own.chunks(t) if t else [] for t in texts]
+                own.learn(set().union(*split))
+                for text, parts in zip(texts, split, strict=True):
                     missing.append(text is None)
                     if not text:
                         ends.append(len(flat))
@@ -271,7 +409,7 @@ def encode(docs: DataFrame, model_path: str | None = None, n_best: int = N_BEST)
                         best.append(None if text is None else [0.0])
                         same.append(True)
                         continue
-                    ids, total, losses, chunks = own.encode(text)
+                    ids, total, losses, chunks = own.encode(text, parts)
                     flat.extend(itertools.chain.from_iterable(ids))
                     same.append(own.decode(flat[ends[-1]:]) == text)
                     ends.append(len(flat))

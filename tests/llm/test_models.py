@@ -239,3 +239,23 @@ def test_resampled_rows_equal_the_copies(spark, make_docs, monkeypatch, caplog):
     monkeypatch.setattr(mixing, "STEPS", 0)
     mixing.mix(docs, labels)
     assert "targets not met in 0 steps" in caplog.text
+
+
+def test_chunks_worked_out_together_equal_single_ones(texts):
+    own = sentencepiece_codec.Codec(sentencepiece_model.default_path())
+    rng = random.Random(4)
+    odd = ["".join(rng.choice("abethinrs  \n012ñ日本🙂▁.,") for _ in range(rng.randrange(1, 60))) for _ in range(400)]
+    chunks = {c for t in [*odd, *(r.text or "" for r in texts.values())] if t for c in own.chunks(t)}
+    own.learn(chunks)
+    kept = {c for c in chunks if len(c) <= sentencepiece_codec.LONGEST_KEPT}
+    assert set(own.known) == kept and len(kept) > 2000
+    assert all(own.known[c] == own.chunk(c) for c in kept)
+
+
+def test_a_full_memory_changes_nothing(texts, monkeypatch):
+    rows = [r.text for r in texts.values() if r.text][:40]
+    plain = sentencepiece_codec.Codec(sentencepiece_model.default_path())
+    expected = [plain.nbest(t) for t in rows]
+    monkeypatch.setattr(sentencepiece_codec, "MEMORY", 50)
+    small = sentencepiece_codec.Codec(sentencepiece_model.default_path())
+    assert [small.nbest(t) for t in rows] == expected
