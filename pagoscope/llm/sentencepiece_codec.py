@@ -19,8 +19,8 @@ same on every run; lone surrogates cannot occur; an empty table gives an empty t
 columns are ignored.
 
 The distinct new chunks of a batch are worked out together: for chunks of one length both
-passes run as array operations over all of them, with the pieces found by two rolling hashes of
-64 bits. Single chunks take the same passes character by character; results are equal.
+passes run as array operations over all of them, with the pieces found by a rolling hash of 64
+bits and their outer characters. Single chunks take the same passes character by character; results are equal.
 
 At scale: one pass without a shuffle; memory grows with the longest text only, and the
 chunks that a worker remembers are bounded. A very long text is encoded whole.
@@ -43,7 +43,8 @@ from pagoscope.llm.common import documents
 
 N_BEST = 4
 BYTE_SCORE = -50_000.0  # of one byte piece: below any ordinary piece's
-MEMORY = 100_000        # chunks that a worker remembers
+MEMORY = 300_000        # chunks that a worker remembers
+LISTED = 20_000         # chunks whose n best segmentations a worker remembers
 LONGEST_KEPT = 48       # characters; longer chunks are worked out one by one and not remembered
 TOGETHER = 8192         # chunks of one length that are worked out together
 FEW = 4                 # fewer than these are not worth the arrays
@@ -99,58 +100,60 @@ def vocabulary(path: str) -> tuple[dict[str, tuple[tuple[int, ...], float] | Non
     return trie, max(map(len, ordinary)), byte_ids, raw
 
 
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASE, _SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class PieceTable:
-    """Pieces by the rolling hashes of their characters."""
+    """Pieces by a rolling hash of their characters, checked by length and outer characters."""
 
     def __init__(self, path: str) -> None:
         trie, self.longest, _, _ = vocabulary(path)
-        found = [(text, piece) for text, piece in trie.items() if piece]
         by_length: dict[int, list] = {}
-        for text, piece in found:
-            by_length.setdefault(len(text), []).append((text, piece))
-        keys, checks, ids, scores = [], [], [], []
+        for text, piece in trie.items():
+            if piece:
+                by_length.setdefault(len(text), []).append((text, piece))
+        keys, outer, ids, scores = [], [], [], []
         for length, group in by_length.items():
             codes = code_points([text for text, _ in group], length)
-            first, second = (rolled(codes, base)[:, -1] for base in _BASES)
-            keys.append(first), checks.append(second)
+            *_, last = rolled(codes)
+            keys.append(last), outer.append(ends_of(codes[0], codes[-1], length))
             ids.extend(piece[0][0] for _, piece in group)
             scores.extend(piece[1] for _, piece in group)
         order = np.argsort(np.concatenate(keys))
-        self.keys, self.checks = np.concatenate(keys)[order], np.concatenate(checks)[order]
+        self.keys, self.outer = np.concatenate(keys)[order], np.concatenate(outer)[order]
         self.ids, self.scores = np.array(ids, np.int32)[order], np.array(scores)[order]
         self.slots = np.zeros(2**SLOT_BITS, bool)
         self.slots[self._slot(self.keys)] = True
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
-        return ((keys * _BASES[0]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        return ((keys * _SPREAD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of substrings by hash; -1 and -inf where they are no pieces."""
-        ids, scores = np.full(len(keys), -1, np.int32), np.full(len(keys), NEVER)
+    def find(self, keys: np.ndarray, outer: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Fill in ``ids`` and ``scores`` of the substrings that are pieces."""
         maybe = np.flatnonzero(self.slots[self._slot(keys)])
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        good = (self.keys[at] == keys[maybe]) & (self.checks[at] == checks[maybe])
+        key = keys[maybe]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        good = np.flatnonzero((self.keys[at] == key) & (self.outer[at] == outer[maybe]))
         ids[maybe[good]], scores[maybe[good]] = self.ids[at[good]], self.scores[at[good]]
-        return ids, scores
 
 
 def code_points(texts: list[str], length: int) -> np.ndarray:
-    """(n, length) code points of texts of equal length."""
-    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length).astype(np.uint64)
+    """(length, n) code points of texts of equal length."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
+    return np.ascontiguousarray(codes.T).astype(np.uint64)
+
+
+def rolled(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """Hashes of the first 1, 2, ... characters."""
+    total = np.zeros(codes.shape[1], np.uint64)
+    for line in codes:
+        total = (total + line + np.uint64(1)) * _BASE
+        yield total
 
 
-def rolled(codes: np.ndarray, base: np.uint64) -> np.ndarray:
-    """Hash of the first k + 1 characters, for each k."""
-    total, result = np.zeros(len(codes), np.uint64), np.empty(codes.shape, np.uint64)
-    for k in range(codes.shape[1]):
-        total = (total + codes[:, k] + np.uint64(1)) * base
-        total ^= total >> np.uint64(32)
-        result[:, k] = total
-    return result
+def ends_of(first: np.ndarray, last: np.ndarray, length: int | np.ndarray) -> np.ndarray:
+    return (first << np.uint64(21) | last) << np.uint64(8) | np.asarray(length, np.uint64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,6 +168,7 @@ class Codec:
         self.trie, self.longest, self.byte_ids, self.raw = vocabulary(path)
         self.table = piece_table(path)
         self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.listed: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def _single(self, character: str) -> tuple[tuple[int, ...], float]:
         piece = self.trie.get(character)
@@ -248,41 +252,40 @@ class Codec:
         """:meth:`chunk` for chunks of one length, by the same passes over arrays."""
         m, n = len(texts), len(texts[0])
         codes, every = code_points(texts, n), np.arange(len(texts))
-        widths = range(1, min(self.longest, n) + 1)
-        number = np.full((n, len(widths), m), -1, np.int32)
-        score = np.full((n, len(widths), m), NEVER)
+        most = min(self.longest, n)
+        number, score = np.full((n, most, m), -1, np.int32), np.full((n, most, m), NEVER)
         for start in range(n):
-            part = codes[:, start:start + len(widths)]
-            first, second = (rolled(part, base) for base in _BASES)
-            ids, values = self.table.find(first.T.ravel(), second.T.ravel())
-            number[start, :part.shape[1]], score[start, :part.shape[1]] = ids.reshape(-1, m), values.reshape(-1, m)
-        c = codes.T
-        n_bytes = 1 + (c > 0x7F).astype(int) + (c > 0x7FF) + (c > 0xFFFF)
+            part = codes[start:start + most]
+            size = np.arange(1, len(part) + 1, dtype=np.uint64)[:, None]
+            self.table.find(
+                np.concatenate(list(rolled(part))), ends_of(codes[start], part, size).ravel(),
+                number[start, :len(part)].reshape(-1), score[start, :len(part)].reshape(-1),
+            )
+        n_bytes = 1 + (codes > 0x7F).astype(int) + (codes > 0x7FF) + (codes > 0xFFFF)
         score[:, 0] = np.where(number[:, 0] < 0, BYTE_SCORE * n_bytes, score[:, 0])
+        edges = [[k for k in range(min(most, n - start)) if not k or number[start, k].max() >= 0] for start in range(n)]
         best, came = np.full((n + 1, m), NEVER), np.zeros((n + 1, m), np.int32)
         best[0] = 0.0
         for start in range(n):
-            for width in range(1, min(len(widths), n - start) + 1):
-                value = best[start] + score[start, width - 1]
-                better = value > best[start + width]
-                best[start + width][better], came[start + width][better] = value[better], start
-        total = best[n]
-        taken, pieces = np.zeros((n, len(widths), m), bool), []
-        end = np.full(m, n)
+            for k in edges[start]:
+                value, end = best[start] + score[start, k], start + k + 1
+                better = value > best[end]
+                np.copyto(best[end], value, where=better)
+                np.copyto(came[end], start, where=better)
+        total, end, pieces = best[n], np.full(m, n), []
+        cut = np.zeros((n, m), np.int64)  # where the best path's edge from a place ends
         while end.any():
-            start = came[end, every]
-            on = end > 0
-            pieces.append(np.where(on, number[np.maximum(start, 0), np.maximum(end - start, 1) - 1, every], -2))
-            taken[start[on], end[on] - start[on] - 1, every[on]] = True
+            start, on = came[end, every], end > 0
+            pieces.append(np.where(on, number[start, np.maximum(end - start, 1) - 1, every], -2))
+            cut[start[on], every[on]] = end[on]
             end = np.where(on, start, 0)
         rest, loss = np.zeros((n + 1, m)), np.full(m, np.inf)
         for start in range(n - 1, -1, -1):
-            onward = np.full(m, NEVER)
-            for width in range(1, min(len(widths), n - start) + 1):
-                value = score[start, width - 1] + rest[start + width]
+            onward, ahead = np.full(m, NEVER), total - best[start]
+            for k in edges[start]:
+                value = score[start, k] + rest[start + k + 1]
                 np.maximum(onward, value, out=onward)
-                other = total - best[start] - value
-                np.minimum(loss, np.where(taken[start, width - 1], np.inf, other), out=loss)
+                np.minimum(loss, ahead - value, out=loss, where=cut[start] != start + k + 1)
             rest[start] = onward
         rows = np.array(pieces)[::-1].T
         byte_path = (rows == -1).any(axis=1)
@@ -316,7 +319,10 @@ class Codec:
                 self.known.update(zip(part, found, strict=True))
 
     def chunk_nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
-        """The n best segmentations of a chunk by A*."""
+        """The n best segmentations of a chunk by A*; those of frequent chunks are remembered."""
+        found = self.listed.get((text, n))
+        if found is not None:
+            return found
         best = self.forward(text)
 
         def into(end: int) -> Iterator[Edge]:
@@ -327,10 +333,15 @@ class Codec:
                 if piece:
                     yield start, piece[1], piece[0]
 
-        return [
+        found = [
             (score, tuple(itertools.chain.from_iterable(path)))
             for score, path in a_star(len(text), best.__getitem__, into, n)
         ]
+        if len(text) <= LONGEST_KEPT:
+            if len(self.listed) >= LISTED:
+                self.listed.clear()
+            self.listed[text, n] = found
+        return found
 
     @staticmethod
     def chunks(text: str) -> list[str]:
