@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -34,6 +34,36 @@ def documents(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def quoted(name: str) -> str:
+    """A column's name as SQL takes it, whatever characters it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def whole_rows(docs: DataFrame) -> Column:
+    """All columns as one struct, so that their names cannot clash with an operator's own."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The columns under plain names c0, c1, ..., which Python functions over rows need."""
+    return docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def sliced(batches: Iterator, rows: int = 256) -> Iterator:
+    """Arrow batches in slices, so that a task holds few texts as Python objects at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, rows):
+            yield whole.slice(at, rows)
+
+
 def labelled_rows(remainder_of: int) -> Column:
     """crc32 of the id as text, modulo ``remainder_of``: the held-out rule of the queries."""
     return F.crc32(F.col("doc_id").cast("string")) % remainder_of

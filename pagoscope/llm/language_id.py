@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pagoscope.llm.common import dealt, documents, sampled
+from pagoscope.llm.common import dealt, documents, free_name, numbered, sampled, sliced
 
 SAMPLE_DOCS = 4000
 SAMPLE_LEAST = 100     # of each language
@@ -209,32 +209,34 @@ def classify(net: Network, texts: list[str | None]) -> tuple[list[str], list[flo
 
 def identify(docs: DataFrame, net: Network | None, keep: bool = False) -> DataFrame:
     """Per document: doc_id, lang_pred, score. With ``keep``, the columns of ``docs`` and
-    then the two results."""
-    rows = docs if keep else documents(docs)
+    then the two results, under names that ``docs`` does not have."""
+    rows = numbered(docs) if keep else documents(docs)
     given = [f for f in rows.schema if keep or f.name == "doc_id"]
-    names = ["_lang_pred", "_lang_score"] if keep else ["lang_pred", "score"]
+    given_at = [rows.columns.index(f.name) for f in given]
+    text_at = (docs if keep else rows).columns.index("text")
+    names = [free_name(docs, "_lang_pred"), free_name(docs, "_lang_score")] if keep else ["lang_pred", "score"]
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         if net is not None:
             net.prepared()
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
+        for batch in sliced(batches):
+            texts = batch.column(text_at).to_pylist()
             if net is None:
                 langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
             else:
                 langs, scores = classify(net, texts)
-            columns = [batch.column(f.name) for f in given]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                [*[batch.column(at) for at in given_at], pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                 names=[*(f.name for f in given), *names],
             )
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*given, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
+    return found.toDF(*docs.columns, *names) if keep else found
 
 
 def held_out(remainder_of: int = 5):

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pagoscope.llm.common import written
+from pagoscope.llm.common import sliced, whole_rows, written
 from pagoscope.llm.components import connected_components
 from pagoscope.llm.embedding_dedup import forest
 
@@ -44,7 +44,7 @@ BANDS, ROWS = 16, 4  # misses a pair at 0.8 with probability 0.0002
 WORD_BITS = 17
 DEAL = 300           # documents of a block in which all pairs are compared
 COLUMNS = 4096       # shingles that such a comparison holds at a time
-MEMORY = 500_000     # words whose hash a worker remembers
+MEMORY = 200_000     # words whose hash a worker remembers
 BLOCK = 2048         # shingles sampled at a time
 POOL_BITS = 16
 
@@ -153,48 +153,53 @@ def _first_pass(rows: DataFrame) -> DataFrame:
     """Kind 0: a row per document with its class; kind 1: documents per word bucket."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
+        names = ["kind", "doc_id", "text_hash", "node"]
         words, df = Words(), np.zeros(2**WORD_BITS, np.int64)
-        for batch in batches:
+        for batch in sliced(batches):
             classes = []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 h = words.hashes(text)
                 df[np.unique((h >> np.uint64(64 - WORD_BITS)).astype(np.int64))] += 1
                 classes.append(class_hash(h) if len(h) else None)
-            yield pd.DataFrame({
-                "kind": 0, "doc_id": batch["doc_id"].astype("Int64"),
-                "text_hash": batch["text_hash"].astype("Int64"),
-                "node": pd.array(classes, "Int64"),
-            })
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([0] * len(classes), pa.int32()), batch.column("doc_id"), batch.column("text_hash"),
+                 pa.array(classes, pa.int64())], names=names,
+            )
         seen = np.flatnonzero(df)
-        yield pd.DataFrame({"kind": 1, "doc_id": df[seen], "text_hash": seen, "node": pd.array([None] * len(seen), "Int64")})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([1] * len(seen), pa.int32()), pa.array(df[seen]), pa.array(seen), pa.nulls(len(seen), pa.int64())],
+            names=names,
+        )
 
-    return rows.mapInPandas(run, "kind int, doc_id long, text_hash long, node long")
+    return rows.mapInArrow(run, "kind int, doc_id long, text_hash long, node long")
 
 
 def _signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         words, sampler = Words(), Sampler()
-        for batch in batches:
+        for batch in sliced(batches):
             nodes, bands = [], []
-            for text in batch["text"]:
+            for text in batch.column("text").to_pylist():
                 h = words.hashes(text)
                 if len(h):
                     nodes.append(class_hash(h))
                     bands.append(sampler.bands(*weighted_shingles(h, idf)))
-            yield pd.DataFrame({"node": pd.array(nodes, "Int64"), "bands": pd.Series(bands, dtype=object)})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"]
+            )
 
-    return rows.select("text").mapInPandas(run, "node long, bands array<long>")
+    return rows.select("text").mapInArrow(run, "node long, bands array<long>")
 
 
 def _similar(pairs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
     """The pairs (a, b, text_a, text_b) whose weighted Jaccard similarity is high enough."""
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
+        import pyarrow as pa
 
         words, known = Words(), {}
 
@@ -205,14 +210,14 @@ def _similar(pairs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
                 known[node] = weighted_shingles(words.hashes(text), idf)
             return known[node]
 
-        for batch in batches:
+        for batch in sliced(batches, 64):  # each row holds two whole texts
             near = [
                 weighted_jaccard(sets(a, x), sets(b, y)) >= similarity
-                for a, b, x, y in zip(batch["a"], batch["b"], batch["text_a"], batch["text_b"], strict=True)
+                for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True)
             ]
-            yield pd.DataFrame({"a": batch["a"][near], "b": batch["b"][near]})
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return pairs.mapInPandas(run, "a long, b long")
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def items(shingles: np.ndarray, weights: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +283,7 @@ def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """A row per row of ``docs``: doc_id, class_id (smallest id with the same words),
-    group_id (smallest id of the near-duplicate group), kept, text_hash."""
+    group_id (smallest id of the near-duplicate group), kept, text_hash, and has_words."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     ).withColumn("text_hash", F.xxhash64("text"))
@@ -340,20 +345,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             "doc_id", "coalesce(class_id, doc_id) as class_id",
             "case when node is null then doc_id else chosen.doc_id end as group_id",
             "node is null or (chosen.doc_id <=> doc_id and chosen.text_hash <=> text_hash) as kept",
-            "text_hash",
+            "text_hash", "node is not null as has_words",
         )
     )
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: one row of each group stays."""
+    """The rows of ``docs`` without near duplicates: one row of each group stays, and every
+    row whose text is null or without a word, for it is like no other."""
     kept = near_duplicates(docs, similarity).where("kept").selectExpr(
-        "doc_id is null as no_id", "coalesce(doc_id, 0L) as id", "coalesce(text_hash, 0L) as hash"
+        "doc_id is null as no_id", "coalesce(doc_id, 0L) as id", "coalesce(text_hash, 0L) as hash",
+        "has_words",
     ).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("row")).selectExpr(
+    rows = docs.select(whole_rows(docs).alias("row")).selectExpr(
         "row", "cast(row.doc_id as long) is null as no_id", "coalesce(cast(row.doc_id as long), 0L) as id",
         "coalesce(xxhash64(cast(row.text as string)), 0L) as hash",
     )
-    return rows.join(kept, ["no_id", "id", "hash"]).dropDuplicates(["no_id", "id", "hash"]).select(
+    keys = ["no_id", "id", "hash"]
+    found = rows.join(kept, keys).withColumn("own", F.expr("if(has_words, -1L, monotonically_increasing_id())"))
+    return found.dropDuplicates([*keys, "own"]).select(
         *(F.col("row")[c].alias(c) for c in docs.columns)
     )

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from pagoscope.llm.common import dealt, sampled, written
+from pagoscope.llm.common import dealt, free_name, numbered, sampled, sliced, written
 
 DOMAINS = ("clean", "low_quality", "toxic")
 TARGETS = {"clean": 0.88, "low_quality": 0.09, "toxic": 0.03}
@@ -246,14 +246,14 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
     """
     model = fit(docs, labels)
     moves = fit_rates(written(posteriors(docs, model), "posteriors"), targets)
-    fields = docs.schema
+    fields, text_at = docs.schema, docs.columns.index("text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         features = Features()
-        for batch in batches:
-            texts, draws = batch.column("text").to_pylist(), batch.column(len(fields)).to_pylist()
+        for batch in sliced(batches):
+            texts, draws = batch.column(text_at).to_pylist(), batch.column(len(fields)).to_pylist()
             take = []
             for i, (text, drawn) in enumerate(zip(texts, draws, strict=True)):
                 at, values, _ = features.of(text)
@@ -264,8 +264,6 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Non
                 take += [i] * int(rate + drawn)
             yield batch.take(pa.array(take, pa.int64())).select(range(len(fields)))
 
-    name = "_draw"
-    while name in docs.columns:
-        name += "_"
-    drawn = F.expr(draw("xxhash64(cast(text as string))")).alias(name)
-    return docs.select("*", drawn).mapInArrow(run, fields)
+    drawn = F.expr(draw("xxhash64(cast(text as string))")).alias(free_name(docs, "_draw"))
+    rows = numbered(docs.select("*", drawn))
+    return rows.mapInArrow(run, numbered(docs).schema).toDF(*docs.columns)

@@ -7,6 +7,7 @@ ODD = ("", None, " ", "one", "word " * 3000, "a\n\n\nb", "日本語 のテキス
 CLASHES = (
     "n_words", "kept", "score", "words", "lines", "text_hash", "node", "band", "copies", "rate", "pieces",
     "n_lines", "clean_text", "row", "key", "id", "hash", "no_id", "lang_pred", "labels", "n_tokens", "held_out",
+    "_lang_pred", "_lang_score", "_n_lines_removed", "_draw", "a.b", "own", "has_words", "no_text",
 )
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"

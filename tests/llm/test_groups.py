@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from llm_cases import CLASHES, ODD, SMALL, make_docs  # noqa: F401  a fixture
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pagoscope.llm import embedding_dedup, minhash_dedup
 from pagoscope.llm.components import connected_components
@@ -110,6 +112,14 @@ def test_odd_documents(make_docs):
     assert sorted(r.doc_id for r in left.collect()) == [*range(len(ODD)), 20, 31]
 
 
+def test_rows_without_a_word_all_stay(make_docs):
+    docs = make_docs((None, None), (None, None), (None, ""), (None, ""), (5, None), (5, None), (6, "some text here"))
+    docs = docs.withColumn("source", F.monotonically_increasing_id().cast("string"))
+    assert minhash_dedup.drop_near_duplicates(docs).count() == 7
+    again = minhash_dedup.drop_near_duplicates(docs.union(docs.where("doc_id = 6")))
+    assert again.count() == 7 and again.select("source").distinct().count() == 7
+
+
 def test_large_groups_need_no_pairs(make_docs, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "DEAL", 7)
     r, base = random.Random(8), [f"w{i}" for i in range(100)]
