@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pagoscope.llm import language_id, line_dedup, minhash_dedup, mixing, sentencepiece_codec
-from pagoscope.llm.common import find_package, written
+from pagoscope.llm.common import find_package, quoted, written
 
 ORACLE_SQL = None  # learned models and sampled signatures have no SQL form
 
-MIN_LANGUAGE_SCORE = 0.35  # below this no language stands out
+MIN_ODDS = 1.6  # a language stands out when its odds are so many times those of a blind guess
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,17 +23,19 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     find_package(spark)
     net = language_id.fit(docs)
     found = language_id.identify(docs, net, keep=True)
+    language, score = found.columns[-2:]
+    least = MIN_ODDS / (MIN_ODDS + len(net.languages) - 1) if net else 0.0
     return found.where(
-        (F.col("_lang_pred") != language_id.UNDETERMINED) & (F.col("_lang_score") >= MIN_LANGUAGE_SCORE)
-    ).select(*(F.col(f"`{c}`") for c in docs.columns))
+        (F.col(language) != language_id.UNDETERMINED) & (F.col(score) >= least)
+    ).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks and passages of lines go; a document left without any text goes with them."""
     find_package(spark)
     cleaned = line_dedup.dedup_lines(docs, keep=True, passages=True)
-    emptied = (F.col(line_dedup.REMOVED) > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
-    return cleaned.where(~emptied).select(*(F.col(f"`{c}`") for c in docs.columns))
+    emptied = (F.col(cleaned.columns[-1]) > 0) & (F.trim(F.coalesce("text", F.lit(""))) == "")
+    return cleaned.where(~emptied).select(*(F.col(quoted(c)) for c in docs.columns))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
