@@ -12,7 +12,8 @@ A task emits, per vector, how many it links with, and a spanning forest of the l
 the pairs themselves. Components are then found over the forests.
 
 Defined cases: a null label, and vectors that are null, empty, zero, or hold null or
-non-finite components, link with nothing; vectors of different lengths do not link; repeated
+non-finite components, link with nothing; others are scaled by a power of two, so tiny and huge
+ones compare like any; vectors of different lengths do not link; repeated
 rows count as vectors of their own (they link with each other); a null vec_id keeps its row,
 with the component of its group; an empty table gives an empty table; other columns are
 ignored.
@@ -34,6 +35,7 @@ from pagoscope.llm.components import connected_components
 
 THRESHOLD = 0.98
 CELL = 2000        # vectors of a block
+LEAF = 24          # members below which a node is not divided: its pairs are compared at once
 MAX_PIVOTS = 64    # cells of a label
 DEAL = 20_000      # vectors that one task assigns to cells
 BLOCKS = 2**40     # more blocks than a cell can have
@@ -55,7 +57,7 @@ class Tree:
         radius = float(far.max())
         self.center.append(center), self.radius.append(radius), self.members.append(members)
         self.children.append([])
-        if radius <= self.finest:
+        if radius <= self.finest or len(members) <= LEAF:
             return node
         # farthest-first centres until every member lies within half the radius
         nearest, owner, centers = far.copy(), np.zeros(len(members), int), [center]
@@ -157,20 +159,31 @@ def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return low
 
 
-def valid_vectors(rows: DataFrame) -> DataFrame:
-    """(vec_id, label, v: array<double>) of the rows that may link."""
-    return rows.select(
+_VALID = (
+    "label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null "
+    "or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)"
+)
+# the power of two at or below the largest component: dividing by it changes no cosine, and no
+# square of what is left over- or underflows
+_SCALE = "pow(2D, cast(floor(log2(array_max(transform(v, x -> abs(x))))) as double))"
+
+
+def scaled_vectors(rows: DataFrame) -> DataFrame:
+    """(vec_id, label, v: array<double>) of all rows; v is scaled, and null where the row may
+    not link."""
+    plain = rows.select(
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
         F.col("embedding").cast("array<double>").alias("v"),
-    ).where(
-        "label is not null and v is not null and size(v) > 0 and not exists(v, x -> x is null "
-        "or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)"
+    )
+    return plain.selectExpr("vec_id", "label", "v", f"case when {_VALID} then {_SCALE} end as by").selectExpr(
+        "vec_id", "label", "case when by is not null then transform(v, x -> x / by) end as v"
     )
 
 
 def dedup(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``rows``: vec_id, n_links, component_id, kept."""
-    valid = valid_vectors(rows)
+    scaled = scaled_vectors(rows)
+    valid = scaled.where("v is not null")
     key = "to_json(struct(label, size(v) as dims)) as part"
     # ids of the distinct vectors; a row without vec_id never stands for its group alone
     distinct = written(
@@ -278,10 +291,7 @@ def dedup(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         ),
         "per_vector",
     )
-    all_rows = rows.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
-        F.col("embedding").cast("array<double>").alias("v"),
-    ).selectExpr("vec_id", "case when label is not null and v is not null then xxhash64(label, v) end as rep")
+    all_rows = scaled.selectExpr("vec_id", "case when v is not null then xxhash64(label, v) end as rep")
     return all_rows.join(per_vector, "rep", "left").selectExpr(
         "vec_id", "coalesce(n_links, 0L) as n_links",
         "coalesce(component_id, vec_id) as component_id",

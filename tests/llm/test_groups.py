@@ -168,14 +168,20 @@ def test_odd_vectors(spark, monkeypatch):
     rows += [(100, v, 0), (101, [2 * x for x in v], 0), (102, None, 0), (103, [0.0] * 8, 0), (104, v, None),
              (105, [nan, *v[1:]], 0), (106, [inf, *v[1:]], 0), (107, [None, *v[1:]], 0), (108, v[:4], 0),
              (109, [], 0), (110, v, 7), (111, [-x for x in v], 0)]
-    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT").selectExpr("*", "'c' AS rep", "1 AS n_links")
+    # tiny and huge ones compare like the same vector of ordinary size
+    far = {200 + i: 10.0 ** power for i, power in enumerate((-200, -310, 200, 307))}
+    table = rows + [(i, [x / max(map(abs, v)) * by for x in v], 0) for i, by in far.items()] + [(210, [5e-324] * 8, 1)]
+    rows = rows + [(i, v, 0) for i in far] + [(210, [1.0] * 8, 1)]
+    frame = spark.createDataFrame(table, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT").selectExpr("*", "'c' AS rep", "1 AS n_links")
     got = embedding_dedup.dedup(frame).orderBy("vec_id").collect()
     links, groups = brute_vectors(rows)
     assert [r.n_links for r in got] == links and [r.component_id for r in got] == groups
     assert embedding_dedup.dedup(frame.limit(0)).count() == 0
 
 
-def test_tree_keeps_every_near_pair():
+@pytest.mark.parametrize("leaf", [1, embedding_dedup.LEAF, 1000])
+def test_tree_keeps_every_near_pair(monkeypatch, leaf):
+    monkeypatch.setattr(embedding_dedup, "LEAF", leaf)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(150, 5))
     x[50:100] = x[:50] + rng.normal(size=(50, 5)) * 0.05
