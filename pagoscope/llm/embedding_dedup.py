@@ -175,8 +175,9 @@ def scaled_vectors(rows: DataFrame) -> DataFrame:
         F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"),
         F.col("embedding").cast("array<double>").alias("v"),
     )
-    return plain.selectExpr("vec_id", "label", "v", f"case when {_VALID} then {_SCALE} end as by").selectExpr(
-        "vec_id", "label", "case when by is not null then transform(v, x -> x / by) end as v"
+    # bound by a lambda: as a column of its own it would be worked out again for each component
+    return plain.selectExpr(
+        "vec_id", "label", f"case when {_VALID} then transform(array({_SCALE}), by -> transform(v, x -> x / by))[0] end as v"
     )
 
 
