@@ -1,21 +1,24 @@
 """Near-duplicate documents by consistent weighted sampling over TF-IDF shingles.
 
 A document is the weighted set of its five-word shingles: how often a shingle occurs in it
-times the shingle's IDF. The IDF comes from the words' document frequencies over all
-documents, held in a table of fixed size by word hash: a shingle is at most as frequent as
-its rarest word, and that bound stands for its frequency. Improved consistent weighted
+times the shingle's IDF. The IDF comes from the words' document frequencies, counted
+exactly over all documents: a shingle is at most as frequent as its rarest word, and that
+bound stands for its frequency. Words in less than one of ``RARE`` documents all weigh as
+much as one in just so many, at any size of the input. Improved consistent weighted
 sampling draws ``BANDS * ROWS`` samples of the set; two documents agree on a sample with
 the probability of their weighted Jaccard similarity. Documents that agree on a whole band
 are candidates; the exact weighted Jaccard similarity decides.
 
 Links are wanted for the groups they make, so two documents already known to be in one
 group are not compared again. In each band's bucket all are first compared with one leader.
-Buckets that still hold several groups are then compared as a whole, pair of blocks by pair
-of blocks: a task works out all similarities of its two blocks as matrix products over the
-shingles they share, and emits a spanning forest of the links, never the pairs. Buckets with
-the same members are compared once.
-
-Defined cases: a null text or one without a word is like no other document; a text of fewer
+In buckets that still hold several groups all members outside the largest group are then
+compared with all members, pair of blocks by pair of blocks: a task works out the
+similarities of its two blocks as matrix products over the shingles they share, and emits a
+spanning forest of the links, never the pairs. So one stranger in a bucket of n costs n
+comparisons, not n * n. Buckets with the same members are compared once.
+
+Defined cases: a null text or one without a word is like no other document; a very long text
+is taken whole; a text of fewer
 than five words is one shingle; equal word sequences are one class, whatever their case and
 punctuation; equal rows fare alike; null doc_ids come last when a group's document is
 chosen; an empty table gives an empty table; other columns are ignored. Classes are told
@@ -23,13 +26,14 @@ apart by a 64-bit hash of their words.
 
 At scale: copies meet in a combined count and are one node from then on; a bucket's leader
 costs one row per member; hot buckets meet in plain joins of written tables, which Spark can
-split; the word table has ``2 ** WORD_BITS`` counters at any input size.
+split. Word counts are combined in the tasks; the driver gets only the words of at least one
+in ``RARE`` documents, at most ``RARE`` times the mean number of distinct words of a document.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -41,10 +45,10 @@ from pagoscope.llm.embedding_dedup import forest
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4  # misses a pair at 0.8 with probability 0.0002
-WORD_BITS = 17
+RARE = 4096          # one in so many documents: rarer words weigh alike
 DEAL = 300           # documents of a block in which all pairs are compared
 COLUMNS = 4096       # shingles that such a comparison holds at a time
-MEMORY = 200_000     # words whose hash a worker remembers
+MEMORY = 200_000     # words that a worker remembers
 BLOCK = 2048         # shingles sampled at a time
 POOL_BITS = 16
 
@@ -58,25 +62,68 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+class Idf:
+    """IDF by word hash: exact for words of at least one in ``RARE`` of the documents."""
+
+    def __init__(self, frequent: dict[int, int], total: int) -> None:
+        self.words = np.array(sorted(frequent), np.int64)
+        self.total = total
+        self.values = self._value(np.array([frequent[w] for w in self.words.tolist()], float))
+        self.rare = float(self._value(np.array(max(1.0, total / RARE))))
+
+    def _value(self, df: np.ndarray) -> np.ndarray:
+        return 1 + np.log((self.total + 1) / (np.maximum(df, max(1.0, self.total / RARE)) + 1))
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        signed = hashes.view(np.int64)
+        if not len(self.words):
+            return np.full(len(signed), self.rare)
+        at = np.minimum(np.searchsorted(self.words, signed), len(self.words) - 1)
+        return np.where(self.words[at] == signed, self.values[at], self.rare)
+
+
 class Words:
-    """Hashes of a text's words, remembered up to ``MEMORY``."""
+    """The words of texts: their hashes, and the IDF of these if a table of it is given. Words
+    are numbered as they come, up to ``memory``; then ``spill`` hears of them and they go."""
 
-    def __init__(self) -> None:
+    def __init__(self, idf: Idf | None = None, spill: Callable | None = None, memory: int = MEMORY) -> None:
+        self.idf, self.spill, self.memory = idf, spill, memory
+        self._clear()
+
+    def _clear(self) -> None:
         self.known: dict[str, int] = {}
+        self.hash, self.weight = np.zeros(1024, np.uint64), np.zeros(1024)
 
-    def hashes(self, text: str | None) -> np.ndarray:
+    def _learn(self, new: list[str]) -> None:
         from xxhash import xxh64_intdigest
 
+        at, end = len(self.known), len(self.known) + len(new)
+        if end > len(self.hash):
+            room = np.zeros(2 * end - len(self.hash))
+            self.weight = np.concatenate([self.weight, room])
+            self.hash = np.concatenate([self.hash, room.astype(np.uint64)])
+        self.hash[at:end] = [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
+        if self.idf is not None:
+            self.weight[at:end] = self.idf.of(self.hash[at:end])
+        self.known.update(zip(new, range(at, end), strict=True))
+
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The number of each word, valid until the next call."""
         words = WORD.findall(text.lower()) if text else []
-        known = self.known
-        found = list(map(known.get, words))
+        found = list(map(self.known.get, words))
         if None in found:
-            if len(known) > MEMORY:
-                known.clear()
-            for i, h in enumerate(found):
-                if h is None:
-                    found[i] = known[words[i]] = xxh64_intdigest(words[i].encode("utf-8", "surrogatepass"))
-        return np.array(found, np.uint64)
+            if len(self.known) > self.memory:
+                if self.spill is not None:
+                    self.spill(self)
+                self._clear()
+            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
+            found = list(map(self.known.__getitem__, words))
+        return np.array(found, np.int64)
+
+    def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and IDF of each word."""
+        at = self.numbers(text)
+        return self.hash[at], self.weight[at]
 
 
 def class_hash(hashes: np.ndarray) -> int:
@@ -85,14 +132,13 @@ def class_hash(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(hashes.tobytes())).astype(np.int64))
 
 
-def weighted_shingles(hashes: np.ndarray, idf: np.ndarray, counted: bool = False) -> tuple[np.ndarray, ...]:
+def weighted_shingles(hashes: np.ndarray, rare: np.ndarray, counted: bool = False) -> tuple[np.ndarray, ...]:
     """Shingle hashes in order, their TF-IDF weights and, if ``counted``, how often each
-    occurs; ``idf`` by word bucket."""
+    occurs; ``rare`` is the IDF of each word."""
     if not len(hashes):
         return (np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, int))[:3 if counted else 2]
     width = min(SHINGLE, len(hashes))
     n = len(hashes) - width + 1
-    rare = idf[(hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)]
     total, best = np.full(n, width, np.uint64), np.zeros(n)
     for k in range(width):
         total = _mixed(total + hashes[k:k + n] * _KEYS[k])
@@ -101,13 +147,6 @@ def weighted_shingles(hashes: np.ndarray, idf: np.ndarray, counted: bool = False
     return (shingles, counts * best[first], counts)[:3 if counted else 2]
 
 
-def idf_table(counts: dict[int, int], total: int) -> np.ndarray:
-    df = np.zeros(2**WORD_BITS)
-    for bucket, n in counts.items():
-        df[bucket] = n
-    return 1 + np.log((total + 1) / (df + 1))
-
-
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     both = np.minimum(a[1][i], b[1][j]).sum()
@@ -149,45 +188,59 @@ class Sampler:
         return total.view(np.int64)
 
 
-def _first_pass(rows: DataFrame) -> DataFrame:
-    """Kind 0: a row per document with its class; kind 1: documents per word bucket."""
+def _first_pass(rows: DataFrame, memory: int = MEMORY) -> DataFrame:
+    """Kind 0: a row per document with its class; kind 1: a word's hash and the documents that
+    hold it, once a task or oftener."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["kind", "doc_id", "text_hash", "node"]
-        words, df = Words(), np.zeros(2**WORD_BITS, np.int64)
+        names, spilled = ["kind", "doc_id", "text_hash", "node"], []
+        df = np.zeros(1024, np.int64)
+
+        def counts(words):
+            n = len(words.known)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([1] * n, pa.int32()), pa.array(df[:n].copy()), pa.array(words.hash[:n].view(np.int64)),
+                 pa.nulls(n, pa.int64())], names=names,
+            )
+
+        def spill(words):
+            spilled.append(counts(words))
+            df[:] = 0
+
+        words = Words(spill=spill, memory=memory)
         for batch in sliced(batches):
             classes = []
             for text in batch.column("text").to_pylist():
-                h = words.hashes(text)
-                df[np.unique((h >> np.uint64(64 - WORD_BITS)).astype(np.int64))] += 1
-                classes.append(class_hash(h) if len(h) else None)
+                at = words.numbers(text)
+                if len(words.hash) > len(df):
+                    df = np.concatenate([df, np.zeros(len(words.hash) - len(df), np.int64)])
+                df[np.unique(at)] += 1
+                classes.append(class_hash(words.hash[at]) if len(at) else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(classes), pa.int32()), batch.column("doc_id"), batch.column("text_hash"),
                  pa.array(classes, pa.int64())], names=names,
             )
-        seen = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([1] * len(seen), pa.int32()), pa.array(df[seen]), pa.array(seen), pa.nulls(len(seen), pa.int64())],
-            names=names,
-        )
+            while spilled:
+                yield spilled.pop()
+        yield counts(words)
 
     return rows.mapInArrow(run, "kind int, doc_id long, text_hash long, node long")
 
 
-def _signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
+def _signatures(rows: DataFrame, idf: Idf) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, sampler = Words(), Sampler()
+        words, sampler = Words(idf), Sampler()
         for batch in sliced(batches):
             nodes, bands = [], []
             for text in batch.column("text").to_pylist():
-                h = words.hashes(text)
+                h, rare = words.of(text)
                 if len(h):
                     nodes.append(class_hash(h))
-                    bands.append(sampler.bands(*weighted_shingles(h, idf)))
+                    bands.append(sampler.bands(*weighted_shingles(h, rare)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"]
             )
@@ -195,19 +248,19 @@ def _signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
     return rows.select("text").mapInArrow(run, "node long, bands array<long>")
 
 
-def _similar(pairs: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, idf: Idf, similarity: float) -> DataFrame:
     """The pairs (a, b, text_a, text_b) whose weighted Jaccard similarity is high enough."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        words, known = Words(), {}
+        words, known = Words(idf), {}
 
         def sets(node, text):
             if node not in known:
                 if len(known) > 64:
                     known.clear()
-                known[node] = weighted_shingles(words.hashes(text), idf)
+                known[node] = weighted_shingles(*words.of(text))
             return known[node]
 
         for batch in sliced(batches, 64):  # each row holds two whole texts
@@ -251,27 +304,38 @@ def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float)
     return np.nonzero(near)
 
 
-def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
     """Links (a, b) within the buckets that hold more than one group: a spanning forest."""
     placed = buckets.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    bands = placed.groupBy("band").agg(
-        F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n"),
+    counts = placed.groupBy("band", "part").agg(
+        F.count(F.lit(1)).alias("n"),
         F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"),
-    ).where("low <> high").groupBy("n", "x", "y").agg(F.min("band").alias("band"))
-    bands = written(bands.selectExpr("band", f"cast(ceil(n / {DEAL}) as int) as blocks"), "open")
-    dealt = buckets.join(bands, "band").withColumn(
-        "own", F.expr("cast(pmod(xxhash64(node, 2), blocks) as int)")
-    ).selectExpr("band", "node", "own", "explode(sequence(0, blocks - 1)) as other").selectExpr(
-        "band", "least(own, other) as i", "greatest(own, other) as j", "node"
     )
+    bands = counts.groupBy("band").agg(
+        F.count(F.lit(1)).alias("parts"), F.expr("max(struct(n, part))").alias("top"), F.sum("n").alias("n"),
+        F.expr("bit_xor(x)").alias("x"), F.expr("bit_xor(y)").alias("y"),
+    ).where("parts > 1").groupBy("n", "x", "y").agg(F.expr("min(struct(band, top))").alias("b"))
+    # blocks of the members outside the largest group come first, those of the group after them
+    bands = written(bands.selectExpr(
+        "b.band as band", "b.top.part as top", f"cast(ceil((n - b.top.n) / {DEAL}) as int) as others",
+        f"cast(ceil(b.top.n / {DEAL}) as int) as tops",
+    ), "open")
+    dealt = placed.select("band", "node", "part").join(bands, "band").withColumn(
+        "own", F.expr(
+            "cast(if(part = top, others + pmod(xxhash64(node, 2), tops), pmod(xxhash64(node, 2), others)) as int)"
+        )
+    ).selectExpr(
+        "band", "node", "own",
+        "explode(sequence(0, if(part = top, others - 1, others + tops - 1))) as other",
+    ).selectExpr("band", "least(own, other) as i", "greatest(own, other) as j", "node")
 
     def compare(rows):
         import pandas as pd
 
         rows = rows.sort_values("node", kind="stable")
-        words, sets = Words(), []
+        words, sets = Words(idf), []
         for text in rows["text"]:
-            h, w, n = weighted_shingles(words.hashes(text), idf, counted=True)
+            h, w, n = weighted_shingles(*words.of(text), counted=True)
             sets.append(items(h, w, n))
         node = rows["node"].to_numpy()
         low = forest(len(node), *similar_pairs(sets, similarity))
@@ -290,8 +354,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     first = written(_first_pass(rows), "classes")
     ids = first.where("kind = 0").select("doc_id", "text_hash", "node")
     totals = first.where("kind = 1").groupBy("text_hash").agg(F.sum("doc_id").alias("n"))
-    # at most 2 ** WORD_BITS counters, whatever the input
-    idf = idf_table({r[0]: r[1] for r in totals.collect()}, ids.count())
+    total = ids.count()
+    idf = Idf(dict(totals.where(f"n * {RARE}L >= {total}L").collect()), total)
 
     signed = written(
         _signatures(rows, idf).groupBy("node").agg(F.first("bands").alias("bands")), "signatures"
@@ -303,9 +367,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     buckets = written(banded.join(shared, "band"), "buckets")
 
     # the text of one document per candidate
-    wanted = buckets.select("node").distinct().join(ids.where("node is not null"), "node").groupBy("node").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text_hash")).alias("row")
-    ).select("node", "row.*")
+    classes = written(
+        ids.where("node is not null").groupBy("node").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+        ), "class_rows",
+    )
+    wanted = buckets.select("node").distinct().join(classes, "node").selectExpr(
+        "node", "first.no_id as no_id", "coalesce(first.doc_id, 0L) as id", "first.text_hash as text_hash"
+    )
     keyed = rows.selectExpr("doc_id is null as no_id", "coalesce(doc_id, 0L) as id", "text_hash", "text")
     texts = written(
         keyed.join(wanted, ["no_id", "id", "text_hash"]).dropDuplicates(["node"]).select("node", "text"),
@@ -330,23 +399,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     if not open_links.isEmpty():
         groups = connected_components(links.union(open_links))
 
-    grouped = ids.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    # written, so that the joins below meet two plain shuffles and a hot group can be split
-    chosen = written(
-        grouped.where("node is not null").groupBy("component").agg(F.min(order).alias("chosen")), "chosen"
+    grouped = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # written, so that the joins below meet plain shuffles and a hot group or class can be split
+    chosen = written(grouped.groupBy("component").agg(F.min("first").alias("chosen")), "chosen")
+    placed = written(
+        grouped.join(chosen, "component").selectExpr("node", "first.doc_id as class_id", "chosen"), "placed"
     )
-    classes = written(
-        ids.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("class_id")), "class_ids"
-    )
-    return (
-        grouped.join(chosen, "component", "left").join(classes, "node", "left")
-        .selectExpr(
-            "doc_id", "coalesce(class_id, doc_id) as class_id",
-            "case when node is null then doc_id else chosen.doc_id end as group_id",
-            "node is null or (chosen.doc_id <=> doc_id and chosen.text_hash <=> text_hash) as kept",
-            "text_hash", "node is not null as has_words",
-        )
+    return ids.join(placed, "node", "left").selectExpr(
+        "doc_id", "coalesce(class_id, doc_id) as class_id",
+        "case when node is null then doc_id else chosen.doc_id end as group_id",
+        "node is null or (chosen.doc_id <=> doc_id and chosen.text_hash <=> text_hash) as kept",
+        "text_hash", "node is not null as has_words",
     )
 
 

@@ -1,6 +1,7 @@
 """Near-duplicate documents and vectors, components, and the pipeline."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,14 +42,16 @@ def test_components_of_chains_and_stars(spark):
 
 
 # ------------------------------------------------------------------ documents
-def brute_groups(texts):
+def brute_groups(texts, rare=minhash_dedup.RARE):
     words = minhash_dedup.Words()
-    hashes = {i: words.hashes(t) for i, t in texts.items()}
-    df = np.zeros(2**minhash_dedup.WORD_BITS)
-    for h in hashes.values():
-        df[np.unique((h >> np.uint64(64 - minhash_dedup.WORD_BITS)).astype(int))] += 1
-    idf = 1 + np.log((len(texts) + 1) / (df + 1))
-    sets = {i: minhash_dedup.weighted_shingles(h, idf) for i, h in hashes.items() if len(h)}
+    hashes = {i: words.of(t)[0] for i, t in texts.items()}
+    df = Counter(w for h in hashes.values() for w in set(h.tolist()))
+    least = max(1, len(texts) / rare)
+    idf = {w: 1 + np.log((len(texts) + 1) / (max(n, least) + 1)) for w, n in df.items()}
+    sets = {
+        i: minhash_dedup.weighted_shingles(h, np.array([idf[w] for w in h.tolist()]))
+        for i, h in hashes.items() if len(h)
+    }
     holders = {}
     for i, (shingles, _) in sets.items():
         for s in shingles.tolist():
@@ -66,7 +69,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 
 def test_block_similarities_equal_pairwise_ones():
-    r, words, idf = random.Random(5), minhash_dedup.Words(), np.linspace(1, 9, 2**minhash_dedup.WORD_BITS)
+    r, words = random.Random(5), minhash_dedup.Words()
     base = [f"w{r.randint(0, 30)}" for _ in range(120)]
     texts = []
     for _ in range(40):
@@ -74,7 +77,9 @@ def test_block_similarities_equal_pairwise_ones():
         for _ in range(r.randint(0, 6)):
             own[r.randrange(len(own))] = f"n{r.randint(0, 9)}"
         texts.append(" ".join(own * r.randint(1, 2)))
-    full = [minhash_dedup.weighted_shingles(words.hashes(t), idf, counted=True) for t in texts]
+    hashes = [words.of(t)[0] for t in texts]
+    # a weight between 1 and 9 for each word
+    full = [minhash_dedup.weighted_shingles(h, 1 + (h % np.uint64(800)) / 100, counted=True) for h in hashes]
     i, j = minhash_dedup.similar_pairs([minhash_dedup.items(*f) for f in full], 0.8)
     want = {(a, b) for b in range(40) for a in range(b) if minhash_dedup.weighted_jaccard(full[a][:2], full[b][:2]) >= 0.8}
     assert set(zip(i.tolist(), j.tolist())) == want and 0 < len(want) < 40 * 39 / 2
@@ -82,12 +87,12 @@ def test_block_similarities_equal_pairwise_ones():
 
 def test_samples_agree_as_often_as_sets_are_similar():
     words, sampler = minhash_dedup.Words(), minhash_dedup.Sampler()
-    idf = np.ones(2**minhash_dedup.WORD_BITS)
     same = total = 0
     for n in range(40):
         base = [f"a{n}_{k}" for k in range(200)]
         other = [*base[:-10], *(f"b{n}_{k}" for k in range(10))]
-        x, y = (minhash_dedup.weighted_shingles(words.hashes(" ".join(t)), idf) for t in (base, other))
+        hashes = [words.of(" ".join(t))[0] for t in (base, other)]
+        x, y = (minhash_dedup.weighted_shingles(h, np.ones(len(h))) for h in hashes)
         j = minhash_dedup.weighted_jaccard(x, y)
         same += (sampler.bands(*x) == sampler.bands(*y)).sum()
         total += minhash_dedup.BANDS
@@ -133,6 +138,42 @@ def test_large_groups_need_no_pairs(make_docs, monkeypatch):
     assert got == brute_groups(rows)
 
 
+def test_words_are_counted_exactly_in_a_small_memory(spark, make_docs):
+    texts = {i: " ".join(f"w{k % (i + 2)}" for k in range(40)) for i in range(50)}
+    rows = make_docs(*texts.items()).selectExpr("doc_id", "text", "xxhash64(text) as text_hash")
+    counted = minhash_dedup._first_pass(rows, memory=5).where("kind = 1").groupBy("text_hash").agg(F.sum("doc_id"))
+    words = minhash_dedup.Words()
+    want = Counter(w for t in texts.values() for w in set(words.of(t)[0].view(np.int64).tolist()))
+    assert dict(counted.collect()) == want
+
+
+def test_rare_words_weigh_alike(make_docs, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "RARE", 4)
+    idf = minhash_dedup.Idf({7: 90, -3: 30}, 100)
+    found = idf.of(np.array([-3, 7, 11], np.int64).view(np.uint64))
+    assert np.allclose(found, 1 + np.log(101 / np.array([31, 91, 26])))
+    r = random.Random(9)
+    rows = {i: " ".join(f"w{k // 20}_{k}" if r.random() < 0.97 else f"x{i}" for k in range(60)) for i in range(40)}
+    got = {x.doc_id: x.group_id for x in minhash_dedup.near_duplicates(make_docs(*rows.items())).collect()}
+    assert got == brute_groups(rows, rare=4)
+
+
+def test_open_buckets_compare_across_groups_only(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "DEAL", 4)
+    base = [f"w{i}" for i in range(100)]
+    # 20 texts of one known group, one text like its last member only, and a stranger
+    texts = {i: " ".join(base[:i] + [f"x{i}"] + base[i + 1:]) for i in range(20)}
+    texts[20] = " ".join([*base[:19], "x19", *base[20:50], "y50", *base[51:]])
+    texts[21] = " ".join(f"z{i}" for i in range(100))
+    buckets = spark.createDataFrame([(1, i) for i in texts], "band long, node long")
+    groups = spark.createDataFrame([(i, 0) for i in range(20)], "node long, component long")
+    held = spark.createDataFrame(list(texts.items()), "node long, text string")
+    links = minhash_dedup._open_buckets(buckets, groups, held, minhash_dedup.Idf({}, 22), 0.8).collect()
+    met = union([(x.a, x.b) for x in links], texts)
+    assert any(20 in (x.a, x.b) for x in links) and not any(21 in (x.a, x.b) for x in links)
+    assert all(met[i] != met[21] for i in range(21))
+
+
 # ------------------------------------------------------------------ vectors
 def brute_vectors(rows, threshold=0.98):
     ok = [(k, label, np.array(v, float)) for k, (_, v, label) in enumerate(rows)
