@@ -82,22 +82,34 @@ class Idf:
         return np.where(self.words[at] == signed, self.values[at], self.rare)
 
 
+class Numbers(dict):
+    """A number for each word, in the order in which they are first asked for."""
+
+    def __init__(self) -> None:
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = at = len(self)
+        self.new.append(word)
+        return at
+
+
 class Words:
     """The words of texts: their hashes, and the IDF of these if a table of it is given. Words
-    are numbered as they come, up to ``memory``; then ``spill`` hears of them and they go."""
+    are numbered as they come; beyond ``memory`` ``spill`` hears of them and they go."""
 
     def __init__(self, idf: Idf | None = None, spill: Callable | None = None, memory: int = MEMORY) -> None:
         self.idf, self.spill, self.memory = idf, spill, memory
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.hash, self.weight = np.zeros(1024, np.uint64), np.zeros(1024)
 
     def _learn(self, new: list[str]) -> None:
         from xxhash import xxh64_intdigest
 
-        at, end = len(self.known), len(self.known) + len(new)
+        at, end = len(self.known) - len(new), len(self.known)
         if end > len(self.hash):
             room = np.zeros(2 * end - len(self.hash))
             self.weight = np.concatenate([self.weight, room])
@@ -105,20 +117,19 @@ class Words:
         self.hash[at:end] = [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
         if self.idf is not None:
             self.weight[at:end] = self.idf.of(self.hash[at:end])
-        self.known.update(zip(new, range(at, end), strict=True))
 
     def numbers(self, text: str | None) -> np.ndarray:
         """The number of each word, valid until the next call."""
+        if len(self.known) > self.memory:
+            if self.spill is not None:
+                self.spill(self)
+            self._clear()
         words = WORD.findall(text.lower()) if text else []
-        found = list(map(self.known.get, words))
-        if None in found:
-            if len(self.known) > self.memory:
-                if self.spill is not None:
-                    self.spill(self)
-                self._clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            found = list(map(self.known.__getitem__, words))
-        return np.array(found, np.int64)
+        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if self.known.new:
+            self._learn(self.known.new)
+            self.known.new = []
+        return at
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hash and IDF of each word."""
