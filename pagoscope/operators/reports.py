@@ -200,6 +200,11 @@ def batch_profile(payments: DataFrame) -> DataFrame:
     Payments are counted per id first, null ids forming one group, so no window
     gathers the rows of an id; every other figure rides along as a sum.
     """
+    return profile_of(per_id(payments))
+
+
+def per_id(payments: DataFrame) -> DataFrame:
+    """The counts behind H15 by payment id."""
     measures = {
         "n": "true",
         "sanctioned": member("country_code", fv.PROFILE_SANCTIONED_COUNTRIES),
@@ -207,12 +212,16 @@ def batch_profile(payments: DataFrame) -> DataFrame:
         "negative": "_amount < 0",
         "legacy": "source_system = 'LEGACY_COBOL'",
     }
-    per_id = (
+    return (
         payments.withColumn("_number", F.expr(parse_number("amount")))
         .withColumn("_amount", F.expr(nan_to_null("_number")))
         .groupBy("payment_id")
         .agg(*[F.expr(f"count_if({when}) AS {name}") for name, when in measures.items()])
     )
+
+
+def profile_of(per_id: DataFrame) -> DataFrame:
+    """H15 from counts by payment id, one row per id."""
     n = F.col("n")
 
     def total(value: Column, name: str) -> Column:

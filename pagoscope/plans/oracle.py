@@ -692,3 +692,38 @@ WHERE rule IN ('DUPLICATE_PAYMENT_ID', 'AML_STRUCTURING_PATTERN')""")
 ORACLE["comp_incremental_risk_areas"] = ORACLE["comp_risk_areas"]
 _add("io_stream_zones", _BASE, """SELECT row_id, CASE WHEN is_error THEN 'errors' ELSE 'clean' END AS zone,
   CASE WHEN is_error THEN all_codes END AS dq_errors, warning FROM ev""")
+
+# ------------------------------------------------------------------ batch rules, clustered zones
+_IBAN_DIGITS = "lpad(cast(98 - cast(own||'131400' AS hugeint) % 97 AS varchar), 2, '0')"
+_IBANS = f"""ibans AS (SELECT row_id, payment_id, amount, replace(upper(CASE
+    WHEN row_id%17=1 THEN NULL WHEN row_id%19=2 THEN '  ' WHEN row_id%23=3 THEN 'DE00'||own
+    WHEN row_id%29=4 THEN 'de'||{_IBAN_DIGITS}||' '||own WHEN row_id%31=5 THEN 'DE12 345'
+    WHEN row_id%37=6 THEN 'GB82WEST12345698765432'
+    WHEN row_id%41=7 THEN 'GB82 TEST 1234 5698 7654 32'
+    ELSE 'DE'||{_IBAN_DIGITS}||own END), ' ', '') AS x
+  FROM (SELECT *, lpad(cast(row_id AS varchar), 18, '0') AS own FROM payments)),
+iban_codes AS (SELECT row_id, CASE WHEN coalesce(x, '') = '' THEN NULL
+    WHEN NOT regexp_full_match(x, '[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}') THEN 'iban_formato_invalido'
+    WHEN list_reduce(list_prepend(0, list_transform(string_split(substr(x, 5)||substr(x, 1, 4), ''),
+      lambda c: CASE WHEN c >= 'A' THEN ascii(c)-55 ELSE ascii(c)-48 END)),
+      lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) <> 1
+    THEN 'iban_digito_control' END AS code FROM ibans)"""
+_add("dq_batch_rule", f"{_BASE}, {_IBANS}", """
+SELECT family AS rule_name, n AS failed_records FROM fam
+UNION ALL SELECT code, count(*) FROM iban_codes WHERE code IS NOT NULL GROUP BY code""")
+_add("dq_batch_rule_evaluation", f"{_BASE}, {_IBANS}", """
+SELECT row_id, c1 IS NOT NULL OR c2 IS NOT NULL OR code IS NOT NULL AS is_error,
+  nullif(concat_ws(' | ', '[C]'||c1, '[C]'||c2, '[C]'||code), '') AS dq_errors
+FROM codes JOIN iban_codes USING (row_id)""")
+_add("io_clustered_zones", _BASE, """SELECT row_id, payment_id, CASE WHEN is_error THEN 'errors'
+  ELSE 'clean' END AS zone, CASE WHEN is_error THEN all_codes END AS dq_errors FROM ev""")
+_add("comp_clustered_duplicate_rows", _BASE, """SELECT row_id, payment_id, CASE WHEN is_error
+  THEN 'errors' ELSE 'clean' END AS zone FROM (SELECT *, count(*) OVER (PARTITION BY payment_id) AS n FROM ev)
+WHERE payment_id IS NOT NULL AND n > 1""")
+_add("comp_clustered_duplicates", f"WITH {PAYMENTS}", """SELECT payment_id, count(*) AS affected_records
+FROM payments WHERE payment_id IS NOT NULL GROUP BY payment_id HAVING count(*) > 1""")
+ORACLE["report_clustered_batch_profile"] = ORACLE["report_batch_profile"]
+_add("io_zone_statistics", _BASE, """SELECT CASE WHEN is_error THEN 'errors' ELSE 'clean' END AS zone,
+  count(*) AS known_records, sum(count(*)) OVER ()::bigint AS known_total,
+  sum(count(*) FILTER (payment_id IS NULL)) OVER ()::bigint AS known_null_ids,
+  count(*) AS records, count(*) FILTER (payment_id IS NULL) AS null_ids FROM ev GROUP BY ALL""")

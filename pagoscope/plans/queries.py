@@ -17,10 +17,11 @@ from pagoscope.functions import (
 )
 from pagoscope.operators import advisor, findings as fd, increments, quality, reports, scores
 from pagoscope.operators import totals as tt
-from pagoscope.operators.quality_rules import RULES, WARNING, Rule, extend
+from pagoscope.operators.batch_rules import iban_rule
+from pagoscope.operators.quality_rules import CRITICAL, RULES, WARNING, Rule, extend
 from pagoscope.session import tune
 from pagoscope.streaming import zones as streamed
-from pagoscope.sources import catalog, files, sample, versions, zones
+from pagoscope.sources import catalog, clustered, files, sample, versions, zones
 from pagoscope.sources.layout import (
     ERRORS_COLUMN, PAYMENT_COLUMNS, ROW_ID, SOURCE_COLUMNS, payments_schema, rename_source,
 )
@@ -212,6 +213,34 @@ def _(spark, p):
     return quality.summary(p, rules=(stray,), as_of=AS_OF)
 
 
+def with_ibans(payments: DataFrame) -> DataFrame:
+    """Account numbers from the row ids: most are right, some are missing or broken."""
+    own = "lpad(CAST(row_id AS STRING), 18, '0')"
+    digits = f"lpad(CAST(98 - CAST(concat({own}, '131400') AS DECIMAL(38, 0)) % 97 AS STRING), 2, '0')"
+    return payments.withColumn("iban", F.expr(f"""
+        CASE WHEN row_id % 17 = 1 THEN NULL
+             WHEN row_id % 19 = 2 THEN '  '
+             WHEN row_id % 23 = 3 THEN concat('DE00', {own})
+             WHEN row_id % 29 = 4 THEN concat('de', {digits}, ' ', {own})
+             WHEN row_id % 31 = 5 THEN 'DE12 345'
+             WHEN row_id % 37 = 6 THEN 'GB82WEST12345698765432'
+             WHEN row_id % 41 = 7 THEN 'GB82 TEST 1234 5698 7654 32'
+             ELSE concat('DE', {digits}, {own}) END"""))
+
+
+@query("dq_batch_rule")
+def _(spark, p):
+    """The registry with a rule over Arrow batches, the check digits of account numbers."""
+    return quality.failures_by_code(with_ibans(p), rules=extend(RULES, iban_rule()), as_of=AS_OF)
+
+
+@query("dq_batch_rule_evaluation")
+def _(spark, p):
+    """A critical batch rule decides about the zone of a row."""
+    rules = extend(RULES[:2], iban_rule(CRITICAL))
+    return quality.evaluate(with_ibans(p), rules, AS_OF).select(ROW_ID, "is_error", ERRORS_COLUMN)
+
+
 # ------------------------------------------------------------------ compliance
 def shown(found: DataFrame) -> DataFrame:
     """Findings with the frameworks as text."""
@@ -818,3 +847,63 @@ def _(spark, p):
     run = streamed.route(stream, f"{base}/out", f"{base}/checkpoint", as_of=AS_OF).trigger(availableNow=True).start()
     run.awaitTermination()
     return streamed.read_zones(spark, f"{base}/out").select(ROW_ID, zones.ZONE, ERRORS_COLUMN, "warning")
+
+
+def clustered_zones(spark, p, heavy_ids: int = 5) -> str:
+    """The name of the zones of ``p`` as clustered tables, few ids being spread."""
+    base = files.scratch_path(spark, "clustered")
+    zones.write_zones(quality.evaluate(p, as_of=AS_OF), f"{base}/zones")
+    table = f"{catalog.fresh_database(spark, 'payments_clustered', f'{base}/database')}.payments"
+    clustered.write(zones.read_zones(spark, f"{base}/zones"), table, f"{base}/tables", 8, heavy_ids)
+    return table
+
+
+@query("io_clustered_zones")
+def _(spark, p):
+    """Both zones, read back from the tables clustered by payment id."""
+    return clustered.read(spark, clustered_zones(spark, p)).select(
+        ROW_ID, "payment_id", zones.ZONE, ERRORS_COLUMN
+    )
+
+
+@query("comp_clustered_duplicate_rows")
+def _(spark, p):
+    """E3 at row level without an exchange by id."""
+    rows = clustered.duplicate_rows(spark, clustered_zones(spark, p))
+    return rows.select(ROW_ID, "payment_id", zones.ZONE)
+
+
+@query("comp_clustered_duplicates")
+def _(spark, p):
+    """E3 by id, counted within the buckets."""
+    return clustered.duplicate_counts(spark, clustered_zones(spark, p))
+
+
+@query("report_clustered_batch_profile")
+def _(spark, p):
+    """H15 from the clustered zones."""
+    return clustered.batch_profile(spark, clustered_zones(spark, p))
+
+
+@query("io_zone_statistics")
+def _(spark, p):
+    """What the catalog knows of a partitioned zone table, beside the rows themselves."""
+    base = files.scratch_path(spark, "statistics")
+    zones.write_zones(quality.evaluate(p, as_of=AS_OF), f"{base}/zones")
+    database = catalog.fresh_database(spark, "payments_statistics", f"{base}/database")
+    table = f"{database}.payments"
+    columns = catalog.payments_columns(row_id=True, errors=True)
+    catalog.create_partitioned_table(spark, table, columns, f"{base}/zones", zones.ZONE)
+    catalog.analyze(spark, table, ("payment_id", "amount"), zones.ZONE)
+    known = [
+        spark.table(table).where(F.col(zones.ZONE) == zone).agg(
+            F.lit(zone).alias(zones.ZONE),
+            F.lit(catalog.partition_rows(spark, table, zones.ZONE, zone)).cast("bigint").alias("known_records"),
+            F.lit(catalog.table_rows(spark, table)).cast("bigint").alias("known_total"),
+            F.lit(catalog.null_count(spark, table, "payment_id")).cast("bigint").alias("known_null_ids"),
+            F.count(F.lit(1)).alias("records"),
+            F.count_if(F.col("payment_id").isNull()).alias("null_ids"),
+        )
+        for zone in (zones.CLEAN, zones.ERRORS)
+    ]
+    return known[0].unionByName(known[1])

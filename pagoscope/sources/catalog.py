@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,6 +71,66 @@ def create_parquet_table(spark: SparkSession, table: str, path: str) -> None:
     spark.sql(f"CREATE TABLE {_quoted(table)} USING parquet LOCATION {literal(path)}")
 
 
+def create_partitioned_table(
+    spark: SparkSession, table: str, columns: dict[str, str], path: str,
+    partition: str = "zone", file_format: str = "parquet",
+) -> None:
+    """One external table over a folder with a subfolder per value of ``partition``.
+
+    The catalog lists the partitions, so a filter on the column decides from the catalog
+    which folders are opened, and their sizes alone count where the planner picks a join.
+    """
+    options = CSV_OPTIONS if file_format == "csv" else {}
+    given = f"OPTIONS ({', '.join(f'{k} {literal(v)}' for k, v in options.items())}) " if options else ""
+    spark.sql(
+        f"CREATE TABLE {_quoted(table)} ({_columns(columns | {partition: 'STRING'})}) "
+        f"USING {file_format} {given}PARTITIONED BY (`{partition}`) LOCATION {literal(path)}"
+    )
+    spark.sql(f"ALTER TABLE {_quoted(table)} RECOVER PARTITIONS")
+
+
+def analyze(
+    spark: SparkSession, table: str, columns: tuple[str, ...] = (), partition: str | None = None
+) -> None:
+    """Sizes and row counts for the planner, of the table and by partition, and
+    distinct values, nulls and ranges of ``columns``. Statistics do not follow later writes:
+    analyze again after a refresh."""
+    name = _quoted(table)
+    if partition:
+        spark.sql(f"ANALYZE TABLE {name} PARTITION (`{partition}`) COMPUTE STATISTICS")
+    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS")
+    if columns:
+        listed = ", ".join(f"`{c}`" for c in columns)
+        spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS FOR COLUMNS {listed}")
+
+
+def _described(spark: SparkSession, what: str, key: str) -> str | None:
+    rows = spark.sql(f"DESCRIBE EXTENDED {what}").collect()  # metadata: a few dozen rows
+    return next((r[1] for r in rows if r[0] == key), None)
+
+
+def _rows_in(statistics: str | None) -> int | None:
+    found = re.search(r"(\d+) rows", statistics or "")
+    return int(found.group(1)) if found else None
+
+
+def table_rows(spark: SparkSession, table: str) -> int | None:
+    """The row count that :func:`analyze` left in the catalog, None without one."""
+    return _rows_in(_described(spark, _quoted(table), "Statistics"))
+
+
+def partition_rows(spark: SparkSession, table: str, partition: str, value: str) -> int | None:
+    """The same for one partition."""
+    where = f"{_quoted(table)} PARTITION (`{partition}` = {literal(value)})"
+    return _rows_in(_described(spark, where, "Partition Statistics"))
+
+
+def null_count(spark: SparkSession, table: str, column: str) -> int | None:
+    """The null count of a column that :func:`analyze` left in the catalog."""
+    found = _described(spark, f"{_quoted(table)} `{column}`", "num_nulls")
+    return int(found) if found and found.isdigit() else None
+
+
 def create_zone_tables(
     spark: SparkSession, database: str, paths: dict[str, str], row_id: bool = False
 ) -> None:
