@@ -9,9 +9,14 @@ look-ups, whatever the number of landmarks.
 
 Training: of the labelled rows, the ``SAMPLE_DOCS`` distinct texts of either label with the smallest
 hash, at most ``SAMPLE_CHARS`` characters in even cuts of each (the driver's memory bound).
-Sentences of toxic texts lend their label to the units that are much more frequent there;
-units of other texts are negative. A logistic layer turns a text's largest margins into a
-probability.
+The machine learns from labelled sentences, as a multiple-instance machine: the margin of a
+sentence is the largest of its units'. A sentence of a toxic text is labelled toxic if it holds
+a telling unit: one that more toxic texts hold than chance allows (``CHANCE``, over all units
+tested) and with odds of ``ODDS`` at least; its other sentences have no label. Sentences of
+other texts are labelled clean. Each toxic sentence stands for the unit that is its witness, at
+first a telling one, then the one with the largest margin; all units of clean sentences are
+negative, but for telling ones and rare ones that are more frequent in toxic texts. A
+logistic layer turns a text's largest margins into a probability.
 
 Defined cases: a null or empty text has no unit and gets the score of such a text, near 0;
 without labelled rows of both kinds every score is 0; equal texts get equal scores; an empty
@@ -36,7 +41,10 @@ from pagoscope.llm.common import documents, sampled
 SPAN, DECAY = 7, 0.5
 LANDMARKS = 64           # negative ones; up to twice as many positive ones
 FOLDS = 3
-NEGATIVES = 2000         # units drawn at first; half as many join in each of two rounds
+NEGATIVES = 2000         # units of clean sentences at first; half as many join in each of two rounds
+SENTENCE_WORDS = 40      # longer sentences are cut
+ODDS, CHANCE = 8, 0.05
+PLAIN = 0.01             # share of the clean texts from which on a unit is plain, whatever its odds
 SAMPLE_DOCS = 1500
 SAMPLE_CUTS, SAMPLE_CHARS = 8, 6000
 WIDTH = 24               # characters of a unit; longer words are cut into overlapping ones
@@ -44,6 +52,8 @@ MEMORY = 400_000
 TOXIC = 0.7
 SCHEMA = "doc_id long, score double, predicted int"
 
+SENTENCE_END = re.compile(r"(?<=[.!?。！？])\s+|\n+")
+
 # Characters often put in place of a letter.
 STAND_INS = str.maketrans("013457@$", "oieastas")
 _CLASSES = 40            # 0 pads, 1..26 letters, 27..38 other letters by code, 39 anything else
@@ -73,6 +83,19 @@ def spelled_out(words: list[str]) -> list[str]:
     return found
 
 
+def sentences(text: str) -> list[list[str]]:
+    """The distinct units of each sentence; sentences without a unit are left out."""
+    found = []
+    for sentence in SENTENCE_END.split(text):
+        words = sentence.split()
+        for at in range(0, len(words), SENTENCE_WORDS):
+            part = words[at:at + SENTENCE_WORDS]
+            units = {u for w in [*part, *spelled_out(part)] for u in units_of(w) if len(u) >= 3}
+            if units:
+                found.append(sorted(units))
+    return found
+
+
 def codes(units: list[str], width: int = WIDTH) -> np.ndarray:
     """Character classes, one row per unit, padded so that every triple can be read."""
     room = width + SPAN
@@ -156,38 +179,65 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 400) ->
     return w[:-1], float(w[-1])
 
 
-def _machine(bags: list[set[str]], toxic: list[int], seed: int) -> tuple[np.ndarray, float] | None:
-    """Table and offset of the machine learnt from the units of labelled texts."""
+def _telling(with1: Counter, with0: Counter, n1: int, n0: int) -> list[str]:
+    """Units that tell toxic texts, the most frequent first: the chance that so many of the
+    texts that hold one are toxic, by Chernoff's bound and over all units, is below ``CHANCE``."""
+    share, least = n1 / (n1 + n0), np.log(max(1, len(with1)) / CHANCE)
+    found = []
+    for unit, c1 in with1.items():
+        c0 = with0[unit]
+        odds = ((c1 + 0.5) / (n1 + 1)) / ((c0 + 0.5) / (n0 + 1))
+        part = c1 / (c1 + c0)
+        evidence = c1 * np.log(part / share) + (c0 * np.log((1 - part) / (1 - share)) if c0 else 0)
+        if odds >= ODDS and evidence >= least:
+            found.append(unit)
+    if not found:  # a small sample: what is more frequent in toxic texts at all
+        odds = {u: ((c + 0.5) / (n1 + 1)) / ((with0[u] + 0.5) / (n0 + 1)) for u, c in with1.items()}
+        found = sorted((u for u in odds if odds[u] > 2), key=lambda u: (-odds[u], u))[:10]
+    return sorted(found, key=lambda u: (-with1[u], u))
+
+
+def _machine(texts: list[list[list[str]]], toxic: list[int], seed: int) -> tuple[np.ndarray, float] | None:
+    """Table and offset of the machine learnt from the sentences of labelled texts."""
     rng = np.random.default_rng(seed)
+    bags = [set().union(*text) for text in texts]
     n1 = sum(toxic)
-    n0 = len(toxic) - n1
     with1 = Counter(u for bag, t in zip(bags, toxic, strict=True) if t for u in bag)
     with0 = Counter(u for bag, t in zip(bags, toxic, strict=True) if not t for u in bag)
-    odds = {u: ((c + 0.5) / (n1 + 1)) / ((with0[u] + 0.5) / (n0 + 1)) for u, c in with1.items()}
-    least = max(3, n1 // 40)  # fewer texts may share a unit by chance, or as copies
-    positive = sorted((u for u, c in with1.items() if c >= least and odds[u] >= 8), key=lambda u: (-with1[u], u))[:1000]
-    if not positive:
-        positive = sorted((u for u in odds if odds[u] > 2), key=lambda u: (-odds[u], u))[:10]
-    pool = sorted(set(with0) - set(positive))
-    if not pool or not positive:
+    telling = _telling(with1, with0, n1, len(toxic) - n1)
+    known = set(telling)
+    bad = [s for text, t in zip(texts, toxic, strict=True) if t for s in text if not known.isdisjoint(s)]
+    clean = [s for text, t in zip(texts, toxic, strict=True) if not t for s in text]
+    if not bad or not clean:
+        return None
+    often = Counter(u for s in clean for u in s)
+    n0 = len(toxic) - n1
+    pool = sorted(u for u in often if u not in known and (with0[u] * n1 >= with1[u] * n0 or with0[u] >= PLAIN * n0))
+    if not pool:
         return None
+    rank = {u: i for i, u in enumerate(telling)}
+    witness = Counter(min((u for u in s if u in rank), key=rank.__getitem__) for s in bad)
     negative = [pool[i] for i in rng.permutation(len(pool))[:NEGATIVES]]
     for last in (False, False, True):
-        landmarks = positive[:2 * LANDMARKS] + negative[-LANDMARKS:]
-        base = features(landmarks)
+        positive = sorted(witness, key=lambda u: (-witness[u], u))
+        base = features(positive[:2 * LANDMARKS] + negative[-LANDMARKS:])
         values, vectors = np.linalg.eigh((base.T @ base).astype(float))
         root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T  # Nystroem map
         y = np.array([1.0] * len(positive) + [-1.0] * len(negative))
-        # a unit counts as often as texts hold it; both signs weigh the same
-        weight = np.sqrt(np.array([with1[u] for u in positive] + [with0[u] for u in negative], float))
+        # a unit counts by the sentences that hold it; both signs weigh the same
+        weight = np.sqrt(np.array([witness[u] for u in positive] + [often[u] for u in negative], float))
         weight[y > 0] *= weight[y < 0].sum() / weight[y > 0].sum()
         w, offset = _svm(kernel(positive + negative, base) @ root, y, weight)
         table = (base @ (root @ w))[:, None].astype(np.float32)
-        if not last:  # the negatives that look most toxic so far join, as landmarks too
-            known = set(negative)
-            value = margins(pool, table, offset)
-            worst = [pool[i] for i in np.argsort(-value, kind="stable")[:NEGATIVES] if pool[i] not in known]
+        if not last:
+            # the negatives that look most toxic so far join, as landmarks too
+            taken, value = set(negative), margins(pool, table, offset)
+            worst = [pool[i] for i in np.argsort(-value, kind="stable")[:NEGATIVES] if pool[i] not in taken]
             negative = negative + worst[:NEGATIVES // 2][::-1]
+            # and each toxic sentence is seen through its most toxic unit, negatives aside
+            units = sorted(({u for s in bad for u in s} - set(pool)) | known)
+            value = dict(zip(units, margins(units, table, offset).tolist(), strict=True))
+            witness = Counter(max((u for u in s if u in value), key=lambda u: (value[u], u)) for s in bad)
     return table, offset
 
 
@@ -200,10 +250,8 @@ def train(texts: list[str], toxic: list[int], rest: float = 1.0, seed: int = 9)
     rng = np.random.default_rng(seed)
     if len(set(toxic)) < 2:
         return None
-    bags = []
-    for text in texts:
-        words = text.split()
-        bags.append({u for w in [*words, *spelled_out(words)] for u in units_of(w) if len(u) >= 3})
+    split = [sentences(text) for text in texts]
+    bags = [set().union(*text) for text in split]
     t = np.array(toxic, float)
     fold = np.zeros(len(bags), int)
     for label in (0, 1):  # equal texts would give a fold away, but cost only sharpness
@@ -212,11 +260,11 @@ def train(texts: list[str], toxic: list[int], rest: float = 1.0, seed: int = 9)
     seen, x = np.zeros(len(bags), bool), np.zeros((len(bags), 5))
     for k in range(FOLDS):
         own = np.flatnonzero(fold != k)
-        part = _machine([bags[i] for i in own], [toxic[i] for i in own], seed)
+        part = _machine([split[i] for i in own], [toxic[i] for i in own], seed)
         if part is not None:
             for i in np.flatnonzero(fold == k):
                 x[i], seen[i] = summary(margins(sorted(bags[i]), *part)), True
-    whole = _machine(bags, toxic, seed)
+    whole = _machine(split, toxic, seed)
     if whole is None:
         return None
     x, t = x[seen], t[seen]

@@ -153,7 +153,89 @@ def test_samples_hold_every_label_and_each_text_once(spark, make_docs, monkeypat
     assert model.offset[0] == pytest.approx(np.log(997 / 57)) and model.offset[2] == -50
 
 
+def test_posteriors_equal_a_direct_convolution():
+    net = language_id.train(
+        ["the plain words of one tongue stand here " * 3, "die einfachen worte der anderen sprache " * 3,
+         "les mots simples de la langue troisième " * 3] * 6, ["en", "de", "fr"] * 6)
+    texts = ["the words", "", "x", "die Sprache über Ämter " * 40, "été " * 200]
+    rng = np.random.default_rng(3)
+    texts += [bytes(rng.integers(32, 127, n).tolist()).decode() for n in (1, 7, 300)]
+    windows = np.concatenate([language_id.windows_of(t)[0] for t in texts])
+    got = net.prepared().posteriors(windows)
+    for row, window in enumerate(windows):
+        values = []
+        for f in range(net.bias.size):
+            width = language_id.WIDTHS[f // language_id.FILTERS]
+            best = max(sum(float(net.tables[k, window[at + k], f]) for k in range(width))
+                       for at in range(len(window) - max(language_id.WIDTHS) + 1))
+            values.append(max(0.0, best + float(net.bias[f])))
+        z = [sum(v * float(w) for v, w in zip(values, net.weights[:, k])) + float(net.offset[k]) for k in range(3)]
+        e = [np.exp(v - max(z)) for v in z]
+        np.testing.assert_allclose(got[row], np.array(e) / sum(e), atol=1e-4)
+
+
 # ------------------------------------------------------------------ toxicity
+def plain_kernel(a, b):
+    """The subsequence kernel of two units, triple by triple."""
+    def triples(unit):
+        text = unit.translate(toxicity.STAND_INS)
+        found = []
+        for i in range(len(text)):
+            for j in range(i + 1, len(text)):
+                for k in range(j + 1, min(len(text), i + toxicity.SPAN)):
+                    if all(text[x].isascii() and text[x].isalpha() for x in (i, j, k)):
+                        found.append((text[i] + text[j] + text[k], toxicity.DECAY ** (k - i + 1)))
+        return found
+
+    x, y = triples(a), triples(b)
+    both = sum(v * w for t, v in x for u, w in y if t == u)
+    return both / max(1e-9, sum(v * v for _, v in x)) ** 0.5 / max(1e-9, sum(v * v for _, v in y)) ** 0.5
+
+
+def test_kernel_equals_a_plain_one():
+    units = ["idiot", "i.d.i.o.t", "id1ot", "idxxiot", "iixxxdxxxo", "banana", "the", "ab", "...", "a" * 24, "0dd"]
+    units += [u for u in random_texts("abio.", 30, 12) if len(u) >= 3]
+    got = toxicity.kernel(units, toxicity.features(units))
+    for i, a in enumerate(units):
+        for j, b in enumerate(units):
+            assert got[i, j] == pytest.approx(plain_kernel(a, b), abs=1e-4), (a, b)
+    assert plain_kernel("idiot", "i.d.i.o.t") > 3 * plain_kernel("idiot", "editor")
+
+
+def test_sentences_of_a_text():
+    found = toxicity.sentences("You i.d.i.o.t, go. Then i d i o t!  Next\nline of it\n\n. . a")
+    assert found == [["i.d.i.o.t", "you"], ["idiot", "then"], ["next"], ["line"]]
+    assert toxicity.sentences("") == [] and [len(s) for s in toxicity.sentences(" ".join(f"word{i}" for i in range(90)))] == [40, 40, 10]
+
+
+def test_telling_units_need_evidence_not_a_share():
+    with1, with0 = Counter(rare=30, common=900, even=40, lucky=4), Counter(rare=0, common=600, even=38, lucky=0)
+    # thirty of 100,000 toxic texts tell, four do not, and a frequent word with odds of 1.5 does not
+    assert toxicity._telling(with1, with0, 1500, 1500) == ["rare"]
+    assert toxicity._telling(with1, with0, 100_000, 100_000) == ["rare"]
+    assert toxicity._telling(Counter(a=3, b=1), Counter(b=1, c=3), 3, 3) == ["a"]
+
+
+def test_only_sentences_with_a_telling_unit_are_labelled():
+    texts, toxic = [], []
+    r = random.Random(4)
+    plain = ["".join(r.choice("bcdefghlmnprstu") + r.choice("aeo") for _ in range(3)) for _ in range(300)]
+    for i in range(200):
+        lines = [" ".join(r.choice(plain) for _ in range(8)) for _ in range(6)]
+        if i % 2:
+            lines[i % 6] += " zwijk"
+            lines[(i + 1) % 6] += " friendly" if i % 4 == 1 else ""
+        else:
+            lines[0] += " friendly" if i % 4 == 2 else ""
+        texts.append("\n".join(lines))
+        toxic.append(i % 2)
+    machine = toxicity.train(texts, toxic)
+    values = toxicity.margins(["zwijk", "zw.ijk", "friendly", *plain], machine.table, machine.offset)
+    assert values[0] > 0.5 and values[1] > 0 and max(values[2:]) < 0
+    found = toxicity.Scorer(machine).scores([" ".join(plain[:60]), " ".join([*plain[:60], "zw-ijk"])])
+    assert found[0] < 0.5 < found[1]
+
+
 def test_toxicity_on_held_out_documents(spark):
     sf = SMALL.replace("0.001", "0.01")
     rows = {r.doc_id: r for r in QUERIES["op3_toxicity"](spark, sf).collect()}
@@ -163,6 +245,8 @@ def test_toxicity_on_held_out_documents(spark):
     assert np.mean([r.predicted == t for r, t in held]) >= 0.9
     clean = [r.predicted for r, t in held if t == 0]
     assert np.mean(clean) <= 0.03
+    found = sum(r.predicted for r, t in held if t == 1)
+    assert found >= 0.7 * sum(t for _, t in held) and found >= 0.9 * sum(r.predicted for r, _ in held)
 
 
 def toxic_table(make_docs, spark):
@@ -216,6 +300,49 @@ def test_rates_equal_a_dense_solver(spark):
     assert (got == 0).any() and np.abs((n * got) @ p / n.sum() - [0.8, 0.1, 0.1]).max() < 5e-3
 
 
+def nonnegative_least_squares(a, b):
+    """Lawson and Hanson's active sets."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    while True:
+        pull = a.T @ (b - a @ x)
+        pull[free] = -np.inf
+        if pull.max() <= 1e-10:
+            return x
+        free[pull.argmax()] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if z[free].min() > 0:
+                x = z
+                break
+            low = free & (z <= 0)
+            x += min(x[low] / (x[low] - z[low])) * (z - x)
+            free &= x > 1e-12
+
+
+@pytest.mark.parametrize("alpha,reached", [([0.3, 0.3, 0.3], True), ([1.0, 0.5, 0.2], True), ([9.0, 9.0, 9.0], False)])
+def test_rates_are_as_good_as_an_independent_solver(spark, caplog, alpha, reached):
+    rng = np.random.default_rng(5)
+    p, n = rng.dirichlet(alpha, 200), rng.integers(1, 500, 200)
+    table = spark.createDataFrame([(int(t), *map(float, q)) for t, q in zip(n, p)], "n_tokens BIGINT, p0 DOUBLE, p1 DOUBLE, p2 DOUBLE")
+    wanted = np.array([0.8, 0.1, 0.1])
+    moves = mixing.fit_rates(table, dict(zip(mixing.DOMAINS, wanted)))
+    rates = np.array([r[0] for r in table.selectExpr(f"{mixing.rate_text(moves)} AS r").collect()])
+    a = (p * n[:, None]).T / n.sum()
+    root = np.linalg.cholesky(np.linalg.inv((p * n[:, None]).T @ p / n.sum())).T  # the weights of misses
+    best = nonnegative_least_squares(root @ a, root @ wanted)
+
+    def miss(x):
+        return float(np.square(root @ (a @ x - wanted)).sum())
+
+    assert (rates >= 0).all() and (miss(best) < 1e-8) == reached
+    assert ("targets not met" in caplog.text) == (not reached)
+    if reached:
+        assert miss(rates) <= miss(best) + 1e-5
+    else:  # no nonnegative rates meet the targets; the steps end before the best ones, and say so
+        assert miss(best) < miss(rates) < miss(np.ones(200))
+
+
 def test_mixing_of_odd_tables(make_docs, spark):
     labels = spark.createDataFrame([(0, 1, 0), (0, 1, 0), (3, None, None), (77, 0, 1), (4, 0, 0)], "doc_id BIGINT, quality INT, toxic INT")
     docs = make_docs(*ODD, (None, "no id"), (3, "one"), clash=CLASHES)
