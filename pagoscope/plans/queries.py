@@ -842,8 +842,7 @@ def _(spark, p):
 def _(spark, p):
     """The payments as a stream of files, routed into the zones in micro-batches."""
     base = files.scratch_path(spark, "stream")
-    p.repartition(4).write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(p.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    stream = streamed.replay(p, f"{base}/in")
     run = streamed.route(stream, f"{base}/out", f"{base}/checkpoint", as_of=AS_OF).trigger(availableNow=True).start()
     run.awaitTermination()
     return streamed.read_zones(spark, f"{base}/out").select(ROW_ID, zones.ZONE, ERRORS_COLUMN, "warning")

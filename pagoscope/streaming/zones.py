@@ -5,6 +5,10 @@ it into the zones below a partition of its own, ``batch=<id>``, with dynamic ove
 that the engine runs again after a failure, under the same id, replaces what its first attempt
 left and nothing else. With the checkpoint that names the batches, that is exactly once.
 
+A task sorts its rows by zone before it writes them, so what a task reads is kept small:
+``replay`` bounds the rows of a file and gives each core a file or two in a micro-batch. A larger
+table makes more micro-batches and no larger tasks.
+
 Readers see a batch when its write is committed. The counts of each batch go beside the zones in
 the same way. The checkpoint and the zones belong together: a new checkpoint starts at batch 0
 again, so it needs a new path.
@@ -21,6 +25,7 @@ from pagoscope.sources.layout import conform
 from pagoscope.sources.zones import CLEAN, ERRORS, ZONE
 
 BATCH = "batch"
+FILE_ROWS = 500_000  # of one file of a replayed table
 
 
 def _replace(frame: DataFrame, path: str, *partitions: str) -> None:
@@ -56,6 +61,17 @@ def route(
     return payments.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def replay(payments: DataFrame, path: str, rows: int | None = None) -> DataFrame:
+    """A table as a stream: written as files of at most ``rows`` rows (``FILE_ROWS``) and taken up
+    in several micro-batches, each of at most as many files as there are cores."""
+    spark = payments.sparkSession
+    rows = max(1, min(rows or FILE_ROWS, -(-payments.count() // 4)))  # a small table makes batches too
+    payments.write.option("maxRecordsPerFile", rows).parquet(path)
+    files = len(spark.read.schema(payments.schema).parquet(path).inputFiles())
+    most = max(2, min(spark.sparkContext.defaultParallelism, files // 2))
+    return spark.readStream.schema(payments.schema).option("maxFilesPerTrigger", most).parquet(path)
+
+
 def read_zones(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """Both zones with ``batch`` and ``zone``, of all batches so far."""
     reader = spark.read if schema is None else spark.read.schema(schema)
