@@ -65,6 +65,21 @@ def test_line_dedup_cases(make_docs):
     assert by_id[4].clean_text is None and by_id[4].n_lines == 0 and by_id[5].clean_text == ""
     assert by_id[7].clean_text == "same"  # single lines stay
 
+def test_chunks_are_told_apart_without_their_text(make_docs, monkeypatch):
+    shared = "\n".join(f"line {i} of the passage that many texts share" for i in range(40))
+    docs = make_docs(*((i, f"own start {i}\n{shared}\nown end {i}") for i in range(20)), (20, "one\ntwo"), (20, "two\none"))
+    tables, real = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda frame, name: tables.append(frame) or real(frame, name))
+    repeated = line_dedup.repeated_chunks(docs).collect()
+    assert tables and not any("string" in t.schema.simpleString() for t in tables)
+    where = {}
+    for row in line_dedup.chunked(docs).collect():
+        for start, n in row.chunks:
+            if n >= line_dedup.MIN_LINES:
+                where.setdefault("\n".join(row.lines[start:start + n]), []).append((row.key.doc_id, start, n))
+    wanted = sorted(place for places in where.values() for place in sorted(places)[1:])
+    assert wanted and sorted((r.key.doc_id, r.start, r.n_lines) for r in repeated) == wanted
+
 @pytest.mark.parametrize("n_lines", [1, 2, 3, 5, 10])
 def test_passages_between_foreign_lines(make_docs, n_lines):
     # 54 words or more: 60, 30, 20 words a line and so on, a blank line in between
