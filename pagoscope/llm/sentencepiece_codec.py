@@ -23,7 +23,7 @@ passes run as array operations over all of them, with the pieces found by a roll
 bits and their outer characters. Single chunks take the same passes character by character; results are equal.
 
 At scale: one pass without a shuffle; memory grows with the longest text only, and the
-chunks that a worker remembers are bounded. A very long text is encoded whole.
+chunks that a worker remembers are bounded: when they are too many, the frequent ones stay. A very long text is encoded whole.
 """
 
 from __future__ import annotations
@@ -32,8 +32,7 @@ import functools
 import heapq
 import itertools
 import re
-from array import array
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -43,12 +42,12 @@ from pagoscope.llm.common import documents
 
 N_BEST = 4
 BYTE_SCORE = -50_000.0  # of one byte piece: below any ordinary piece's
-MEMORY = 300_000        # chunks that a worker remembers
+MEMORY = 150_000        # chunks that a worker remembers
 LISTED = 20_000         # chunks whose n best segmentations a worker remembers
 LONGEST_KEPT = 48       # characters; longer chunks are worked out one by one and not remembered
 TOGETHER = 8192         # chunks of one length that are worked out together
 FEW = 4                 # fewer than these are not worth the arrays
-SLOT_BITS = 22          # of the table that tells which hashes may be pieces
+SLOT_BITS = 20          # of the table in which pieces are looked up by hash
 NEVER = float("-inf")
 SPACES = re.compile(r" *[^ ]+| +")
 SCHEMA = (
@@ -122,8 +121,14 @@ class PieceTable:
         order = np.argsort(np.concatenate(keys))
         self.keys, self.outer = np.concatenate(keys)[order], np.concatenate(outer)[order]
         self.ids, self.scores = np.array(ids, np.int32)[order], np.array(scores)[order]
-        self.slots = np.zeros(2**SLOT_BITS, bool)
-        self.slots[self._slot(self.keys)] = True
+        # open addressing: a piece lies in its slot or in one of the next few
+        self.slots, self.probes = np.full(2**SLOT_BITS + len(order), -1, np.int32), 0
+        for number, at in enumerate(self._slot(self.keys).tolist()):
+            last = at
+            while self.slots[last] >= 0:
+                last += 1
+            self.slots[last] = number
+            self.probes = max(self.probes, last - at + 1)
 
     @staticmethod
     def _slot(keys: np.ndarray) -> np.ndarray:
@@ -131,11 +136,20 @@ class PieceTable:
 
     def find(self, keys: np.ndarray, outer: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         """Fill in ``ids`` and ``scores`` of the substrings that are pieces."""
-        maybe = np.flatnonzero(self.slots[self._slot(keys)])
-        key = keys[maybe]
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        good = np.flatnonzero((self.keys[at] == key) & (self.outer[at] == outer[maybe]))
-        ids[maybe[good]], scores[maybe[good]] = self.ids[at[good]], self.scores[at[good]]
+        at = self._slot(keys)
+        found = self.slots[at]
+        maybe = np.flatnonzero(found >= 0)
+        found, at = found[maybe], at[maybe]
+        for probe in range(1, self.probes + 1):
+            same = self.keys[found] == keys[maybe]
+            hits, piece = maybe[same], found[same]
+            good = self.outer[piece] == outer[hits]
+            ids[hits[good]], scores[hits[good]] = self.ids[piece[good]], self.scores[piece[good]]
+            at, maybe = at[~same], maybe[~same]
+            found = self.slots[at + probe]
+            at, maybe, found = at[found >= 0], maybe[found >= 0], found[found >= 0]
+            if not len(maybe):
+                break
 
 
 def code_points(texts: list[str], length: int) -> np.ndarray:
@@ -161,13 +175,83 @@ def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` with these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def grown(values: np.ndarray, size: int) -> np.ndarray:
+    """The array with room for ``size`` values."""
+    return values if size <= len(values) else np.concatenate([values, np.zeros(2 * size - len(values), values.dtype)])
+
+
+class Known(Mapping):
+    """Chunks with their best pieces, the score of these and what the next best loses: a number
+    for each chunk, the rest in arrays by number."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.flat, self.starts = np.zeros(4096, np.int32), np.zeros(1024, np.int64)
+        self.scores, self.losses, self.used = np.zeros(1024), np.zeros(1024), np.zeros(1024, np.int32)
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.numbers)
+
+    def __contains__(self, text: object) -> bool:
+        return text in self.numbers
+
+    def __getitem__(self, text: str) -> tuple[tuple[int, ...], float, float]:
+        at = self.numbers[text]
+        return tuple(self.flat[self.starts[at]:self.starts[at + 1]].tolist()), float(self.scores[at]), float(self.losses[at])
+
+    def add(self, texts: list[str], flat: np.ndarray, sizes: np.ndarray, scores: np.ndarray, losses: np.ndarray) -> None:
+        at, end = len(self.numbers), len(self.numbers) + len(texts)
+        self.numbers.update(zip(texts, range(at, end), strict=True))
+        self.starts, self.scores, self.losses, self.used = (
+            grown(x, end + 1) for x in (self.starts, self.scores, self.losses, self.used)
+        )
+        self.starts[at + 1:end + 1] = self.starts[at] + np.cumsum(sizes)
+        self.flat = grown(self.flat, int(self.starts[end]))
+        self.flat[self.starts[at]:self.starts[end]] = flat
+        self.scores[at:end], self.losses[at:end], self.used[at:end] = scores, losses, 0
+
+    def of(self, texts: list[str]) -> tuple[np.ndarray, float, np.ndarray] | None:
+        """Pieces in a row, score and losses by chunk of a text's chunks, if all are here."""
+        numbers = list(map(self.numbers.get, texts))
+        if None in numbers:
+            self.used[[n for n in numbers if n is not None]] += 1
+            return None
+        at = np.array(numbers, np.int64)
+        self.used[at] += 1
+        starts = self.starts[at]
+        return gathered(self.flat, starts, self.starts[at + 1] - starts), sum(self.scores[at].tolist()), self.losses[at]
+
+    def forget(self, most: int, needed: set[str]) -> None:
+        """Only the ``needed`` chunks stay and, of those in several texts, the ``most`` frequent."""
+        texts, used = list(self.numbers), self.used[:len(self.numbers)]
+        order = np.argsort(-used, kind="stable")[:most]
+        stay = np.zeros(len(used), bool)
+        stay[order[used[order] > 1]] = True
+        stay[[self.numbers[c] for c in needed if c in self.numbers]] = True
+        at = np.flatnonzero(stay)
+        sizes = self.starts[at + 1] - self.starts[at]
+        kept = Known()
+        kept.add([texts[k] for k in at.tolist()], gathered(self.flat, self.starts[at], sizes), sizes, self.scores[at], self.losses[at])
+        kept.used[:len(at)] = used[at] // 2
+        self.__dict__ = kept.__dict__
+
+
 class Codec:
     def __init__(self, path: str) -> None:
         if not spm.marks_lead(path):
             raise ValueError("the model has pieces that reach over a word's end")
         self.trie, self.longest, self.byte_ids, self.raw = vocabulary(path)
         self.table = piece_table(path)
-        self.known: dict[str, tuple[tuple[int, ...], float, float]] = {}
+        self.known = Known()
         self.listed: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = {}
 
     def _single(self, character: str) -> tuple[tuple[int, ...], float]:
@@ -248,8 +332,9 @@ class Codec:
         flat = ids[0] if len(ids) == 1 else tuple([i for part in reversed(ids) for i in part])
         return flat, total, loss
 
-    def _together(self, texts: list[str]) -> list[tuple[tuple[int, ...], float, float]]:
-        """:meth:`chunk` for chunks of one length, by the same passes over arrays."""
+    def _together(self, texts: list[str]) -> tuple[np.ndarray, ...]:
+        """:meth:`chunk` for chunks of one length, by the same passes over arrays: the pieces in a
+        row, and by chunk their number, score and what the next best loses."""
         m, n = len(texts), len(texts[0])
         codes, every = code_points(texts, n), np.arange(len(texts))
         most = min(self.longest, n)
@@ -272,11 +357,12 @@ class Codec:
                 better = value > best[end]
                 np.copyto(best[end], value, where=better)
                 np.copyto(came[end], start, where=better)
-        total, end, pieces = best[n], np.full(m, n), []
+        total, end, pieces, places = best[n], np.full(m, n), [], []
         cut = np.zeros((n, m), np.int64)  # where the best path's edge from a place ends
         while end.any():
             start, on = came[end, every], end > 0
             pieces.append(np.where(on, number[start, np.maximum(end - start, 1) - 1, every], -2))
+            places.append(start)
             cut[start[on], every[on]] = end[on]
             end = np.where(on, start, 0)
         rest, loss = np.zeros((n + 1, m)), np.full(m, np.inf)
@@ -288,35 +374,42 @@ class Codec:
                 np.minimum(loss, ahead - value, out=loss, where=cut[start] != start + k + 1)
             rest[start] = onward
         rows = np.array(pieces)[::-1].T
-        byte_path = (rows == -1).any(axis=1)
-        result = []
-        for k, (row, odd, a, b) in enumerate(zip(rows.tolist(), byte_path.tolist(), total.tolist(), loss.tolist(), strict=True)):
-            ids = self._with_bytes(texts[k], came[:, k]) if odd else tuple([i for i in row if i >= 0])
-            result.append((ids, a, b))
-        return result
-
-    def _with_bytes(self, text: str, came: np.ndarray) -> tuple[int, ...]:
-        """The pieces of a path on which some characters are bytes."""
-        parts, end = [], len(text)
-        while end:
-            start = int(came[end])
-            parts.append((self.trie.get(text[start:end]) or self._single(text[start]))[0])
-            end = start
-        return tuple(itertools.chain.from_iterable(reversed(parts)))
+        sizes = (rows >= 0).sum(axis=1)
+        if (rows != -1).all():
+            return rows[rows >= 0], sizes, total, loss
+        # characters that are bytes: each stands for several pieces
+        chunk, place = np.nonzero(rows == -1)
+        codes = codes[np.array(places)[::-1].T[chunk, place], chunk]
+        distinct, which = np.unique(codes, return_inverse=True)
+        spelled = [self._single(chr(c))[0] for c in distinct.tolist()]
+        lengths = np.array([len(ids) for ids in spelled])
+        wide = (rows >= 0).astype(np.int64)
+        wide[chunk, place] = lengths[which]
+        sizes = wide.sum(axis=1)
+        wide = wide[rows >= -1]
+        flat = np.repeat(rows[rows >= -1], wide)
+        flat[flat < 0] = gathered(
+            np.array(list(itertools.chain.from_iterable(spelled)), np.int32), (np.cumsum(lengths) - lengths)[which], lengths[which]
+        )
+        return flat, sizes, total, loss
 
     def learn(self, chunks: set[str]) -> None:
         """Work out the new ones of these chunks; when too many are remembered, others go."""
-        known, by_length = self.known, {}
-        for text in chunks:
-            if text not in known and len(text) <= LONGEST_KEPT:
+        by_length: dict[int, list[str]] = {}
+        for text in chunks.difference(self.known.numbers):
+            if len(text) <= LONGEST_KEPT:
                 by_length.setdefault(len(text), []).append(text)
-        if len(known) + sum(map(len, by_length.values())) > MEMORY:
-            self.known = {c: known[c] for c in chunks if c in known}
+        if by_length and len(self.known) + sum(map(len, by_length.values())) > MEMORY:
+            self.known.forget(MEMORY // 2, chunks)
         for group in by_length.values():
             for at in range(0, len(group), TOGETHER):
                 part = group[at:at + TOGETHER]
-                found = self._together(part) if len(part) >= FEW else map(self.chunk, part)
-                self.known.update(zip(part, found, strict=True))
+                if len(part) >= FEW:
+                    self.known.add(part, *self._together(part))
+                    continue
+                for text in part:
+                    ids, score, loss = self.chunk(text)
+                    self.known.add([text], np.array(ids, np.int32), np.array([len(ids)]), np.array([score]), np.array([loss]))
 
     def chunk_nbest(self, text: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a chunk by A*; those of frequent chunks are remembered."""
@@ -360,6 +453,14 @@ class Codec:
         ids, scores, losses = zip(*found, strict=True)
         return ids, float(sum(scores)), np.array(losses), chunks
 
+    def flat(self, text: str, chunks: list[str]) -> tuple[np.ndarray, float, np.ndarray]:
+        """:meth:`encode` with the pieces in a row."""
+        found = self.known.of(chunks)
+        if found is not None:
+            return found
+        ids, total, losses, _ = self.encode(text, chunks)
+        return np.fromiter(itertools.chain.from_iterable(ids), np.int32), total, losses
+
     def nbest(self, text: str, n: int = N_BEST) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
         """The n best segmentations: total score, and the chunks that differ from the best."""
         if not text:
@@ -408,26 +509,26 @@ def encode(docs: DataFrame, model_path: str | None = None, n_best: int = N_BEST)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                flat, ends, scores, best, same, missing = array("i"), [0], [], [], [], []
+                flat, ends, scores, best, same, missing = [np.zeros(0, np.int32)], [0], [], [], [], []
                 texts = batch.column("text").to_pylist()
                 split = [own.chunks(t) if t else [] for t in texts]
                 own.learn(set().union(*split))
                 for text, parts in zip(texts, split, strict=True):
                     missing.append(text is None)
                     if not text:
-                        ends.append(len(flat))
+                        ends.append(ends[-1])
                         scores.append(None if text is None else 0.0)
                         best.append(None if text is None else [0.0])
                         same.append(True)
                         continue
-                    ids, total, losses, chunks = own.encode(text, parts)
-                    flat.extend(itertools.chain.from_iterable(ids))
-                    same.append(own.decode(flat[ends[-1]:]) == text)
-                    ends.append(len(flat))
+                    ids, total, losses = own.flat(text, parts)
+                    flat.append(ids)
+                    same.append(own.decode(ids.tolist()) == text)
+                    ends.append(ends[-1] + len(ids))
                     scores.append(total)
-                    best.append([score for score, _ in own._nbest(total, losses, chunks, n_best)])
+                    best.append([score for score, _ in own._nbest(total, losses, parts, n_best)])
                 offsets = pa.array(ends, pa.int32(), mask=np.array([*missing, False]))
-                pieces = pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(flat, np.int32), pa.int32()))
+                pieces = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(flat), pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id"), pieces, pa.array(np.diff(ends), pa.int64()), pa.array(scores, pa.float64()),
                      pa.array(best, pa.list_(pa.float64())), pa.array(same, pa.bool_())],

@@ -385,3 +385,22 @@ def test_a_full_memory_changes_nothing(texts, monkeypatch):
     monkeypatch.setattr(sentencepiece_codec, "MEMORY", 50)
     small = sentencepiece_codec.Codec(sentencepiece_model.default_path())
     assert [small.nbest(t) for t in rows] == expected
+
+
+def test_a_full_memory_keeps_the_frequent_chunks(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "MEMORY", 400)
+    rng, plain = random.Random(8), sentencepiece_codec.Codec(sentencepiece_model.default_path())
+    own = sentencepiece_codec.Codec(sentencepiece_model.default_path())
+    often = [f"w{k}" for k in range(20)] + ["ñandú", "日本"]
+    for _ in range(40):
+        rare = ["".join(rng.choice("abcdeñ日🙂") for _ in range(rng.randrange(4, 12))) for _ in range(60)]
+        text = " ".join([*often, *rare, "x" * 60])
+        asked = own.chunks(text)
+        own.learn(set(asked))
+        ids, total, losses = own.flat(text, asked)
+        wanted = [plain.chunk(c) for c in asked]
+        assert ids.tolist() == [i for w in wanted for i in w[0]] and own.decode(ids.tolist()) == text
+        assert total == pytest.approx(sum(w[1] for w in wanted)) and losses.tolist() == [w[2] for w in wanted]
+        assert len(own.known) <= 400
+    own.known.forget(200, set())
+    assert all(" " + word in own.known for word in often) and len(own.known) <= 200
