@@ -184,9 +184,16 @@ class Sampler:
         every = np.arange(draws)
         for at in range(0, len(shingles), BLOCK):
             part = shingles[at:at + BLOCK]
-            place = ((part[None] * self.keys) >> np.uint64(64 - POOL_BITS)).astype(np.int32)
-            steps = np.floor(logs[None, at:at + BLOCK] * self.per_r.take(place) + self.beta.take(place))
-            value = self.base.take(place) - self.r.take(place) * steps
+            place = part[None] * self.keys
+            place >>= np.uint64(64 - POOL_BITS)
+            place = place.view(np.int64)  # below 2**POOL_BITS, so nothing is clipped
+            steps = self.per_r.take(place, mode="clip")
+            steps *= logs[None, at:at + BLOCK]
+            steps += self.beta.take(place, mode="clip")
+            np.floor(steps, out=steps)
+            value = self.r.take(place, mode="clip")
+            value *= steps
+            np.subtract(self.base.take(place, mode="clip"), value, out=value)
             best = value.argmin(axis=1)
             low = value[every, best]
             drawn = _mixed(part[best] + _mixed(steps[every, best].astype(np.int64).astype(np.uint64)))
@@ -227,7 +234,7 @@ def _first_pass(rows: DataFrame, memory: int = MEMORY) -> DataFrame:
                 at = words.numbers(text)
                 if len(words.hash) > len(df):
                     df = np.concatenate([df, np.zeros(len(words.hash) - len(df), np.int64)])
-                df[np.unique(at)] += 1
+                df[at] += 1  # a number that is there twice counts once
                 classes.append(class_hash(words.hash[at]) if len(at) else None)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([0] * len(classes), pa.int32()), batch.column("doc_id"), batch.column("text_hash"),
@@ -315,6 +322,28 @@ def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], similarity: float)
     return np.nonzero(near)
 
 
+def _comparer(idf: Idf, similarity: float) -> Callable:
+    """Links (a, b) of the documents of a group of rows: a spanning forest."""
+    remembered: list[Words] = []  # one for all groups of a task
+
+    def compare(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("node", kind="stable")
+        if not remembered:
+            remembered.append(Words(idf))
+        words, sets = remembered[0], []
+        for text in rows["text"]:
+            h, w, n = weighted_shingles(*words.of(text), counted=True)
+            sets.append(items(h, w, n))
+        node = rows["node"].to_numpy()
+        low = forest(len(node), *similar_pairs(sets, similarity))
+        tied = low != np.arange(len(node))
+        return pd.DataFrame({"a": node[tied], "b": node[low[tied]]})
+
+    return compare
+
+
 def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf: Idf, similarity: float) -> DataFrame:
     """Links (a, b) within the buckets that hold more than one group: a spanning forest."""
     placed = buckets.join(groups, "node", "left").withColumn("part", F.coalesce("component", "node"))
@@ -340,20 +369,7 @@ def _open_buckets(buckets: DataFrame, groups: DataFrame, texts: DataFrame, idf:
         "explode(sequence(0, if(part = top, others - 1, others + tops - 1))) as other",
     ).selectExpr("band", "least(own, other) as i", "greatest(own, other) as j", "node")
 
-    def compare(rows):
-        import pandas as pd
-
-        rows = rows.sort_values("node", kind="stable")
-        words, sets = Words(idf), []
-        for text in rows["text"]:
-            h, w, n = weighted_shingles(*words.of(text), counted=True)
-            sets.append(items(h, w, n))
-        node = rows["node"].to_numpy()
-        low = forest(len(node), *similar_pairs(sets, similarity))
-        tied = low != np.arange(len(node))
-        return pd.DataFrame({"a": node[tied], "b": node[low[tied]]})
-
-    return dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(compare, "a long, b long")
+    return dealt.join(texts, "node").groupBy("band", "i", "j").applyInPandas(_comparer(idf, similarity), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 from llm_cases import CLASHES, ODD, SMALL, make_docs  # noqa: F401  a fixture
 
@@ -257,3 +258,29 @@ def test_stages_take_odd_documents(spark, make_docs):
             table = stage(spark, table, SMALL)
             assert table.columns == docs.columns, name
         corpus_pipeline.STAGES[-1][1](spark, table, SMALL).collect()
+
+
+def test_groups_of_a_task_share_the_words(monkeypatch):
+    learned, real = [], minhash_dedup.Words._learn
+    monkeypatch.setattr(minhash_dedup.Words, "_learn", lambda self, new: learned.extend(new) or real(self, new))
+    compare = minhash_dedup._comparer(minhash_dedup.Idf({}, 10), 0.8)
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = pd.DataFrame({"node": [3, 1, 2], "text": [text, f"{text} w40", "other words are here only"]})
+    first, again = compare(rows), compare(rows)
+    assert first.to_dict("list") == again.to_dict("list") == {"a": [3], "b": [1]}
+    assert len(learned) == len(set(learned)) == 46
+
+
+def test_samples_equal_the_plain_formula():
+    r, sampler = np.random.default_rng(3), minhash_dedup.Sampler()
+    for n in (1, 5, minhash_dedup.BLOCK + 7):
+        shingles, weights = r.integers(0, 2**64, n, dtype=np.uint64), r.uniform(0.5, 30, n)
+        place = ((shingles * sampler.keys) >> np.uint64(64 - minhash_dedup.POOL_BITS)).astype(int)
+        steps = np.floor(np.log(weights).astype(np.float32) * sampler.per_r[place] + sampler.beta[place])
+        best = (sampler.base[place] - sampler.r[place] * steps).argmin(axis=1)
+        taken = steps[np.arange(len(best)), best].astype(np.int64).astype(np.uint64)
+        samples = minhash_dedup._mixed(shingles[best] + minhash_dedup._mixed(taken)).reshape(minhash_dedup.BANDS, minhash_dedup.ROWS)
+        total = np.arange(1, minhash_dedup.BANDS + 1, dtype=np.uint64)
+        for k in range(minhash_dedup.ROWS):
+            total = minhash_dedup._mixed(total * minhash_dedup._MIX + samples[:, k])
+        assert (sampler.bands(shingles, weights) == total.view(np.int64)).all()
