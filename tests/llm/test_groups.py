@@ -284,3 +284,20 @@ def test_samples_equal_the_plain_formula():
         for k in range(minhash_dedup.ROWS):
             total = minhash_dedup._mixed(total * minhash_dedup._MIX + samples[:, k])
         assert (sampler.bands(shingles, weights) == total.view(np.int64)).all()
+
+
+def test_the_stages_send_small_batches_to_python(spark, make_docs, monkeypatch):
+    docs = make_docs(*["some words " * 1000] * 100).coalesce(1)
+    seen = lambda: docs.select("text").mapInArrow(
+        lambda batches: (b.select([]).from_pydict({"n": [b.nbytes]}) for b in batches), "n long"
+    ).agg({"n": "max"}).first()[0]
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(corpus_pipeline, "BATCH_BYTES", "64k", raising=False)
+    try:
+        assert seen() > 1_000_000
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+            stage(spark, docs, SMALL)
+            assert seen() < 200_000
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
