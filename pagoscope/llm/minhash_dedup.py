@@ -33,7 +33,9 @@ in ``RARE`` documents, at most ``RARE`` times the mean number of distinct words
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
@@ -49,6 +51,7 @@ RARE = 4096          # one in so many documents: rarer words weigh alike
 DEAL = 300           # documents of a block in which all pairs are compared
 COLUMNS = 4096       # shingles that such a comparison holds at a time
 MEMORY = 200_000     # words that a worker remembers
+PIECE = 2**16        # characters in which words are found at a time
 BLOCK = 2048         # shingles sampled at a time
 POOL_BITS = 16
 
@@ -82,16 +85,77 @@ class Idf:
         return np.where(self.words[at] == signed, self.values[at], self.rare)
 
 
-class Numbers(dict):
-    """A number for each word, in the order in which they are first asked for."""
-
-    def __init__(self) -> None:
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
-        return at
+@cache
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of every character whether words hold it, and a random number."""
+    every = "".join(map(chr, range(sys.maxunicode + 1)))
+    inside = np.zeros(len(every), bool)
+    for run in WORD.finditer(every):
+        inside[run.start():run.end()] = True
+    return inside, np.random.default_rng(13).integers(0, 2**64, len(every), dtype=np.uint64)
+
+
+def _odd(place: np.ndarray) -> np.ndarray:
+    """A random odd number for each place in a word."""
+    return _mixed(_mixed((place + 1).astype(np.uint64) * _MIX)) | np.uint64(1)
+
+
+_ODD = _odd(np.arange(1024))
+
+
+def _words_of(text: str, begun: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hash and first place of each word of a lower-case text, and how long the word is in which
+    it ends; it begins within a word of which ``begun`` characters came before. A hash is the sum
+    over the characters of a random number of the character times one of its place in the word,
+    so the hashes of a word's parts add up to its own."""
+    inside, letters = _letters()
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    held = np.zeros(len(code) + 2, bool)
+    held[1:-1] = inside[code]
+    edges = np.flatnonzero(held[1:] != held[:-1])
+    starts, lengths = edges[::2], edges[1::2] - edges[::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64), starts, 0
+    code = code[held[1:-1]]
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(len(code)) - np.repeat(first, lengths)
+    if starts[0] == 0:
+        place[:lengths[0]] += begun
+    value = letters[code]
+    value *= _ODD[place] if lengths.max() + begun <= len(_ODD) else _odd(place)
+    ending = int(place[-1]) + 1 if edges[-1] == len(text) else 0
+    return np.add.reduceat(value, first), starts, ending
+
+
+def word_hashes(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+    """Group by group of texts the hashes of their words, and where the words of each text end."""
+
+    def hashed(group):
+        whole, hashes, starts, parts, begun = "\n".join(group), [], [], [], 0
+        for at in range(0, len(whole), PIECE):
+            h, s, ending = _words_of(whole[at:at + PIECE], begun)
+            hashes.append(h)
+            starts.append(s + at)
+            parts.append((s == 0) & (begun > 0))
+            begun = ending
+        if not hashes:
+            return np.zeros(0, np.uint64), [0] * len(group)
+        hashes, starts = np.concatenate(hashes), np.concatenate(starts)
+        first = np.flatnonzero(~np.concatenate(parts))
+        if len(first) < len(hashes):
+            hashes, starts = np.add.reduceat(hashes, first), starts[first]
+        return hashes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group])).tolist()
+
+    group, size = [], 0
+    for text in texts:
+        text = text.lower() if text else ""
+        if group and size + len(text) > PIECE:
+            yield hashed(group)
+            group, size = [], 0
+        group.append(text)
+        size += len(text) + 1
+    if group:
+        yield hashed(group)
 
 
 class Words:
@@ -103,37 +167,65 @@ class Words:
         self._clear()
 
     def _clear(self) -> None:
-        self.known = Numbers()
+        self.known = 0
         self.hash, self.weight = np.zeros(1024, np.uint64), np.zeros(1024)
+        self.slots = np.full(4096, -1, np.int32)  # a word's number lies in its hash's slot or the next free one
+
+    def _slot(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes >> np.uint64(65 - len(self.slots).bit_length())).view(np.int64)
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word, -1 for unknown ones."""
+        slot = self._slot(hashes)
+        at = self.slots[slot]
+        other = np.flatnonzero((self.hash[at] != hashes) & (at >= 0))
+        while len(other):
+            slot[other] = (slot[other] + 1) & (len(self.slots) - 1)
+            at[other] = found = self.slots[slot[other]]
+            other = other[(self.hash[found] != hashes[other]) & (found >= 0)]
+        return at
 
-    def _learn(self, new: list[str]) -> None:
-        from xxhash import xxh64_intdigest
-
-        at, end = len(self.known) - len(new), len(self.known)
-        if end > len(self.hash):
-            room = np.zeros(2 * end - len(self.hash))
+    def _learn(self, new: np.ndarray) -> None:
+        at, self.known = self.known, self.known + len(new)
+        if self.known > len(self.hash):
+            room = np.zeros(2 * self.known - len(self.hash))
             self.weight = np.concatenate([self.weight, room])
             self.hash = np.concatenate([self.hash, room.astype(np.uint64)])
-        self.hash[at:end] = [xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new]
+        self.hash[at:self.known] = new
         if self.idf is not None:
-            self.weight[at:end] = self.idf.of(self.hash[at:end])
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        """The number of each word, valid until the next call."""
-        if len(self.known) > self.memory:
-            if self.spill is not None:
-                self.spill(self)
-            self._clear()
-        words = WORD.findall(text.lower()) if text else []
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.known.new:
-            self._learn(self.known.new)
-            self.known.new = []
-        return at
+            self.weight[at:self.known] = self.idf.of(new)
+        if 4 * self.known > len(self.slots):
+            self.slots = np.full(1 << (8 * self.known).bit_length(), -1, np.int32)
+            at = 0
+        number = np.arange(at, self.known, dtype=np.int32)
+        slot = self._slot(self.hash[at:self.known])
+        while len(number):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = number[free]  # of several words one stays, the others go on
+            left = self.slots[slot] != number
+            number, slot = number[left], (slot[left] + 1) & (len(self.slots) - 1)
+
+    def each(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Text by text the number of each word, valid until the next text."""
+        for hashes, ends in word_hashes(texts):
+            if self.known > self.memory:
+                if self.spill is not None:
+                    self.spill(self)
+                self._clear()
+            at = self._find(hashes)
+            unknown = at < 0
+            if unknown.any():
+                new = hashes[unknown]
+                self._learn(np.unique(new))
+                at[unknown] = self._find(new)
+            start = 0
+            for end in ends:
+                yield at[start:end]
+                start = end
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Hash and IDF of each word."""
-        at = self.numbers(text)
+        at = next(self.each([text]))
         return self.hash[at], self.weight[at]
 
 
@@ -154,8 +246,11 @@ def weighted_shingles(hashes: np.ndarray, rare: np.ndarray, counted: bool = Fals
     for k in range(width):
         total = _mixed(total + hashes[k:k + n] * _KEYS[k])
         best = np.maximum(best, rare[k:k + n])
-    shingles, first, counts = np.unique(total, return_index=True, return_counts=True)
-    return (shingles, counts * best[first], counts)[:3 if counted else 2]
+    order = total.argsort()
+    total = total[order]
+    first = np.flatnonzero(np.concatenate([[True], total[1:] != total[:-1]]))
+    counts = np.diff(first, append=n)
+    return (total[first], counts * best[order[first]], counts)[:3 if counted else 2]
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -217,7 +312,7 @@ def _first_pass(rows: DataFrame, memory: int = MEMORY) -> DataFrame:
         df = np.zeros(1024, np.int64)
 
         def counts(words):
-            n = len(words.known)
+            n = words.known
             return pa.RecordBatch.from_arrays(
                 [pa.array([1] * n, pa.int32()), pa.array(df[:n].copy()), pa.array(words.hash[:n].view(np.int64)),
                  pa.nulls(n, pa.int64())], names=names,
@@ -230,8 +325,7 @@ def _first_pass(rows: DataFrame, memory: int = MEMORY) -> DataFrame:
         words = Words(spill=spill, memory=memory)
         for batch in sliced(batches):
             classes = []
-            for text in batch.column("text").to_pylist():
-                at = words.numbers(text)
+            for at in words.each(batch.column("text").to_pylist()):
                 if len(words.hash) > len(df):
                     df = np.concatenate([df, np.zeros(len(words.hash) - len(df), np.int64)])
                 df[at] += 1  # a number that is there twice counts once
@@ -254,11 +348,11 @@ def _signatures(rows: DataFrame, idf: Idf) -> DataFrame:
         words, sampler = Words(idf), Sampler()
         for batch in sliced(batches):
             nodes, bands = [], []
-            for text in batch.column("text").to_pylist():
-                h, rare = words.of(text)
-                if len(h):
+            for at in words.each(batch.column("text").to_pylist()):
+                if len(at):
+                    h = words.hash[at]
                     nodes.append(class_hash(h))
-                    bands.append(sampler.bands(*weighted_shingles(h, rare)))
+                    bands.append(sampler.bands(*weighted_shingles(h, words.weight[at])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["node", "bands"]
             )
@@ -333,8 +427,8 @@ def _comparer(idf: Idf, similarity: float) -> Callable:
         if not remembered:
             remembered.append(Words(idf))
         words, sets = remembered[0], []
-        for text in rows["text"]:
-            h, w, n = weighted_shingles(*words.of(text), counted=True)
+        for at in words.each(rows["text"]):
+            h, w, n = weighted_shingles(words.hash[at], words.weight[at], counted=True)
             sets.append(items(h, w, n))
         node = rows["node"].to_numpy()
         low = forest(len(node), *similar_pairs(sets, similarity))

@@ -1,6 +1,7 @@
 """Near-duplicate documents and vectors, components, and the pipeline."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -271,6 +272,50 @@ def test_groups_of_a_task_share_the_words(monkeypatch):
     assert len(learned) == len(set(learned)) == 46
 
 
+@pytest.mark.parametrize("piece", [1, 40, minhash_dedup.PIECE])
+def test_words_of_groups_equal_the_pattern(monkeypatch, piece):
+    monkeypatch.setattr(minhash_dedup, "PIECE", piece)
+    r = random.Random(12)
+    every = [*"aAbzZ09_ .,-\n\t\0'", *"éßİıΣςſ日本ー語🙂\u0301\u200d٣²ǅ\ud800\U0010ffff"]
+    texts = [None, "", " ", "ab ba", "x" * 5000, "a_b c-d", "ODOS ΟΔΟΣ ΣΑΣ", "word " * 300, "\n".join(every), "ab", "ba ab"]
+    texts += ["".join(r.choices(every, k=r.randint(1, 60))) for _ in range(200)] + ["", None, "end"]
+    want = [minhash_dedup.WORD.findall(t.lower()) if t else [] for t in texts]
+    spilled = []
+    words = minhash_dedup.Words(spill=lambda w: spilled.append(w.hash[:w.known].copy()), memory=50)
+    got = [words.hash[at].tolist() for at in words.each(texts)]
+    assert [len(g) for g in got] == [len(w) for w in want]
+    pairs = {pair for g, w in zip(got, want) for pair in zip(g, w)}
+    assert len(pairs) == len({h for h, _ in pairs}) == len({w for _, w in pairs}) > 500
+    assert got == [minhash_dedup.Words().of(t)[0].tolist() for t in texts]  # alone as in a group
+    assert (len(spilled) > 3) == (piece < 100) and all(len(set(s.tolist())) == len(s) for s in spilled)
+
+
+def test_numbers_are_kept_when_the_table_of_words_grows():
+    r, words = np.random.default_rng(14), minhash_dedup.Words(minhash_dedup.Idf({}, 9))
+    hashes = r.integers(0, 2**64, 30_000, dtype=np.uint64)
+    hashes[:3000] = np.arange(3000, dtype=np.uint64)  # all in one slot
+    hashes[3000:6000] = np.uint64(2**64 - 1) - np.arange(3000, dtype=np.uint64)  # and in the last one
+    for at in range(0, len(hashes), 1000):
+        assert (words._find(hashes[at:at + 1000]) == -1).all()
+        words._learn(hashes[at:at + 1000])
+        assert (words._find(hashes[:at + 1000]) == np.arange(at + 1000)).all()
+    assert (words.hash[:30_000] == hashes).all() and (words.weight[:30_000] == words.idf.rare).all()
+
+
+def test_words_are_read_without_an_object_each():
+    r = random.Random(15)
+    texts = [" ".join("".join(r.choices("aeinorst", k=r.randint(2, 9))) for _ in range(5000)) for _ in range(40)]
+
+    def seconds(read):
+        began = time.process_time()
+        for text in texts:
+            read(text)
+        return time.process_time() - began
+
+    words = minhash_dedup.Words()
+    assert min(seconds(words.of) for _ in range(3)) < 1.6 * min(seconds(minhash_dedup.WORD.findall) for _ in range(3))
+
+
 def test_samples_equal_the_plain_formula():
     r, sampler = np.random.default_rng(3), minhash_dedup.Sampler()
     for n in (1, 5, minhash_dedup.BLOCK + 7):
